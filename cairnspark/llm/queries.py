@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cairnspark.llm import bpe, decontaminate, licenses, minhash, pii, simhash, toxicity, urls
+from cairnspark.llm import bpe, decontaminate, licenses, minhash, pii, simhash, suffix_tree, toxicity, urls
 from cairnspark.llm.common import read
 
 
@@ -14,6 +14,7 @@ def _tokenizer() -> tuple[str, str]:
 
 def queries() -> dict:
     return {
+        "op1_suffix_tree": lambda s, d: suffix_tree.score_documents(read(s, d, "documents")),
         "op2_pii": lambda s, d: pii.find_pii(read(s, d, "documents")),
         "op3_minhash": lambda s, d: minhash.fingerprint_edits(read(s, d, "documents")),
         "op4_decontamination": lambda s, d: decontaminate.retrieve(read(s, d, "documents"), read(s, d, "benchmark")),
