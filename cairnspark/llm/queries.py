@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cairnspark.llm import bpe, decontaminate, licenses, minhash, pii, simhash, suffix_tree, toxicity, urls
+from cairnspark.llm import bpe, decontaminate, licenses, minhash, pii, simhash, suffix_dedup, suffix_tree, toxicity, urls
 from cairnspark.llm.common import read
 
 
@@ -20,6 +20,7 @@ def queries() -> dict:
         "op4_decontamination": lambda s, d: decontaminate.retrieve(read(s, d, "documents"), read(s, d, "benchmark")),
         "op5_simhash": lambda s, d: simhash.near_classes(read(s, d, "documents")),
         "op6_toxicity": lambda s, d: toxicity.judge(read(s, d, "documents"), read(s, d, "labels")),
+        "op7_suffix_dedup": lambda s, d: suffix_dedup.remove_repeats(read(s, d, "documents")),
         "op8_url_filter": lambda s, d: urls.judge_urls(read(s, d, "pages")),
         "op9_bpe": lambda s, d: bpe.round_trip(read(s, d, "documents"), *_tokenizer()),
         "op10_licenses": lambda s, d: licenses.scan_licenses(read(s, d, "documents")),
