@@ -1,9 +1,36 @@
-"""Registered catalog queries."""
+"""Registered catalog queries: every operator over the projected catalog, and the same shape for the other engine."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from cairnspark.operators import ingest, maintenance, scalars, search, storage, transfer, tree
+from cairnspark.plans.dialect import Duck, Spark
+from cairnspark.sources.fixtures import statement
+
+MODULES = (scalars, tree, storage, ingest, maintenance, search, transfer)
+
+
+def operators() -> dict:
+    out: dict = {}
+    for m in MODULES:
+        assert not out.keys() & m.OPERATORS.keys()
+        out |= m.OPERATORS
+    return out
+
+
+def _query(make):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        d = Spark(sf_dir)
+        return spark.sql(statement(d, make(d)))
+
+    return run
 
 
 def queries() -> dict:
-    return {}
+    return {name: _query(make) for name, make in operators().items()}
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    d = Duck()
+    return {name: statement(d, make(d)) for name, make in operators().items()}
