@@ -131,7 +131,7 @@ def with_next(docs: DataFrame, rows_each: int = 1500, most: int = 1024) -> DataF
     bounds = sorted({*(at.b or []), at.m} - {None}, reverse=True) or [0]
     last = len(bounds) - 1
     d = d.withColumn("bounds", F.array(*map(F.lit, bounds)))
-    d = d.withColumn("range", F.expr(f"coalesce(size(filter(bounds, b -> b >= doc_id)) - 1, {last})"))
+    d = d.withColumn("range", F.expr(f"IF(doc_id IS NULL, {last}, size(filter(bounds, b -> b >= doc_id)) - 1)"))
     d = d.withColumn("to", F.expr(f"""filter(array(
         named_struct('range', range, 'copy', 0),
         IF(doc_id = bounds[range] AND range > 0, named_struct('range', range - 1, 'copy', 1), NULL),

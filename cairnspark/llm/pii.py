@@ -206,14 +206,12 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every span's characters replaced by [KIND]; of overlapping spans the union goes, named by the first."""
-    columns = docs.columns
-    c = candidates(docs.withColumn("text", F.coalesce("text", F.lit(""))))
+    c = candidates(docs.select(F.struct(*docs.columns).alias("row"), F.coalesce("text", F.lit("")).alias("text")))
     d = label_spans(c, fit_span_model(c))
     cut = """aggregate(spans, named_struct('at', 0, 'out', ''),
       (s, x) -> IF(x.end <= s.at, s, named_struct('at', x.end, 'out', concat(s.out,
         IF(x.start >= s.at, concat(substring(text, s.at + 1, x.start - s.at), '[', upper(x.kind), ']'), '')))),
       s -> concat(s.out, substring(text, s.at + 1)))"""
     d = d.withColumn("text", F.expr(f"IF(size(spans) = 0, text, {cut})"))
-    if "n_chars" in columns:
-        d = d.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return d.select(*columns)
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return d.select(*((new[c] if c in new else F.col(f"row.`{c}`")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns))
