@@ -12,9 +12,7 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: A word is a run of anything but these six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
-SPACE_TABLE = {c: 32 for c in (9, 10, 11, 12, 13)}
-LOWER_TABLE = {ord(a): ord(b) for a, b in zip(UPPER, LOWER)}
-FOLD_TABLE = SPACE_TABLE | LOWER_TABLE
+FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -34,9 +32,9 @@ def held_out(id_col: str, modulus: int) -> Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(modulus)) == 2
 
 
-def words_of(text: str) -> list[str]:
-    """A-Z lower-cased words; only ASCII white space separates."""
-    return [w for w in text.translate(FOLD_TABLE).split(" ") if w]
+def words_of(text: str) -> list[bytes]:
+    """A-Z lower-cased words as UTF-8; bytes.split() parts at exactly the six ASCII white-space characters."""
+    return text.encode("utf-8", "surrogatepass").translate(FOLD).split()
 
 
 def shared_dir(spark: SparkSession) -> str:

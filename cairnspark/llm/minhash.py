@@ -34,7 +34,7 @@ class Shingler:
     """64-bit shingle values of texts; hashes of words are kept up to a bound."""
 
     def __init__(self):
-        self.hashes: dict[str, int] = {}
+        self.hashes: dict[bytes, int] = {}
 
     def __call__(self, text: str) -> np.ndarray:
         words = words_of(text)
@@ -44,7 +44,7 @@ class Shingler:
         if len(known) > _MOST_WORDS:
             known.clear()
         for w in set(words).difference(known):
-            known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
+            known[w] = xxhash.xxh64_intdigest(w)
         h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         k = min(SHINGLE, len(h))
         out = np.zeros(len(h) - k + 1, np.uint64)

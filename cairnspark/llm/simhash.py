@@ -41,8 +41,8 @@ def fingerprint(text: str) -> int:
     n = len(words) - k + 1
     for at in range(0, n, 50_000):
         part = words[at : at + 50_000 + k - 1]
-        sh = [" ".join(x) for x in zip(*(part[i:] for i in range(k)))]
-        raw = b"".join([digest(s.encode("utf-8", "surrogatepass"), SEED) for s in sh])
+        sh = [b" ".join(x) for x in zip(*(part[i:] for i in range(k)))]
+        raw = b"".join([digest(s, SEED) for s in sh])
         ones += np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
 
