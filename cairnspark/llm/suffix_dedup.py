@@ -16,29 +16,40 @@ text are ignored.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnspark.llm.common import parts_for, texts
 
 LENGTH, GRAM = 400, 16
-BLOCK_BYTES = 12_000_000
-MERGE_BYTES = 4_000_000
+BLOCK_BYTES = 6_000_000
+PART_BYTES = 6_000_000
+MERGE_BYTES = 1_000_000
+_STRETCH = 1 << 20  # windows looked at together; bounds the arrays of a very long text
 _PLACE = np.uint64((1 << 28) - 1)
 _OUT = 0xFF  # no byte of UTF-8: stands between pieces
 
 
-def anchor_runs(b: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with the same anchor: anchor hash, first window start, last window start."""
+def anchor_runs(b: np.ndarray, length: int = LENGTH, stretch: int = _STRETCH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows with the same anchor: anchor hash, first window start, last window start.
+
+    A run also ends where a stretch of windows does; its parts have one anchor and meet again when anchors are judged.
+    """
+    found = [(h, first + at, last + at) for at in range(0, len(b) - length + 1, stretch) for h, first, last in [_runs_of_stretch(b[at : at + stretch + length - 1], length)]]
+    if not found:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(map(np.concatenate, zip(*found)))
+
+
+def _runs_of_stretch(b: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(b)
-    none = np.zeros(0, np.int64)
-    if n < length:
-        return np.zeros(0, np.uint64), none, none
     eight = np.lib.stride_tricks.sliding_window_view(b, 8).copy().view("<u8").ravel()
     h = eight[: n - GRAM + 1] * np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(32)
@@ -108,10 +119,13 @@ def repeated_windows(pieces: list[bytes], length: int = LENGTH) -> list[np.ndarr
     """
     t = np.frombuffer(b"".join(p + bytes([_OUT]) for p in pieces) + bytes([_OUT]) * 8, np.uint8)
     n, depth = len(t) - 8, min(8, length)
-    grams = np.lib.stride_tricks.sliding_window_view(t, 8)[:n].copy().view(">u8").ravel().astype(np.uint64) >> np.uint64(64 - 8 * depth)
-    live = np.argsort(grams, kind="stable")
-    key = grams[live]
-    cls = np.zeros(n + length, np.int64)  # beyond the end: a class of its own
+    key = np.zeros(n, np.uint64)
+    for i in range(depth):
+        key <<= np.uint64(8)
+        key |= t[i : i + n]
+    live = np.argsort(key, kind="stable").astype(np.int32)
+    key = key[live]
+    cls = np.zeros(n + length, np.int32)  # beyond the end: a class of its own
     while True:
         starts = np.concatenate([[True], key[1:] != key[:-1]])
         first = np.flatnonzero(starts)
@@ -122,7 +136,8 @@ def repeated_windows(pieces: list[bytes], length: int = LENGTH) -> list[np.ndarr
         if depth >= length or not len(live):
             break
         stride = min(depth, length - depth)
-        key = cls[live] * np.int64(n + 1) + cls[live + stride]
+        key = cls[live] * np.int64(n + 1)
+        key += cls[live + stride]
         order = np.argsort(key, kind="stable")
         live, key = live[order], key[order]
         depth += stride
@@ -141,8 +156,17 @@ def _runs_of(pdf: pd.DataFrame, length: int) -> Iterator[tuple]:
         yield (k, raw, *anchor_runs(np.frombuffer(raw, np.uint8), length))
 
 
+def _give_back() -> None:
+    """Returns freed memory to the system, so that a worker's groups do not add up."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def _asks(length: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        _give_back()
         found = [h for _, _, h, _, _ in _runs_of(pdf, length)]
         h, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
         return pd.DataFrame({"anchor": h.astype(np.int64), "block": pdf.block.iloc[0], "n": n})
@@ -152,6 +176,7 @@ def _asks(length: int):
 
 def _pieces(length: int):
     def run(pdf: pd.DataFrame, again: pd.DataFrame) -> pd.DataFrame:
+        _give_back()
         wanted = np.sort(again.anchor.to_numpy(np.int64).astype(np.uint64))
         held: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
         if len(wanted) and len(pdf):
@@ -169,6 +194,7 @@ def _pieces(length: int):
 
 def _judge(length: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        _give_back()
         count: dict[bytes, int] = {}
         of: dict[int, dict[bytes, None]] = {}
         for a, p, o in zip(pdf.anchor, pdf.piece, pdf.places):
@@ -208,6 +234,7 @@ def _judge(length: int):
 
 
 def _cut(pdf: pd.DataFrame, spans: pd.DataFrame) -> pd.DataFrame:
+    _give_back()
     by: dict[int, list[tuple[int, int]]] = {}
     for k, s, e in zip(spans.k, spans.s, spans.e):
         by.setdefault(k, []).append((s, e))
@@ -235,7 +262,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each document."""
     d = texts(docs)
     size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks, parts = max(1, -(-size // BLOCK_BYTES)), max(parts_for(docs.sparkSession), -(-size // (4 * MERGE_BYTES)))
+    blocks, parts = max(1, -(-size // BLOCK_BYTES)), max(parts_for(docs.sparkSession), -(-size // PART_BYTES))
     x = d.withColumn("k", F.xxhash64("doc_id", "text")).withColumn("block", F.pmod("k", F.lit(blocks)).cast("int"))
     asks = x.groupBy("block").applyInPandas(_asks(length), "anchor long, block int, n long")
     # an anchor has at most one row for each block

@@ -199,6 +199,19 @@ def test_suffix_dedup(docs, rows):
     _same([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got], want)
 
 
+def test_anchor_runs_do_not_depend_on_stretches():
+    b = np.frombuffer(bytes(random.Random(5).choice(b"abc") for _ in range(3000)) + b"a" * 900, np.uint8)
+
+    def per_window(stretch):
+        h, first, last = suffix_dedup.anchor_runs(b, 100, stretch)
+        return np.repeat(h, last - first + 1).tolist(), np.concatenate([np.arange(x, y + 1) for x, y in zip(first, last)]).tolist()
+
+    want = per_window(1 << 20)
+    assert want[1] == list(range(len(b) - 99))
+    assert all(per_window(s) == want for s in (1, 7, 100, 2000))
+    assert len(suffix_dedup.anchor_runs(b[:99], 100)[0]) == 0
+
+
 def test_merged_transforms_agree_with_strides():
     rnd = random.Random(3)
     for _ in range(20):
