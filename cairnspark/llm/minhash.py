@@ -20,9 +20,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnspark.llm.common import stored, texts, words_of
+from cairnspark.llm.components import components
 
 PERMUTATIONS, BANDS, SHINGLE = 128, 32, 5
-SIMILAR = 0.8
+SIMILAR, MARGIN = 0.8, 0.25
+MOST_IN_TREE = 4096
 _RANDOM = np.random.default_rng(20_011)
 _A = (_RANDOM.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _B = _RANDOM.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
@@ -82,13 +84,44 @@ def signatures(docs: DataFrame) -> DataFrame:
     return d.mapInPandas(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, fingerprint string")
 
 
-def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """(rep_a, rep_b, jaccard) between representatives of different texts with Jaccard similarity of `similar` or more.
-
-    Equal shingle sets collapse first; the smallest doc_id stands for them. A band bucket links each member to its
-    first, then chains along the order of the whole signature, so no bucket emits all its pairs; members of
-    a bucket that are alike to neither are compared through their other bands.
-    """
+def _bucket_links(similar: float):
+    """Verified links of one tree of a bucket: members among themselves and with the bucket's other sets."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        n = len(pdf)
+        sig = np.stack([np.frombuffer(bytes.fromhex(f), ">u2") for f in pdf.fingerprint]) if n else np.zeros((0, PERMUTATIONS), np.uint16)
+        sets, same, members = pdf.shingles.tolist(), pdf.same.tolist(), np.flatnonzero(pdf.member.to_numpy(bool))
+        root = list(range(n))
+
+        def top(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        rows = []
+        for q in range(n):
+            agree = np.zeros(len(members), np.int32)
+            for at in range(0, len(members), 4096):
+                part = members[at : at + 4096]
+                agree[at : at + 4096] = (sig[part] == sig[q]).sum(1)
+            for m in members[agree >= (similar - MARGIN) * PERMUTATIONS].tolist():
+                x, y = top(q), top(m)
+                if x == y:
+                    continue  # already in one class: another link would not change it
+                both = len(np.intersect1d(sets[q], sets[m], assume_unique=True))
+                total = len(sets[q]) + len(sets[m]) - both
+                j = both / total if total else 1.0
+                if j >= similar:
+                    root[max(x, y)] = min(x, y)
+                    rows.append((min(same[q], same[m]), max(same[q], same[m]), j))
+        return pd.DataFrame(rows, columns=["a", "b", "jaccard"])
+
+    return run
+
+
+def _distinct_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, same) for each document, and (same, rep, fingerprint, shingles) for each different shingle set."""
     d = texts(docs)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -103,19 +136,47 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
             })
 
     kind = d.schema["doc_id"].dataType.simpleString()
-    s = d.mapInPandas(run, f"doc_id {kind}, fingerprint string, same string, shingles array<long>")
-    s = stored(s.groupBy("same").agg(F.min("doc_id").alias("rep"), F.any_value("fingerprint").alias("fingerprint"), F.any_value("shingles").alias("shingles")), "minhash")
+    s = stored(d.mapInPandas(run, f"doc_id {kind}, fingerprint string, same string, shingles array<long>"), "minhash")
+    sets = s.groupBy("same").agg(F.min("doc_id").alias("rep"), F.any_value("fingerprint").alias("fingerprint"), F.any_value("shingles").alias("shingles"))
+    return s.select("doc_id", "same"), stored(sets, "minhash-sets")
+
+
+def _links(sets: DataFrame, similar: float, most: int) -> DataFrame:
+    """(a, b, jaccard) between different shingle sets, keyed by `same`; see near_duplicates."""
     width = PERMUTATIONS // BANDS * 4
-    bands = s.select("rep", "fingerprint", F.explode(F.expr(f"transform(sequence(0, {BANDS - 1}), i -> struct(i, substring(fingerprint, i * {width} + 1, {width})))")).alias("band"))
-    w = Window.partitionBy("band").orderBy("fingerprint", "rep")
-    pairs = bands.select("rep", F.lag("rep").over(w).alias("before"), F.first("rep").over(w).alias("head"))
-    pairs = pairs.select("rep", F.explode(F.array("before", "head")).alias("other")).where("other IS NOT NULL AND other <> rep")
-    pairs = pairs.select(F.least("rep", "other").alias("rep_a"), F.greatest("rep", "other").alias("rep_b")).distinct()
-    a = s.select(F.col("rep").alias("rep_a"), F.col("shingles").alias("sa"))
-    b = s.select(F.col("rep").alias("rep_b"), F.col("shingles").alias("sb"))
-    j = pairs.join(a, "rep_a").join(b, "rep_b").withColumn("both", F.size(F.array_intersect("sa", "sb")))
-    j = j.withColumn("jaccard", F.expr("IF(size(sa) + size(sb) = 0, 1.0D, both / (size(sa) + size(sb) - both))"))
-    return j.where(F.col("jaccard") >= similar).select("rep_a", "rep_b", "jaccard")
+    band = F.expr(f"transform(sequence(0, {BANDS - 1}), i -> struct(i, substring(fingerprint, i * {width} + 1, {width})))")
+    bands = sets.select("same", F.explode(band).alias("band"))
+    shared = bands.groupBy("band").count().where("count > 1").withColumn("trees", F.ceil(F.col("count") / most).cast("int"))
+    routed = bands.join(shared.select("band", "trees"), "band")
+    routed = routed.withColumn("own", F.pmod(F.xxhash64("same"), "trees")).withColumn("tree", F.explode(F.expr("sequence(0, trees - 1)")))
+    routed = routed.select("same", F.struct("band", "tree").alias("bucket"), (F.col("own") == F.col("tree")).alias("member"))
+    full = routed.join(sets.select("same", "fingerprint", "shingles"), "same")
+    links = full.groupBy("bucket").applyInPandas(_bucket_links(similar), "a string, b string, jaccard double")
+    return links.groupBy("a", "b").agg(F.max("jaccard").alias("jaccard"))
+
+
+def near_duplicates(docs: DataFrame, similar: float = SIMILAR, most: int = MOST_IN_TREE) -> DataFrame:
+    """(rep_a, rep_b, jaccard) between representatives of different texts with Jaccard similarity of `similar` or more.
+
+    Equal shingle sets collapse first; the smallest doc_id stands for them (null where no copy has an id). In a band
+    bucket every set meets every other: a bucket of more than `most` sets is split into several trees, each of which
+    sees all of the bucket. Pairs whose signatures lie more than MARGIN below `similar` (seven standard deviations)
+    are left out, all others are verified by Jaccard unless links already found put both in one class. The links thus
+    connect all that any verified pair connects, without listing every pair of a class; near_classes has the membership.
+    """
+    _, sets = _distinct_sets(docs)
+    e = _links(sets, similar, most)
+    a, b = sets.select(F.col("same").alias("a"), F.col("rep").alias("ra")), sets.select(F.col("same").alias("b"), F.col("rep").alias("rb"))
+    return e.join(a, "a").join(b, "b").select(F.expr("IF(ra IS NULL OR rb < ra, rb, ra)").alias("rep_a"), F.expr("IF(ra IS NULL OR rb < ra, ra, rb)").alias("rep_b"), "jaccard")
+
+
+def near_classes(docs: DataFrame, similar: float = SIMILAR, most: int = MOST_IN_TREE) -> DataFrame:
+    """(doc_id, class_id) for each document: class_id is the smallest doc_id reachable over verified links."""
+    rows, sets = _distinct_sets(docs)
+    linked = components(_links(sets, similar, most)).withColumnRenamed("node", "same")
+    found = sets.select("same", "rep").join(linked, "same", "left").withColumn("root", F.coalesce("root", "same"))
+    low = found.groupBy("root").agg(F.min("rep").alias("class_id"))
+    return rows.join(found.select("same", "root").join(low, "root").select("same", "class_id"), "same").select("doc_id", "class_id")
 
 
 def with_next(docs: DataFrame, rows_each: int = 1500, most: int = 1024) -> DataFrame:

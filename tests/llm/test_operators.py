@@ -117,6 +117,33 @@ def test_minhash_likeness_and_pairs(spark):
     assert [(r.rep_a, r.rep_b) for r in minhash.near_duplicates(d).collect()] == [(0, 1)]
 
 
+@pytest.mark.parametrize("most", [4096, 3])
+def test_near_classes_lose_no_link(spark, most):
+    rnd = random.Random(11)
+    base = [" ".join(rnd.choices("abcdefghij", k=4)) + f" {i}" for i in range(60)]
+    made = []
+    for i in range(40):
+        words = " ".join(base).split() if i < 30 else rnd.choices("klmnop", k=80)
+        for _ in range(i % 7):
+            words[rnd.randrange(len(words))] = rnd.choice("qrstuv")
+        made.append((i, " ".join(words)))
+    made += [(40, None), (41, ""), (42, made[0][1]), (None, made[35][1])]
+    sets = [set(minhash.Shingler()(t or "").tolist()) for _, t in made]
+    label = np.arange(len(made))
+    for x in range(len(made)):
+        for y in range(x):
+            total = len(sets[x] | sets[y])
+            if (len(sets[x] & sets[y]) / total if total else 1.0) >= 0.8:
+                simhash.merge_labels(label, np.array([x]), np.array([y]))
+    low = {c: min(made[k][0] for k in range(len(made)) if label[k] == c and made[k][0] is not None) for c in set(label.tolist())}
+    d = spark.createDataFrame(made, "doc_id long, text string")
+    got = minhash.near_classes(d, most=most).collect()
+    _same([(r.doc_id, r.class_id) for r in got], [(i, low[int(label[k])]) for k, (i, _) in enumerate(made)])
+    links = [(r.rep_a, r.rep_b) for r in minhash.near_duplicates(d, most=most).collect()]
+    ends = {i: sets[k] for k, (i, _) in enumerate(made) if i is not None}
+    assert links and all(len(ends[a] & ends[b]) >= 0.8 * len(ends[a] | ends[b]) for a, b in links)
+
+
 def test_simhash(docs, rows):
     fps = np.array([simhash.fingerprint(t) for _, t in rows], np.uint64)
     label = np.arange(len(rows))
