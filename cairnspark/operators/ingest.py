@@ -19,6 +19,25 @@ def _rotation_duck(d) -> str:
         FROM (SELECT project, list({'carrier_id': carrier_id, 'size': size} ORDER BY carrier_id) AS items FROM contents GROUP BY project) t) u"""
 
 
+def _batches(d, relation: str, scope: str, full: str) -> str:
+    """Greedy batches of a scope's items in order of id. `full` decides on (pos, n) before adding the next item's size;
+    a scope is folded in one row, so it must fit a task."""
+    if d.name == "spark":
+        new = full.format(pos="s.pos", n="s.n", size="i.size")
+        return f"""SELECT {scope}, x.item_id, x.batch_no FROM (SELECT {scope}, explode(aggregate(items,
+            named_struct('pos', 0L, 'n', 0L, 'no', 0L, 'out', cast(array() AS array<struct<item_id:bigint,batch_no:bigint>>)),
+            (s, i) -> IF(s.n > 0 AND ({new}),
+                named_struct('pos', i.size, 'n', 1L, 'no', s.no + 1, 'out', concat(s.out, array(named_struct('item_id', i.item_id, 'batch_no', s.no + 1)))),
+                named_struct('pos', s.pos + i.size, 'n', s.n + 1, 'no', s.no, 'out', concat(s.out, array(named_struct('item_id', i.item_id, 'batch_no', s.no))))), s -> s.out)) AS x
+            FROM (SELECT {scope}, sort_array(collect_list(struct(item_id, size))) AS items FROM ({relation}) r GROUP BY {scope})) t"""
+    new = full.format(pos="a[-1].pos", n="a[-1].n", size="b[1].pos")
+    return f"""SELECT {scope}, items[i].item_id AS item_id, nos[i] AS batch_no FROM (SELECT {scope}, items, unnest(range(1, len(items) + 1)) AS i,
+        list_transform(list_reduce(list_transform(items, lambda x: [{{'pos': CAST(x.size AS BIGINT), 'n': CAST(1 AS BIGINT), 'no': CAST(0 AS BIGINT)}}]),
+        lambda a, b: a || [CASE WHEN {new} THEN {{'pos': b[1].pos, 'n': CAST(1 AS BIGINT), 'no': a[-1].no + 1}}
+            ELSE {{'pos': a[-1].pos + b[1].pos, 'n': a[-1].n + 1, 'no': a[-1].no}} END]), lambda r: r.no) AS nos
+        FROM (SELECT {scope}, list({{'item_id': item_id, 'size': size}} ORDER BY item_id) AS items FROM ({relation}) r GROUP BY {scope}) t) u"""
+
+
 OPERATORS = {
     "f11_size_present": lambda d: "SELECT f.id FROM files f WHERE EXISTS (SELECT 1 FROM dest x WHERE x.size = f.size)",
     "f12_have": lambda d: "SELECT f.id FROM files f WHERE EXISTS (SELECT 1 FROM dest x WHERE x.sha256 = f.sha256)",
@@ -48,6 +67,8 @@ OPERATORS = {
     "q09_resume": lambda d: f"SELECT id, CASE WHEN d_size IS NULL OR d_size <> size THEN 'pending' WHEN d_sha = sha256 THEN 'identical' ELSE 'resend' END AS class FROM {_SRC}",
     "q10_conflicts": lambda d: f"""SELECT s.id, m.mode, CASE WHEN d_size IS NULL THEN 'store' WHEN d_sha = sha256 THEN 'identical' WHEN m.mode = 'skip' THEN 'skipped' WHEN m.mode = 'replace' THEN 'replaced' WHEN m.mode = 'keep_both' THEN 'numbered' ELSE 'failed' END AS decision
         FROM {_SRC} JOIN (SELECT 'skip' AS mode UNION ALL SELECT 'replace' UNION ALL SELECT 'keep_both' UNION ALL SELECT 'fail') m ON true""",
+    "w09_solid_blocks": lambda d: _batches(d, "SELECT folder, id AS item_id, size FROM files WHERE size <= 2000", "folder", "{pos} >= 6400"),
+    "w10_retrieval_batches": lambda d: _batches(d, "SELECT folder, id AS item_id, size FROM files", "folder", "{n} >= 20 OR {pos} + {size} > 51200"),
     "w08_rotation": lambda d: _rotation_spark(d) if d.name == "spark" else _rotation_duck(d),
     "w11_cascade": lambda d: """SELECT id, CASE WHEN bad_before > 0 THEN 'discarded' WHEN bad = 1 THEN 'failed' ELSE 'committed' END AS outcome FROM (
         SELECT e.id, CASE WHEN k.passed THEN 0 ELSE 1 END AS bad, coalesce(sum(CASE WHEN k.passed THEN 0 ELSE 1 END) OVER (PARTITION BY e.pack_id, e.project ORDER BY e.id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bad_before
