@@ -1,8 +1,8 @@
 """License scans: ordered signature rules, native SQL expressions only.
 
-A document whose text holds none of the gate strings is settled at once. The others test the
-rules whose keyword the text contains; every match is a detection (start, end, rule). A detection lying inside an
-earlier, at least as long one is suppressed; of two with the same interval the rule of higher priority stays.
+A document whose text holds none of the gate strings or phrases is settled at once. The others test the
+rules whose keyword the text contains, one word that every match of the rule holds; every match is a detection (start, end, rule). A detection lying inside an
+earlier, at least as long one is suppressed; of two with the same interval the rule of higher priority stays, then the one with the longer name.
 Nothing is shuffled: each row is judged alone, so copies, hot sources and long texts need no special care.
 
 Defined results: null and empty texts have no words, null places, empty labels and score 0; repeated rows give
@@ -18,7 +18,7 @@ from cairnspark.llm.common import ascii_lower, texts
 
 #: Base phrases and their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
-#: Fixed values: (label, keyword, how the text names it); a space stands for any short separator.
+#: Fixed values: (label, keyword, how the text names it); a space stands for any separator (`SEP`), the keyword is one word of the name.
 FAMILIES = (
     ("mit", "mit", "mit"), ("mit-0", "mit", "mit no attribution"), ("apache", "apache", "apache"),
     ("apache-1.1", "apache", "apache software license version 1\\.1"), ("gpl", "gnu", "gnu general public"),
@@ -26,16 +26,16 @@ FAMILIES = (
     ("lgpl", "lesser", "lesser general public"), ("lgpl", "lgpl", "lgpl"), ("gfdl", "documentation", "free documentation"),
     ("bsd", "bsd", "bsd"), ("bsd-2-clause", "clause", "2 clause bsd"), ("bsd-3-clause", "clause", "3 clause bsd"),
     ("isc", "isc", "isc"), ("mpl", "mozilla", "mozilla public"), ("mpl", "mpl", "mpl"), ("epl", "eclipse", "eclipse public"),
-    ("cddl", "cddl", "cddl"), ("cddl", "development and distribution", "common development and distribution"),
-    ("cpl", "common public", "common public"), ("cc0", "cc0", "cc0"), ("cc-by-nc", "cc by-nc", "cc by nc"),
-    ("cc-by-sa", "cc by-sa", "cc by sa"), ("cc-by-nd", "cc by-nd", "cc by nd"), ("cc-by", "cc by", "cc by"),
-    ("cc-by", "creative commons", "creative commons attribution"), ("artistic", "artistic", "artistic"),
+    ("cddl", "cddl", "cddl"), ("cddl", "development", "common development and distribution"),
+    ("cpl", "common", "common public"), ("cc0", "cc0", "cc0"), ("cc-by-nc", "cc", "cc by nc"),
+    ("cc-by-sa", "cc", "cc by sa"), ("cc-by-nd", "cc", "cc by nd"), ("cc-by", "cc", "cc by"),
+    ("cc-by", "creative", "creative commons attribution"), ("artistic", "artistic", "artistic"),
     ("zlib", "zlib", "zlib"), ("boost", "boost", "boost software"), ("unlicense", "unlicense", "unlicense"),
     ("wtfpl", "wtfpl", "wtfpl"), ("postgresql", "postgresql", "postgresql"), ("python", "python", "python software foundation"),
-    ("openssl", "openssl", "openssl"), ("php", "php", "php"), ("ruby", "ruby", "ruby"), ("eupl", "european union", "european union public"),
-    ("ofl", "open font", "sil open font"), ("odbl", "open database", "open database"), ("ms-pl", "microsoft", "microsoft public"),
-    ("ms-rl", "microsoft", "microsoft reciprocal"), ("afl", "academic", "academic free"), ("osl", "open software", "open software"),
-    ("ncsa", "ncsa", "university of illinois ncsa"), ("proprietary", "all rights reserved", "all rights reserved"),
+    ("openssl", "openssl", "openssl"), ("php", "php", "php"), ("ruby", "ruby", "ruby"), ("eupl", "european", "european union public"),
+    ("ofl", "font", "sil open font"), ("odbl", "database", "open database"), ("ms-pl", "microsoft", "microsoft public"),
+    ("ms-rl", "microsoft", "microsoft reciprocal"), ("afl", "academic", "academic free"), ("osl", "software", "open software"),
+    ("ncsa", "ncsa", "university of illinois ncsa"), ("proprietary", "reserved", "all rights reserved"),
 )
 #: Fixed values: (name, template around the family's name, priority, weight).
 FORMS = (
@@ -47,33 +47,40 @@ FORMS = (
 )
 #: Signature sentences that name no license (label, keyword, pattern, priority, weight).
 SENTENCES = (
-    ("mit", "permission is hereby granted", r"permission is hereby granted, free of charge, to any person obtaining a copy", 9, 0.99),
-    ("isc", "permission to use", r"permission to use, copy, modify, and(?:/or)? distribute this software for any purpose", 9, 0.99),
+    ("mit", "hereby", r"permission is hereby granted, free of charge, to any person obtaining a copy", 9, 0.99),
+    ("isc", "permission", r"permission to use, copy, modify, and(?:/or)? distribute this software for any purpose", 9, 0.99),
     ("bsd", "redistribution", r"redistribution and use in source and binary forms", 9, 0.99),
-    ("gpl", "free software foundation", r"under the terms of the gnu general public license", 9, 0.99),
-    ("zlib", "as-is", r"this software is provided 'as-is', without any express or implied warranty", 9, 0.95),
-    ("public-domain", "public domain", r"(?:released|placed|dedicated) (?:in|into|to) the public domain", 7, 0.9),
+    ("gpl", "gnu", r"under the terms of the gnu general public license", 9, 0.99),
+    ("zlib", "warranty", r"this software is provided 'as-is', without any express or implied warranty", 9, 0.95),
+    ("public-domain", "domain", r"(?:released|placed|dedicated) (?:in|into|to) the public domain", 7, 0.9),
     ("proprietary", "confidential", r"confidential and proprietary", 7, 0.8),
 )
 #: A text whose lower-cased form has none of these strings has no base phrase and no detection.
 GATE = (
-    "licens", "licenc", "permission", "redistribution", "public domain", "proprietary", "all rights reserved",
-    "free software foundation", "as-is", "released under", "distributed under", "available under", "published under",
+    "licens", "licenc", "permission", "redistribution", "proprietary", "as-is",
 )
-#: Of a versioned form ("GPL 3"), which needs no gate string, only families whose name is unmistakable are scanned.
-VERSIONED = ("agpl", "lgpl", "gpl", "mpl", "cddl", "cc0", "cc by", "cc by-nc", "cc by-sa", "cc by-nd", "eclipse", "mozilla", "affero")
+#: Phrases that pass the gate as well; a space stands for any separator.
+GATE_PHRASES = ("(?:released|distributed|available|published) under", "public domain", "rights reserved", "cc by")
+#: Of a versioned form ("GPL 3"), which needs no other gate string, only families whose name is unmistakable are scanned.
+VERSIONED = ("agpl", "lgpl", "gpl", "mpl", "cddl", "cc0", "cc", "eclipse", "mozilla", "affero")
+SEP = r"[\s,_-]+"
 NON_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
+def _spaced(rx: str) -> str:
+    """rx with any separator for a space; optional spaces and those in character classes may be one or none."""
+    return rx.replace(" ?", r"[\s,_-]*").replace("[ -]", SEP).replace(" ", SEP)
+
+
 def rules() -> list[tuple[str, str, str, int, float]]:
     """(keyword, regex, label, priority, weight), highest priority first: forms times families, then sentences."""
     made = [
-        (keyword, form.format(name.replace(" ", "[ ,_-]{1,3}")), label, priority, weight)
+        (keyword, _spaced(form).format(_spaced(name)), label, 100 * priority + len(name), weight)
         for kind, form, priority, weight in FORMS
         for label, keyword, name in FAMILIES
         if kind != "versioned" or keyword in VERSIONED
     ]
-    made += [(keyword, rx, label, priority, weight) for label, keyword, rx, priority, weight in SENTENCES]
+    made += [(keyword, _spaced(rx), label, 100 * priority, weight) for label, keyword, rx, priority, weight in SENTENCES]
     return sorted(made, key=lambda r: -r[3])
 
 
@@ -112,7 +119,8 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     d = texts(docs).withColumn("w", F.trim(F.regexp_replace("text", NON_WORD, "  ")))
     d = d.withColumn("n_words", F.expr("IF(w = '', 0L, CAST((octet_length(w) - octet_length(replace(w, '  ', ''))) / 2 + 1 AS BIGINT))"))
     # only gated texts are folded and split; lower() can but add to what translate() gives, so the gate misses nothing
-    gates = " OR ".join(f"contains(_l, '{g}')" for g in (*GATE, *VERSIONED))
+    gates = " OR ".join(f"contains(_l, '{g}')" for g in (*GATE, *VERSIONED) if g != "cc")
+    gates += f" OR rlike(_l, r'{'|'.join(map(_spaced, GATE_PHRASES))}')"
     d = d.withColumn("_l", F.lower("text")).withColumn("low", F.expr(f"IF({gates}, text, NULL)"))
     d = d.withColumn("low", F.when(F.col("low").isNotNull(), ascii_lower(F.col("low")))).drop("text", "_l")
     d = d.withColumn("w", F.when(F.col("low").isNotNull(), F.concat(F.lit(" "), ascii_lower(F.col("w")), F.lit(" "))))

@@ -66,6 +66,22 @@ def test_licenses(docs, rows):
     assert all(set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1 for r in got)
 
 
+def test_licenses_in_other_spellings(spark):
+    cases = [
+        ("the figures are CC-BY-4.0", "cc-by"), ("Licensed under CC-BY-SA 4.0", "cc-by-sa"), ("SPDX-License-Identifier: CC-BY-NC-4.0", "cc-by-nc"), ("CC BY SA 4.0", "cc-by-sa"),
+        ("released under\nCC_BY_ND 4.0", "cc-by-nd"), ("Licensed under the Common\nPublic License", "cpl"), ("SIL Open-Font license", "ofl"), ("European-Union Public Licence v1.2", "eupl"),
+        ("Common Development-and-Distribution License", "cddl"), ("All\nrights  reserved, licensed under All-Rights-Reserved", "proprietary"), ("placed in the public\ndomain", "public-domain"),
+        ("Permission is hereby\ngranted, free of charge, to any person\nobtaining a copy", "mit"), ("this is accepted by all", ""), ("CC by hand", ""),
+    ]
+    d = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in licenses.scan_licenses(d).collect()}
+    assert {cases[i][0]: x for i, x in got.items()} == dict(cases)
+
+
+def test_license_keywords_stand_in_their_rules():
+    assert all(" " not in keyword and keyword in rx for keyword, rx, *_ in licenses.rules())
+
+
 def _luhn(d):
     s = 0
     for i, c in enumerate(reversed(d)):
