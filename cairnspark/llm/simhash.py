@@ -172,9 +172,28 @@ def near_classes(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return fps.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, h, fp) for each row: h is the hash of its text, so that doc_id and h tell apart rows of different texts."""
+    d = texts(docs).withColumn("h", F.xxhash64("text"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            fp = np.array([fingerprint(t) for t in b.column(1).to_pylist()], np.uint64).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fp)], names=["doc_id", "h", "fp"])
+
+    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, h long, fp long")
+
+
 def dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The documents whose doc_id is its component's smallest; of rows that repeat a doc_id one stays."""
-    keep = near_classes(docs, radius).where("doc_id = component_id").select("doc_id").distinct()
-    columns = docs.columns
-    kept = docs.join(keep, "doc_id", "left_semi").select(*columns)
-    return kept.dropDuplicates(["doc_id"])
+    """One row of each component: that of the smallest doc_id (null is the largest), then of the smallest hash of its text."""
+    keyed = stored(_keyed(docs), "simhash-keyed")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+    distinct = stored(keyed.groupBy("fp").agg(F.min(key).alias("low")), "simhash-distinct")
+    linked = components(link_fingerprints(distinct, radius)).withColumnRenamed("node", "fp")
+    reps = distinct.join(linked, "fp", "left").groupBy(F.coalesce("root", "fp")).agg(F.min("low").alias("low"))
+    keep = reps.select(F.col("low.doc_id").alias("__keep_id"), F.col("low.h").alias("__keep_hash"))
+    rows = docs.withColumn("__hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    same = F.col("doc_id").eqNullSafe(F.col("__keep_id")) & (F.col("__hash") == F.col("__keep_hash"))
+    return rows.join(keep, same, "left_semi").dropDuplicates(["doc_id", "__hash"]).select(*docs.columns)

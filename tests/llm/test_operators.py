@@ -171,6 +171,15 @@ def test_simhash(docs, rows):
     _same([(r.doc_id, r.fingerprint, r.component_id) for r in simhash.near_classes(docs).collect()], want)
 
 
+def test_dedup_with_null_and_repeated_ids(spark):
+    rnd = random.Random(8)
+    one, two, three, four = (" ".join(f"{rnd.choice('abcdefgh')}{rnd.randrange(900)}" for _ in range(120)) for _ in range(4))
+    made = [(None, one), (1, two), (None, two), (2, three), (2, four), (2, four), (3, three), (None, None), (None, "")]
+    d = spark.createDataFrame(made, "doc_id long, text string")
+    got = simhash.dedup(d).collect()
+    _same([(r.doc_id, r.text or "") for r in got], [(None, one), (1, two), (2, three), (2, four), (None, "")])
+
+
 @pytest.mark.parametrize("most", [8192, 10])
 def test_trees_find_all_links(spark, most):
     rng = np.random.default_rng(most)
