@@ -11,8 +11,8 @@ The index is sent to the tasks in shards of at most `SHARD_ITEMS` items of `MOST
 indexed by overlapping parts, each a test item of its own. All documents are read once for each shard, nothing of
 them is shuffled.
 
-Defined results: null and empty texts hit nothing; items without words are no items; an item of fewer than five words
-is one shingle; repeated items and documents each give rows; extra columns are ignored (keep_clean keeps them).
+Defined results: null and empty texts hit nothing; items without words are no items; an item, question or answer of fewer than
+five words is one shingle of its own length; repeated items and documents each give rows; extra columns are ignored (keep_clean keeps them).
 """
 
 from __future__ import annotations
@@ -50,6 +50,11 @@ def question_and_answer(text: str) -> tuple[str, str]:
     return " ".join(words[: len(words) // 2]), " ".join(words[len(words) // 2 :])
 
 
+def _rank(hit: tuple) -> tuple:
+    """Orders an item's windows: first by what the verification looks at."""
+    return max(hit[2], min(hit[3], hit[4])), hit[2:]
+
+
 class Index:
     """Impact-ordered by item; postings in blocks with their maxima."""
 
@@ -157,16 +162,18 @@ class Index:
             terms = np.unique(ids[s:e])
             terms = terms[terms < none]
             blocks = np.flatnonzero(self.block_bound[terms].sum(0) >= eps)
-            here, terms = None, terms.tolist()
+            here: dict[int, set[tuple]] = {}  # the window's shingles by their length
+            terms = terms.tolist()
             for i, score in (h for j in blocks.tolist() for h in self.search(terms, threshold, j * self.step, (j + 1) * self.step)):
-                here = here or shingles(words[s:e])
-                over = [len(p & here) / len(p) if p else 1.0 for p in self.parts[i]]
-                if len(self.words[i]) < SHINGLE:  # one shingle of its own length
-                    k_ = len(self.words[i])
-                    over[0] = float(bool(self.parts[i][0] & set(zip(*(words[s:e][j:] for j in range(k_))))))
+                over = []
+                for p in self.parts[i]:
+                    size = len(next(iter(p))) if p else 0  # a part of fewer than SHINGLE words is one shingle of its own length
+                    if size and size not in here:
+                        here[size] = set(zip(*(words[s + j : e] for j in range(size))))
+                    over.append(len(p & here[size]) / len(p) if p else 1.0)
                 got = (self.ids[i], score, *over)
                 key = self.ids[i]
-                if key not in best or got[2:] > best[key][2:]:
+                if key not in best or _rank(got) > _rank(best[key]):
                     best[key] = got
         return list(best.values())
 

@@ -358,6 +358,17 @@ def test_decontamination(spark, docs):
     assert decontaminate.keep_clean(docs, items).columns == docs.columns
 
 
+@pytest.mark.parametrize("answer", ["Lisbon.", "In Lisbon.", "In old Lisbon.", "Near the old harbour."])
+def test_short_answers_split_and_reordered(answer):
+    question = "Which town did the painter leave for the last time in spring?"
+    index = decontaminate.Index([(1, f"{question} {answer}"), *((k, f"{k} other words stand in item {k}. None.") for k in range(2, 9))])
+    for text in (f"{question} Nobody knew it. {answer}", f"{answer} {question}"):
+        (hit,) = [h for h in index.hits(text, 0.6) if h[0] == 1]
+        assert hit[3] == 1.0 and hit[4] == 1.0
+    assert [h[0] for h in decontaminate._verified(index, f"{answer} {question}", 0.6, 0.95)] == [1]
+    assert not decontaminate._verified(index, f"{question} Porto.", 0.6, 0.95)
+
+
 def test_wand_finds_all():
     rnd = random.Random(6)
     items = [(i, " ".join(rnd.choice("abcdefghijklmnop") * 2 for _ in range(rnd.randint(3, 12)))) for i in range(120)]
