@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from cairnspark.llm.common import held_out, texts
 
-MOST_LABELLED, MOST_WORDS, LEAST_TEXTS, MOST_WORDS_A_TEXT = 6_000, 10_000, 5, 20_000
+MOST_LABELLED, MOST_WORDS, LEAST_TEXTS = 6_000, 10_000, 5
 PENALTY, RIDGE, STEPS, THRESHOLD, LEAST_Z = 4.0, 3e-5, 150, 0.3, 4.0
 WORDS = re.compile(r"[^\W\d_]+").findall
 #: Groups of identity terms that may stand for each other.
@@ -115,7 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
 
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b.doc_id, "toxic": b.toxic, "words": [" ".join(sorted(features(t))[:MOST_WORDS_A_TEXT]) for t in b.text]})
+            yield pd.DataFrame({"doc_id": b.doc_id, "toxic": b.toxic, "words": [" ".join(sorted(features(t))) for t in b.text]})
 
     kind = d.schema["doc_id"].dataType.simpleString()
     got = d.select("doc_id", "toxic", "text").mapInPandas(words, f"doc_id {kind}, toxic int, words string").dropDuplicates(["doc_id"])

@@ -3,6 +3,7 @@
 import collections
 import fnmatch
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -391,6 +392,13 @@ def test_toxicity(spark):
     assert all(r.score is not None and r.held_out is not None for r in toxicity.judge(odd, labels.where("doc_id < 0")).collect())
 
 
+def test_training_texts_are_used_whole(spark):
+    long = " ".join("".join(x) for x in itertools.islice(itertools.product("abcdefgh", repeat=5), 21_000))
+    d = spark.createDataFrame([(i, long + (" zebra" if i % 2 else "")) for i in range(80)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int")
+    assert toxicity.fit(d, labels).weights.get("zebra", 0) > 0
+
+
 def test_counterfactuals_calm_identity_terms():
     rows = [(["women", "idiot", "are", f"w{i % 9}"], 1) for i in range(60)] + [(["men", "are", "fine", f"w{i % 9}"], 0) for i in range(60)] + [(["idiot", "you"], 1)] * 20 + [(["women", "fine"], 0)] * 4
     gap = lambda m: abs(m.weights.get("women", 0) - m.weights.get("men", 0))
