@@ -3,10 +3,11 @@
 Symbols are words and one end per text. The root's distribution is add-one over all training words, so it grows with
 the corpus and is never sent to any one place: blocks of documents ask the partitions of the word table for the counts of
 their distinct words, packed as sorted 64-bit hashes, and get packed counts back. A context (one or two words) is a
-candidate if it makes up at least `P_MIN` of the training symbols, as is an explicit next symbol, so each level has at most
-1 / P_MIN entries, a bound that does not depend on the corpus: these levels are counted over all training documents,
-pre-aggregated by task, and sent to every task. A context is retained if the log-likelihood gain of its distribution over
-its suffix's is at least `GAIN` nats and `DIVERGENCE` nats a symbol (contexts of retained suffixes only). The probability
+candidate if it occurs `LEAST_COUNT` times in training, as is an explicit next symbol, whatever the corpus's size. Grams of two and
+three words are counted as the words are; of the blocks that hold a frequent gram one owns it and reports it once with its counts,
+from which the contexts are tested as sums by context. A context is retained if the log-likelihood gain of its distribution over
+its suffix's is at least `GAIN` nats and `DIVERGENCE` nats a symbol (contexts of retained suffixes only). Each block is sent the
+retained states of its own contexts, so no level is held in any one place. The probability
 of a word in its longest retained suffix state is the explicit count, smoothed Witten-Bell fashion with the next
 shorter state's probability, down to the root.
 
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from cairnspark.llm.common import held_out, parts_for, stored, texts, words_of
 
-P_MIN, LEAST_COUNT, DEPTH = 2e-6, 8, 2
+LEAST_COUNT, DEPTH = 8, 2
 GAIN, DIVERGENCE = 20.0, 0.01
 BLOCK_BYTES = 16_000_000
 END = 0  # the hash that stands for a text's end
@@ -70,37 +71,142 @@ def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(table[at] == keys, at, -1)
 
 
+def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of the grams a followed by the words b."""
+    x = a * np.uint64(0x9E3779B97F4A7C15) + (b ^ np.uint64(0xD1B54A32D192ED03))
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
+class Block:
+    """One block's distinct grams of each level: keys, and each symbol's place among them where the gram lies within its text, else -1."""
+
+    def __init__(self, batch: list[str], parts: int):
+        ids, self.sizes, hashes = symbols(batch)
+        self.place = np.arange(len(ids)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        self.keys, self.at = [], []
+        h = words = hashes[ids]
+        for k in range(DEPTH + 1):
+            if k:
+                h = np.concatenate([h[:1], _mix(h[:-1], words[1:])])
+            some = np.flatnonzero(self.place >= k)
+            keys, back = np.unique(h[some], return_inverse=True)
+            at = np.full(len(ids), -1, np.int32)
+            at[some] = back
+            self.keys.append(keys)
+            self.at.append(at)
+        self.all = np.concatenate(self.keys)
+        self.order, part = _by_part(self.all, parts)
+        self.cuts = np.searchsorted(part[self.order], np.arange(parts + 1))
+
+    def levels(self, a: np.ndarray) -> list[np.ndarray]:
+        return np.split(a, np.cumsum([len(k) for k in self.keys])[:-1])
+
+    def counts(self, got: pd.DataFrame) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """By level, the training count of each gram, and whether this block owns it."""
+        c, own = np.zeros(len(self.all), np.int64), np.zeros(len(self.all), bool)
+        got = got[got.kind == 0].sort_values("part")
+        if len(got):
+            told = [np.frombuffer(zlib.decompress(x), np.int64) for x in got.a]
+            c[self.order] = np.concatenate(told)
+            own[self.order] = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(t)) for x, t in zip(got.b, told)]).astype(bool)
+        return self.levels(c), self.levels(own)
+
+
 def _requests(parts: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, sizes, hashes = symbols(pdf.text.tolist())
-        keys, back = np.unique(hashes, return_inverse=True)
-        train = np.repeat(pdf.train.to_numpy(bool), sizes)
-        counts = np.bincount(back, np.bincount(ids[train], minlength=len(hashes)), len(keys)).astype(np.uint32)
-        order, part = _by_part(keys, parts)
-        cuts = np.searchsorted(part[order], np.arange(parts + 1))
-        rows = [(p, pdf.block.iloc[0], keys[o].tobytes(), _pack(counts[o])) for p in range(parts) if len(o := order[cuts[p] : cuts[p + 1]])]
-        return pd.DataFrame(rows, columns=["part", "block", "keys", "counts"])
+        x = Block(pdf.text.tolist(), parts)
+        train = np.repeat(pdf.train.to_numpy(bool), x.sizes)
+        counts = np.concatenate([np.bincount(at[train & (at >= 0)], minlength=len(k)) for k, at in zip(x.keys, x.at)]).astype(np.uint32)
+        block, rows = pdf.block.iloc[0], []
+        for p in range(parts):
+            if len(o := x.order[x.cuts[p] : x.cuts[p + 1]]):
+                rows.append((p, block, int((o < len(x.keys[0])).sum()), x.all[o].tobytes(), _pack(counts[o])))
+        return pd.DataFrame(rows, columns=["part", "block", "words", "keys", "counts"])
 
     return run
 
 
 def _answers(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One part of the word table: counts for each block that asked, the part's totals, and its words of LEAST_COUNT or more."""
+    """One part of the table of grams: for each block that asked its counts and the frequent grams that it owns; then the words' n and v."""
+    part = int(pdf.part.iloc[0])
+    pdf = pdf.iloc[np.argsort((pdf.block.to_numpy(np.int64) * 40503 + part * 30011) % 65521, kind="stable")]  # owners differ by part
     keys = [np.frombuffer(k, np.uint64) for k in pdf["keys"]]
     counts = np.concatenate([np.frombuffer(zlib.decompress(c), np.uint32) for c in pdf["counts"]])
-    table, back = np.unique(np.concatenate(keys), return_inverse=True)
+    word = np.concatenate([np.arange(len(k)) < w for k, w in zip(keys, pdf.words)])
+    table, first, back = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
     total = np.bincount(back, counts, len(table)).astype(np.int64)
-    rows, at, part = [], 0, pdf.part.iloc[0]
+    own = np.zeros(len(back), bool)
+    own[first[total >= LEAST_COUNT]] = True
+    rows, at = [], 0
     for block, k in zip(pdf.block, keys):
-        rows.append((block, part, b"", _pack(total[back[at : at + len(k)]]), 0, 0))
+        here = slice(at, at + len(k))
+        rows.append((block, part, 0, _pack(total[back[here]]), np.packbits(own[here]).tobytes(), b"", 0, 0))
         at += len(k)
-    often = total >= LEAST_COUNT
-    rows.append((-1, part, table[often].tobytes(), total[often].tobytes(), int(total.sum()), int((total > 0).sum())))
-    return pd.DataFrame(rows, columns=["block", "part", "keys", "counts", "n", "v"])
+    rows.append((-1, part, 0, b"", b"", b"", int(counts[word].sum()), int((total[np.unique(back[word])] > 0).sum())))
+    return pd.DataFrame(rows, columns=["block", "part", "kind", "a", "b", "c", "n", "v"])
+
+
+def _frequent(parts: int, n: int, v: int):
+    """The frequent grams that a block owns (part -1), and the frequent contexts whose states it asks for."""
+
+    def run(pdf: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
+        columns = ["part", "block", "keys", "level", "context", "shorter", "whole", "n", "n_short", "root"]
+        if not len(pdf):
+            return pd.DataFrame([], columns=columns)
+        x = Block(pdf.text.tolist(), parts)
+        c, own = x.counts(got)
+        out = []
+        for k in range(1, DEPTH + 1):
+            where = np.zeros(len(x.keys[k]), np.int64)
+            some = np.flatnonzero(x.at[k] >= 0)
+            where[x.at[k][some]] = some
+            gram = np.flatnonzero(own[k])
+            p = where[gram]
+            context = x.at[k - 1][p - 1]
+            out.append(pd.DataFrame({
+                "part": -1, "block": -1, "keys": [b""] * len(p), "level": k, "context": x.keys[k - 1][context].astype(np.int64),
+                "shorter": x.keys[k - 2][x.at[k - 2][p - 1]].astype(np.int64) if k > 1 else np.zeros(len(p), np.int64), "whole": c[k - 1][context], "n": c[k][gram],
+                "n_short": c[k - 1][x.at[k - 1][p]], "root": (c[0][x.at[0][p]] + 1.0) / (n + v + 1.0),
+            }))
+        keys = np.concatenate([x.keys[k][c[k] >= LEAST_COUNT] for k in range(DEPTH)])
+        order, part = _by_part(keys, parts)
+        cuts = np.searchsorted(part[order], np.arange(parts + 1))
+        rows = [(p, pdf.block.iloc[0], keys[o].tobytes(), 0, 0, 0, 0, 0, 0, 0.0) for p in range(parts) if len(o := order[cuts[p] : cuts[p + 1]])]
+        return pd.concat([*out, pd.DataFrame(rows, columns=columns)], ignore_index=True)
+
+    return run
+
+
+def _states(grams: DataFrame) -> DataFrame:
+    """(key, size, back) of the retained contexts: divergence tests, level by level."""
+    gain = F.sum(F.col("n") * F.log(F.col("n") / F.col("whole") / F.col("below"))).alias("gain")
+
+    def retained(g: DataFrame) -> DataFrame:
+        s = g.groupBy("context").agg(gain, F.sum("n").alias("told"), F.count(F.lit(1)).alias("kinds"), F.max("whole").alias("whole"))
+        s = s.where((F.col("gain") >= GAIN) & (F.col("gain") >= DIVERGENCE * F.col("whole"))).withColumn("size", F.col("whole") + F.col("kinds"))
+        return s.select(F.col("context").alias("key"), F.col("size").cast("double").alias("size"), ((F.col("size") - F.col("told")) / F.col("size")).alias("back"))
+
+    one = stored(retained(grams.where("level = 1").withColumn("below", F.col("root"))), "states")
+    two = grams.where("level = 2").join(one.withColumnRenamed("key", "shorter"), "shorter")
+    return one.union(stored(retained(two.withColumn("below", F.col("n_short") / F.col("size") + F.col("back") * F.col("root"))), "states"))
+
+
+def _state_answers(asked: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
+    """For each block that asked, those of its contexts in one part that are retained."""
+    states = states.assign(key=states.key.to_numpy(np.int64).astype(np.uint64)).sort_values("key")
+    table, size, back = states.key.to_numpy(np.uint64), states["size"].to_numpy(float), states.back.to_numpy(float)
+    rows = []
+    for block, part, k in zip(asked.block, asked.part, asked["keys"]):
+        at = _find(table, np.frombuffer(k, np.uint64))
+        at = at[at >= 0]
+        if len(at):
+            rows.append((block, part, 1, table[at].tobytes(), size[at].tobytes(), back[at].tobytes()))
+    return pd.DataFrame(rows, columns=["block", "part", "kind", "a", "b", "c"])
 
 
 class Tree:
-    """The levels: grams[k] holds the frequent (k+1)-grams as sorted keys, each (place of its first k words) * M + last word."""
+    """The same model held whole, for small tables; the tests hold the partitioned one against it. The levels: grams[k] holds the frequent (k+1)-grams as sorted keys, each (place of its first k words) * M + last word."""
 
     def __init__(self, words: np.ndarray, counts: np.ndarray, n: int, v: int):
         order = np.argsort(words)
@@ -183,75 +289,50 @@ class Tree:
         return np.log10(root), np.log10(p)
 
 
-def _level_counts(train: DataFrame, tree: Tree, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """All grams of the next level that make up `least` or more symbols: at most 1 / P_MIN, so they may be collected."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[np.ndarray] = []
-
-        def flush():
-            keys, n = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            return pd.DataFrame({"key": keys.astype(np.int64), "n": n.astype(np.int64)})
-
-        for b in batches:
-            for i in range(0, len(b), 2000):
-                held.append(tree.candidate_keys(*symbols(b.text.iloc[i : i + 2000].tolist())))
-                if sum(map(len, held)) > 4_000_000:
-                    yield flush()
-        if held:
-            yield flush()
-
-    got = train.select("text").mapInPandas(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    got = got.where(F.col("n") >= least).toPandas()
-    return got.key.to_numpy(np.int64), got.n.to_numpy(np.int64)
-
-
 def score_documents(docs: DataFrame, modulus: int = 7) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_contexts for each document."""
     spark = docs.sparkSession
     d = texts(docs).withColumn("train", ~F.coalesce(held_out("doc_id", modulus), F.lit(False)))
-    size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks, parts = max(1, -(-size // BLOCK_BYTES)), parts_for(spark)
+    bytes_ = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks, parts = max(1, -(-bytes_ // BLOCK_BYTES)), parts_for(spark)
     x = d.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
-    asked = x.groupBy("block").applyInPandas(_requests(parts), "part int, block int, keys binary, counts binary")
-    answers = stored(asked.groupBy("part").applyInPandas(_answers, "block int, part int, keys binary, counts binary, n long, v long"), "word-counts")
-    own = answers.where("block = -1")
-    total = own.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
+    asked = x.groupBy("block").applyInPandas(_requests(parts), "part int, block int, words int, keys binary, counts binary")
+    told = "block int, part int, kind int, a binary, b binary, c binary"
+    answers = stored(asked.groupBy("part").applyInPandas(_answers, f"{told}, n long, v long"), "gram-counts")
+    total = answers.where("block = -1").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     n, v = int(total.n or 0), int(total.v or 0)
-    least = max(LEAST_COUNT, P_MIN * n)
-
-    def frequent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for k, c in zip(b["keys"], b.counts):
-                k, c = np.frombuffer(k, np.uint64), np.frombuffer(c, np.int64)
-                yield pd.DataFrame({"key": k[c >= least].astype(np.int64), "n": c[c >= least]})
-
-    words = own.select("keys", "counts").mapInPandas(frequent, "key long, n long").toPandas()  # at most 1 / P_MIN
-    tree = Tree(words.key.to_numpy(np.int64).astype(np.uint64), words.n.to_numpy(np.int64), n, v)
-    train = d.where("train")
-    for _ in range(DEPTH):
-        tree.add_level(*_level_counts(train, tree, least))
-    tree.settle()
-    contexts = int(sum((~np.isnan(b)).sum() for b in tree.back))
+    answers = answers.where("block >= 0").drop("n", "v")
+    schema = "part int, block int, keys binary, level int, context long, shorter long, whole long, n long, n_short long, root double"
+    frequent = stored(x.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_frequent(parts, n, v), schema), "frequent-grams")
+    states = _states(frequent.where("part = -1"))
+    contexts = states.count()
+    dealt = states.withColumn("part", (F.shiftrightunsigned("key", 20) % parts).cast("int"))
+    asks = frequent.where("part >= 0").select("part", "block", "keys")
+    replies = answers.union(asks.groupBy("part").cogroup(dealt.groupBy("part")).applyInPandas(_state_answers, told))
 
     def score(pdf: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-        ids, sizes, hashes = symbols(pdf.text.tolist())
-        keys, back = np.unique(hashes, return_inverse=True)
-        order, _ = _by_part(keys, parts)
-        c = np.zeros(len(keys), np.int64)
-        if len(got):
-            c[order] = np.concatenate([np.frombuffer(zlib.decompress(a), np.int64) for a in got.sort_values("part").counts])
-        c = c[back][ids]
-        base, own_score = tree.log10(ids, sizes, hashes, c)
-        starts = np.cumsum(sizes) - sizes
+        b = Block(pdf.text.tolist(), parts)
+        c, _ = b.counts(got)
+        count = c[0][b.at[0]]
+        base = (count + 1.0) / (n + v + 1.0)
+        p = base.copy()
+        got = got[got.kind == 1]
+        key = np.frombuffer(b"".join(got.a), np.uint64)
+        order = np.argsort(key)
+        key, size, back = key[order], np.frombuffer(b"".join(got.b), float)[order], np.frombuffer(b"".join(got.c), float)[order]
+        for k in range(1, DEPTH + 1):
+            some = np.flatnonzero(b.place >= k)
+            state = _find(key, b.keys[k - 1])[b.at[k - 1][some - 1]]
+            some, state = some[state >= 0], state[state >= 0]
+            explicit = c[k][b.at[k][some]]
+            p[some] = np.where(explicit >= LEAST_COUNT, explicit, 0) / size[state] + back[state] * p[some]
+        starts = np.cumsum(b.sizes) - b.sizes
         return pd.DataFrame({
-            "doc_id": pdf.doc_id, "held_out": ~pdf.train, "n_tokens": sizes,
-            "n_known": np.add.reduceat((c > 0).astype(np.int64), starts), "train_tokens": n,
-            "base_score": np.add.reduceat(base, starts), "score": np.add.reduceat(own_score, starts), "n_contexts": contexts,
+            "doc_id": pdf.doc_id, "held_out": ~pdf.train, "n_tokens": b.sizes,
+            "n_known": np.add.reduceat((count > 0).astype(np.int64), starts), "train_tokens": n,
+            "base_score": np.add.reduceat(np.log10(base), starts), "score": np.add.reduceat(np.log10(p), starts), "n_contexts": contexts,
         })
 
     kind = d.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_contexts long"
-    replies = answers.where("block >= 0").select("block", "part", "counts")
     return x.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(score, schema)

@@ -219,6 +219,30 @@ def test_suffix_tree(docs, rows):
         assert r.score < 0
 
 
+def test_suffix_tree_in_parts_is_the_whole_tree(spark, monkeypatch):
+    """Several blocks, scores equal to those of the tree held whole, and no least share of the corpus."""
+    monkeypatch.setattr(suffix_tree, "P_MIN", 0.01, raising=False)
+    monkeypatch.setattr(suffix_tree, "BLOCK_BYTES", 200_000)
+    d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text or "" for r in d.collect()}
+    ids, sizes, hashes = suffix_tree.symbols([t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 7 != 2])
+    keys, back = np.unique(hashes, return_inverse=True)
+    counts = np.bincount(back[ids], minlength=len(keys))
+    often = counts >= suffix_tree.LEAST_COUNT
+    tree = suffix_tree.Tree(keys[often], counts[often], len(ids), len(keys))
+    for _ in range(suffix_tree.DEPTH):
+        k, c = np.unique(tree.candidate_keys(ids, sizes, hashes), return_counts=True)
+        tree.add_level(k[c >= suffix_tree.LEAST_COUNT], c[c >= suffix_tree.LEAST_COUNT])
+    tree.settle()
+    known = dict(zip(keys.tolist(), counts.tolist()))
+    contexts = sum(int((~np.isnan(b)).sum()) for b in tree.back)
+    assert all((~np.isnan(b)).any() for b in tree.back)
+    for r in suffix_tree.score_documents(d).collect():
+        one, size, h = suffix_tree.symbols([texts[r.doc_id]])
+        _, p = tree.log10(one, size, h, np.array([known.get(x, 0) for x in h.tolist()])[one])
+        assert r.n_contexts == contexts and math.isclose(r.score, p.sum(), rel_tol=1e-9)
+
+
 def test_suffix_states_are_distributions():
     """With all words frequent, each state's probabilities, unknown word included, sum to one."""
     rng = np.random.default_rng(5)
