@@ -38,20 +38,48 @@ def words_of(text: str) -> list[bytes]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where the setting is absent (local tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, else the one of setCheckpointDir, else a temporary one.
+
+    A temporary folder is local to one machine, so it is refused unless the master is local.
+    """
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("cairnspark.shared.dir", None)
     if not where:
+        set_ = spark.sparkContext._jsc.sc().getCheckpointDir()
+        where = set_.get() if set_.isDefined() else None
+    if not where:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         where = tempfile.mkdtemp(prefix="cairnspark-")
         spark.conf.set("cairnspark.shared.dir", where)
     return where
 
 
+def _hadoop_path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """df written as Parquet into the shared folder and read back: lineage is cut, and a lost executor loses nothing."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    """df written as Parquet into the shared folder and read back: lineage is cut, and a lost executor loses nothing.
+
+    The files go when the driver's JVM ends; `forget` drops those that nothing reads any more before that.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    fs, at = _hadoop_path(spark, path)
+    fs.deleteOnExit(at)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes the files of a table that `stored` returned and that no later result reads."""
+    fs, at = _hadoop_path(df.sparkSession, df.stored_at)
+    fs.delete(at, True)
 
 
-def parts_for(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def parts_for(spark: SparkSession, size: int = 0, each: int = 1) -> int:
+    """Parts to deal `size` out to so that one holds about `each`, and no fewer than the session's shuffle partitions."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // each))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnspark.llm.common import stored
+from cairnspark.llm.common import forget, stored
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -23,11 +23,13 @@ def _small_star(e: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of an edge (a, b); root is the smallest node reachable. Each round is written out, so
-    a lost executor costs that round only; the number of rounds grows with the logarithm of the nodes."""
+    a lost executor costs that round only, and replaces the one before; the number of rounds grows with the logarithm of
+    the nodes. A node with very many neighbours is one key of a sort-merge join, which adaptive execution splits."""
     e = stored(edges.select("a", "b").where("a <> b").distinct(), "edges")
     seen = None
     for _ in range(most_rounds):
-        e = stored(_small_star(_large_star(e)), "edges")
+        before, e = e, stored(_small_star(_large_star(e)), "edges")
+        forget(before)
         now = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if now == seen:
             return e.select(F.col("b").alias("node"), F.col("a").alias("root")).union(e.select(F.col("a"), F.col("a"))).distinct()
