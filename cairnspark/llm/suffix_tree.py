@@ -11,6 +11,9 @@ retained states of its own contexts, so no level is held in any one place. The p
 of a word in its longest retained suffix state is the explicit count, smoothed Witten-Bell fashion with the next
 shorter state's probability, down to the root.
 
+Blocks and parts both grow with the bytes of the corpus, so what one task holds does not; a block sends a part one row, and
+none where it has no gram of that part, so the rows never outnumber the grams asked for.
+
 Words are told apart by 64-bit hashes (two of a billion words agree with a chance of about 3 %).
 Defined results: null and empty texts are one end; repeated rows count and are scored each; an empty table gives no rows;
 with no training rows N and V are 0 and every token has probability 1; columns besides doc_id and text are ignored.
@@ -32,6 +35,7 @@ from cairnspark.llm.common import held_out, parts_for, stored, texts, words_of
 LEAST_COUNT, DEPTH = 8, 2
 GAIN, DIVERGENCE = 20.0, 0.01
 BLOCK_BYTES = 16_000_000
+PART_BYTES = 32_000_000  # text whose grams one part of the table answers for
 END = 0  # the hash that stands for a text's end
 
 
@@ -294,7 +298,7 @@ def score_documents(docs: DataFrame, modulus: int = 7) -> DataFrame:
     spark = docs.sparkSession
     d = texts(docs).withColumn("train", ~F.coalesce(held_out("doc_id", modulus), F.lit(False)))
     bytes_ = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks, parts = max(1, -(-bytes_ // BLOCK_BYTES)), parts_for(spark)
+    blocks, parts = max(1, -(-bytes_ // BLOCK_BYTES)), parts_for(spark, bytes_, PART_BYTES)
     x = d.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
     asked = x.groupBy("block").applyInPandas(_requests(parts), "part int, block int, words int, keys binary, counts binary")
     told = "block int, part int, kind int, a binary, b binary, c binary"
