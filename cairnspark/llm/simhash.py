@@ -4,9 +4,11 @@ Texts collapse to distinct fingerprints first, so copies cost one row. Two finge
 three bits agree in one of four 16-bit blocks; each fingerprint goes to the shards of its four block values. A shard
 holds one BK-tree per block value: children hang at their Hamming distance to the parent, and a search follows only
 edges within the radius of the node's distance. Trees are built and searched level by level in numpy. A block value
-with more than `MOST_IN_TREE` fingerprints is split into several trees, each of which sees all its queries. Shard
-trees travel to the tasks through the shuffle rather than as one broadcast, since all trees together grow with the data.
-A tree emits one link per fingerprint and component of its own; components are then joined across trees.
+with more than `MOST_IN_TREE` fingerprints is dealt to several trees, and its queries to as many slices: each pair of a tree
+and a slice is one group, so no group holds more than about twice `MOST_IN_TREE`, however common the value. Shard
+trees travel to the tasks through the shuffle rather than as one broadcast, since all trees together grow with the data;
+the number of shards grows with the fingerprints.
+A group emits one link per fingerprint and component of its own; components are then joined across groups.
 
 Defined results: null and empty texts, and texts of white space, have fingerprint zero, linked like any other;
 repeated rows repeat; an empty table gives no rows; columns besides doc_id and text are ignored (dedup keeps them).
@@ -19,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnspark.llm.common import parts_for, stored, texts, words_of
@@ -27,6 +29,7 @@ from cairnspark.llm.components import components
 
 RADIUS, BLOCKS, SHINGLE, SEED = 3, 4, 3, 42
 MOST_IN_TREE = 8192
+SHARD_ROWS = 200_000
 _FRONTIER = 1_000_000
 
 
@@ -126,15 +129,15 @@ def merge_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = nxt
 
 
-def shard_links(group: np.ndarray, value: np.ndarray, in_tree: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Links (value, smaller value) that connect what the trees of one shard connect, at most one per value and group."""
+def shard_links(group: np.ndarray, value: np.ndarray, in_tree: np.ndarray, asks: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """Links (value, smaller value) that connect what the groups of one shard connect, at most one per value and group."""
     order = np.lexsort((value, group))
-    group, value, in_tree = group[order], value[order], in_tree[order]
+    group, value, in_tree, asks = group[order], value[order], in_tree[order], asks[order]
     label = np.arange(len(value))
-    members = np.flatnonzero(in_tree)
+    members, queries = np.flatnonzero(in_tree), np.flatnonzero(asks)
     forest = Forest(group[members], value[members])
-    for q, node in forest.search(group, value, radius):
-        merge_labels(label, q, members[node])
+    for q, node in forest.search(group[queries], value[queries], radius):
+        merge_labels(label, queries[q], members[node])
     linked = np.flatnonzero(label != np.arange(len(label)))
     return value[linked], value[label[linked]]
 
@@ -142,20 +145,22 @@ def shard_links(group: np.ndarray, value: np.ndarray, in_tree: np.ndarray, radiu
 def link_fingerprints(fps: DataFrame, radius: int = RADIUS, most: int = MOST_IN_TREE) -> DataFrame:
     """Edges (a, b) between distinct fingerprints `fp` whose components are those of all pairs within the radius.
 
-    With `BLOCKS` = radius + 1 blocks the search is exact.
+    With `BLOCKS` = radius + 1 blocks the search is exact: of a block value dealt to trees 0 to t - 1, the group of tree i
+    and slice j (i <= j) compares all of i with all of j, so every pair meets in one group.
     """
     width = 64 // (radius + 1)
     blocks = F.explode(F.expr(f"transform(sequence(0, {radius}), i -> (shiftrightunsigned(fp, i * {width}) & {(1 << width) - 1}L) * {radius + 1}L + i)"))
     routed = fps.select("fp", blocks.alias("block"))
     large = routed.groupBy("block").count().where(F.col("count") > most).select("block", F.ceil(F.col("count") / most).cast("int").alias("trees"))
     routed = routed.join(large, "block", "left").withColumn("trees", F.coalesce("trees", F.lit(1)))
-    routed = routed.select("fp", "block", F.pmod(F.xxhash64("fp"), "trees").alias("own"), F.explode(F.expr("sequence(0, trees - 1)")).alias("tree"))
-    shards = parts_for(fps.sparkSession)
-    routed = routed.select("fp", F.xxhash64("block", "tree").alias("g"), (F.col("own") == F.col("tree")).alias("in_tree"))
+    routed = routed.select("fp", "block", F.pmod(F.xxhash64("fp"), "trees").cast("int").alias("own"), F.explode(F.expr("sequence(0, trees - 1)")).alias("other"))
+    shards = parts_for(fps.sparkSession, (radius + 1) * fps.count(), SHARD_ROWS)
+    tree, slice_ = F.least("own", "other"), F.greatest("own", "other")
+    routed = routed.select("fp", F.xxhash64("block", tree, slice_).alias("g"), (F.col("own") == tree).alias("in_tree"), (F.col("own") == slice_).alias("asks"))
     routed = routed.withColumn("shard", F.pmod("g", F.lit(shards)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = shard_links(pdf.g.to_numpy(), pdf.fp.to_numpy().astype(np.uint64), pdf.in_tree.to_numpy(), radius)
+        a, b = shard_links(pdf.g.to_numpy(), pdf.fp.to_numpy().astype(np.uint64), pdf.in_tree.to_numpy(), pdf.asks.to_numpy(), radius)
         return pd.DataFrame({"a": a.astype(np.int64), "b": b.astype(np.int64)})
 
     return routed.groupBy("shard").applyInPandas(run, "a long, b long")
@@ -187,13 +192,18 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One row of each component: that of the smallest doc_id (null is the largest), then of the smallest hash of its text."""
+    """One row of each component: that of the smallest doc_id (null is the largest), then of the smallest hash of its text.
+
+    The decision is taken on ids, hashes and fingerprints; texts are shuffled once, to meet it.
+    """
     keyed = stored(_keyed(docs), "simhash-keyed")
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
     distinct = stored(keyed.groupBy("fp").agg(F.min(key).alias("low")), "simhash-distinct")
     linked = components(link_fingerprints(distinct, radius)).withColumnRenamed("node", "fp")
     reps = distinct.join(linked, "fp", "left").groupBy(F.coalesce("root", "fp")).agg(F.min("low").alias("low"))
-    keep = reps.select(F.col("low.doc_id").alias("__keep_id"), F.col("low.h").alias("__keep_hash"))
-    rows = docs.withColumn("__hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    same = F.col("doc_id").eqNullSafe(F.col("__keep_id")) & (F.col("__hash") == F.col("__keep_hash"))
-    return rows.join(keep, same, "left_semi").dropDuplicates(["doc_id", "__hash"]).select(*docs.columns)
+    own = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__id"), F.col("doc_id").isNull().alias("__none")]
+    keep = reps.select("low.doc_id", "low.h").select(*own, F.col("h").alias("__hash"))
+    by = ["__id", "__none", "__hash"]
+    rows = docs.select("*", *own, F.xxhash64(F.coalesce("text", F.lit(""))).alias("__hash")).join(keep, by, "left_semi")
+    one = F.row_number().over(Window.partitionBy(*by).orderBy("__hash"))  # repeated rows: the join's partitioning serves
+    return rows.withColumn("__n", one).where("__n = 1").select(*docs.columns)
