@@ -83,3 +83,22 @@ def forget(df: DataFrame) -> None:
 def parts_for(spark: SparkSession, size: int = 0, each: int = 1) -> int:
     """Parts to deal `size` out to so that one holds about `each`, and no fewer than the session's shuffle partitions."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // each))
+
+
+def placed(matches: str, extra: dict[str, str]) -> str:
+    """SQL for the spans of an array<struct<pre,hit>>, each match with what lies between it and the one before.
+
+    Gives array<struct<start,end,...>> in code points, with further fields from expressions over `x`, the match. Offsets
+    are summed in runs of about the square root of the matches, so a text of n matches takes n ** 1.5 small steps, not n ** 2.
+    """
+    run = "greatest(16, CAST(ceil(sqrt(size(m))) AS INT))"
+    fields = "".join(f", '{k}', {v}" for k, v in extra.items())
+    moved = "".join(f", '{k}', x.{k}" for k in extra)
+    span = f"named_struct('start', s.at + length(x.pre), 'end', s.at + length(x.pre) + length(x.hit){fields})"
+    empty = f"slice(transform(array(named_struct('pre', '', 'hit', '')), x -> named_struct('start', 0, 'end', 0{fields})), 1, 0)"
+    one = f"""aggregate(slice(m, CAST(k * {run} AS INT) + 1, {run}), named_struct('at', 0, 'out', {empty}),
+      (s, x) -> named_struct('at', s.at + length(x.pre) + length(x.hit), 'out', concat(s.out, array({span}))))"""
+    runs = f"transform(sequence(0, (greatest(size(m), 1) - 1) div {run}), k -> {one})"
+    starts = "aggregate(r, named_struct('at', 0, 'out', CAST(array() AS array<int>)), (s, x) -> named_struct('at', s.at + x.at, 'out', concat(s.out, array(s.at))), s -> s.out)"
+    whole = f"flatten(zip_with(r, {starts}, (c, at) -> transform(c.out, x -> named_struct('start', at + x.start, 'end', at + x.end{moved}))))"
+    return f"element_at(transform(transform(array({matches}), m -> {runs}), r -> {whole}), 1)"

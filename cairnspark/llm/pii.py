@@ -1,11 +1,15 @@
 """Personal data by weak supervision: native SQL expressions, a tiny model fitted on counts of vote patterns.
 
-Candidates are what the base patterns and one looser pattern find. Three labelers vote 1, 0 or -1 on each: `regex`
-(a strict form, its checksum or range holds), `gazetteer` (top-level domain, country code, issuer, reserved range) and
-`context` (cue words in the 40 characters before it). Expectation-maximisation over the counts of distinct (kind,
-votes, length class) patterns - at most 6 * 27 * 3 rows, whatever the input - estimates how reliable each labeler is;
-a logistic span classifier is then fitted to the resulting soft labels. Base spans always stay; a looser candidate
-becomes a span if the classifier gives it at least half and it overlaps no base span.
+Candidates are all that the base patterns match, whether or not a match passes their check, and what looser patterns
+find: national numbers, bank accounts, phones without a plus, spelt-out addresses, long random words that may be
+secrets. Three labelers look at each candidate, whatever found it, and vote 1, -1 or 0 (no opinion): `regex` judges its
+written form and checksum, `gazetteer` looks its parts up in lists (top-level domains, calling codes, issuers, countries,
+reserved ranges, token lengths), `context` reads the 40 characters before it for cue and counter-cue words.
+Expectation-maximisation over the counts of distinct (kind, length class, votes) patterns - at most 7 * 3 * 27 rows,
+whatever the input - estimates each kind's share and how reliable each labeler is, without being told which candidates
+are base spans; a logistic span classifier is then fitted to the resulting soft labels. Base spans always stay; another
+candidate becomes a span if the classifier gives it at least half and it overlaps no base span. Of candidates inside a
+base span nothing is learned.
 
 A text is scanned in one pass per pattern: \\G ties each match to the one before, so nothing is scanned twice, and
 possessive groups keep the matcher off the stack on very long texts. Rows are judged alone; only the pattern counts
@@ -24,11 +28,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairnspark.llm.common import stored, texts
+from cairnspark.llm.common import placed, stored, texts
 
 #: Base kinds in the order in which ties are listed, then the kinds that the method adds.
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "ssn", "iban")
+KINDS = (*BASE_KINDS, "ssn", "iban", "secret")
 #: The base patterns. Group 1 is what lies between, group 2 the match; a start is \\G or follows a character outside the first class.
 PATTERNS = {
     "email": r"\G((?s:.*?[^A-Za-z0-9._%+-])??)([A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++)",
@@ -42,30 +46,37 @@ GATES = {
 }
 LOOSE = (
     r"\G((?s:.*?))((?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])|(?<![0-9A-Za-z+-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-])"
-    r"|(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])|(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){1,4}+)"
+    r"|(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])|(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){1,4}+"
+    r"|(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_-]{0,128}[0-9])(?=[0-9_-]{0,128}[A-Za-z])[A-Za-z0-9_-]{20,128}+(?![+/=]))"
 )
-LOOSE_GATE = r"text rlike r'[0-9]{3}[-. )]|[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}|[\[(] ?at ?[\])]'"
+LOOSE_GATE = r"text rlike r'[0-9]{3}[-. )]|[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}|[\[(] ?at ?[\])]|[A-Za-z0-9_-]{20}'"
 #: Gazetteers and cue words.
-TLDS = ("com", "org", "net", "edu", "gov", "io", "info", "de", "fr", "es", "uk", "it", "nl", "ch", "at", "eu", "us", "ca", "au", "jp", "cn", "in", "br", "ru")
-CALLING_CODES = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "52", "54", "55", "61", "62", "64", "65", "81", "82", "86", "90", "91")
-IBAN_COUNTRIES = ("AT", "BE", "CH", "DE", "DK", "ES", "FI", "FR", "GB", "IE", "IT", "LU", "NL", "NO", "PL", "PT", "SE")
+TLDS = (
+    "com", "org", "net", "edu", "gov", "mil", "int", "info", "biz", "name", "pro", "io", "ai", "app", "dev", "cloud", "online", "shop", "site", "store", "tech", "xyz", "co", "me", "tv", "cc",
+    "at", "au", "be", "bg", "br", "ca", "ch", "cl", "cn", "cz", "de", "dk", "ee", "es", "eu", "fi", "fr", "gr", "hk", "hr", "hu", "id", "ie", "il", "in", "is", "it", "jp", "kr", "lt", "lu",
+    "lv", "mx", "my", "nl", "no", "nz", "pe", "ph", "pk", "pl", "pt", "ro", "rs", "ru", "se", "sg", "si", "sk", "th", "tr", "tw", "ua", "uk", "us", "ve", "vn", "za",
+)
+#: Calling codes: one digit, two digits, and whole ranges of three digits, as they are dealt out by zone.
+CALLING_CODES = "1|7|2(?:0|7|[1-689][0-9])|3(?:[0-469]|[578][0-9])|4(?:[013-9]|2[0-9])|5(?:[1-8]|[09][0-9])|6(?:[0-6]|[789][0-9])|8(?:[1246]|[0578][0-9])|9(?:[0-58]|[679][0-9])"
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AT": 20, "BE": 16, "BG": 22, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27, "HR": 21, "HU": 28, "IE": 22,
+    "IL": 23, "IS": 26, "IT": 27, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MT": 31, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "SA": 24, "SE": 24, "SI": 19, "SK": 24, "TR": 26,
+}
 CUES = {
     "email": "mail|contact|write to|courriel|correo", "ip": r"\bip\b|address|host|server|adresse", "card": "card|visa|master|payment|karte|carte|tarjeta",
     "phone": r"phone|\btel\b|call|fax|mobile|telefon|appel|tel[eé]fono", "ssn": r"\bssn\b|social security", "iban": r"iban|account|konto|compte|cuenta",
-}
-COUNTER_CUES = r"version|\bisbn|\border\b|invoice|serial|release"
-SPAN = "struct<start:int,end:int,hit:string,before:string>"
+    "secret": r"token|passw|secret|api.?key|access.?key|private.?key|bearer|credential|auth",
+}
+COUNTER_CUES = r"version|\bisbn|\border\b|invoice|serial|release|commit|checksum|digest|revision|\bsha[0-9]|\bmd5"
 CAND = "struct<kind:string,start:int,end:int,base:boolean,v_regex:int,v_gazetteer:int,v_context:int,len_class:int>"
 
 
 def _matches(pattern: str, gate: str) -> str:
+    """Matches of a pattern as array<struct<start,end,hit,before>>; empty where the gate does not hold."""
     rx = pattern.replace("'", "\\'")
-    return f"""IF({gate}, aggregate(
-      zip_with(regexp_extract_all(text, r'{rx}', 1), regexp_extract_all(text, r'{rx}', 2), (a, b) -> named_struct('pre', a, 'hit', b)),
-      named_struct('at', 0, 'out', cast(array() AS array<{SPAN}>)),
-      (s, m) -> named_struct('at', s.at + length(m.pre) + length(m.hit), 'out', concat(s.out, array(named_struct(
-        'start', s.at + length(m.pre), 'end', s.at + length(m.pre) + length(m.hit), 'hit', m.hit, 'before', lower(right(m.pre, 40)))))),
-      s -> s.out), cast(array() AS array<{SPAN}>))"""
+    found = f"zip_with(regexp_extract_all(text, r'{rx}', 1), regexp_extract_all(text, r'{rx}', 2), (a, b) -> named_struct('pre', a, 'hit', b))"
+    none = "CAST(array() AS array<struct<start:int,end:int,hit:string,before:string>>)"
+    return f"IF({gate}, {placed(found, {'hit': 'x.hit', 'before': 'lower(right(x.pre, 40))'})}, {none})"
 
 
 def _luhn(hit: str) -> str:
@@ -82,45 +93,69 @@ def _digits(hit: str) -> str:
     return f"length(regexp_replace({hit}, '[^0-9]', ''))"
 
 
+def _mod97(hit: str) -> str:
+    """The account number's check: first four characters moved to the end, letters as 10 to 35, the rest of division by 97."""
+    c = f"replace(upper({hit}), ' ', '')"
+    digits = f"concat(substring({c}, 5), left({c}, 4))"
+    value = f"IF(substring(t, i, 1) BETWEEN '0' AND '9', int(substring(t, i, 1)), ascii(substring(t, i, 1)) - 55)"
+    step = f"IF(substring(t, i, 1) BETWEEN '0' AND '9', s * 10 + {value}, s * 100 + {value}) % 97"
+    return f"(element_at(transform(array({digits}), t -> aggregate(sequence(1, length(t)), 0, (s, i) -> CAST({step} AS INT))), 1) = 1)"
+
+
 VALID = {
     "email": "true",
     "ip": r"x.hit rlike r'^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\.|$)){4}$'",
     "card": f"({_digits('x.hit')} BETWEEN 12 AND 19 AND {_luhn('x.hit')})",
     "phone": f"({_digits('x.hit')} BETWEEN 9 AND 15)",
 }
+#: How a candidate is written, whatever found it: 1 for the usual form, -1 for one that cannot be, 0 for neither.
+FORM = {
+    "email": r"IF(x.hit rlike r'\.\.|^[.]|[.]@|@-|[0-9]$', -1, IF(x.hit rlike r'[\[(]', 0, 1))",
+    "ip": f"IF(NOT ({VALID['ip']}), -1, IF(x.hit rlike r'(?:^|\\.)0[0-9]', 0, 1))",
+    "card": f"IF(NOT {VALID['card']}, -1, IF(x.hit rlike r'^(?:[0-9]{{12,19}}|[0-9]{{4}}(?:[ -][0-9]{{4}}){{2}}[ -][0-9]{{1,7}}|[0-9]{{4}}[ -][0-9]{{6}}[ -][0-9]{{5}})$', 1, 0))",
+    "phone": rf"IF({_digits('x.hit')} NOT BETWEEN 7 AND 15 OR x.hit rlike r'[ .()-]{{3}}|[.-][.-]', -1, IF(x.hit rlike r'^\+?[0-9]{{0,3}}[ .-]?\(?[0-9]{{2,4}}\)?(?:[ .-]?[0-9]{{2,4}}){{2,4}}$', 1, 0))",
+    "ssn": "IF(x.hit rlike '^(?:000|666|9)|-00-|-0000$', -1, 1)",
+    "iban": f"IF({_mod97('x.hit')}, 1, -1)",
+    "secret": "IF(x.hit rlike '^[0-9a-f]+$|^[0-9A-F]+$|[a-z][0-9A-Z]*[A-Z0-9][a-z0-9]*[A-Z]', 1, IF(x.hit rlike '^[A-Za-z]+(?:[-_][A-Za-z]+)+[-_]?[0-9]{1,4}$|[-_]{2}', -1, 0))",
+}
+#: Whether lists know its parts.
 LISTED = {
     "email": f"IF(lower(substring_index(x.hit, '.', -1)) IN ({_quoted(TLDS)}), 1, -1)",
-    "ip": r"IF(x.hit rlike r'^0*(?:0|127|255)\.', -1, 1)",
-    "card": "IF(x.hit rlike '^[3-6]', 1, -1)",
-    "phone": f"IF(x.hit rlike r'^\\+(?:{'|'.join(CALLING_CODES)})', 1, IF(x.hit rlike r'^\\+', -1, 0))",
-    "ssn": "IF(x.hit rlike '^(?:000|666|9)|-00-|-0000', -1, 1)",
-    "iban": f"IF(substring(x.hit, 1, 2) IN ({_quoted(IBAN_COUNTRIES)}), 1, -1)",
+    "ip": r"IF(x.hit rlike r'^0*(?:0|127|255|22[4-9]|2[34][0-9])\.', -1, IF(x.hit rlike r'^(?:10|192\.168|172\.(?:1[6-9]|2[0-9]|3[01]))\.', 0, 1))",
+    "card": "IF(x.hit rlike '^(?:4|5[1-5]|2[2-7]|3[4-7]|6[0245])', 1, -1)",
+    "phone": f"IF(x.hit rlike r'^\\+(?:{CALLING_CODES})', 1, IF(x.hit rlike r'^\\+', -1, IF(x.hit rlike r'^\\(?[2-9][0-8][0-9]\\)?[ .-][2-9]', 1, -1)))",
+    "ssn": "IF(x.hit rlike '^(?:078-05-1120|219-09-9999|123-45-6789)$', -1, 0)",
+    "iban": "IF(length(replace(x.hit, ' ', '')) = coalesce(element_at(map(" + ", ".join(f"'{k}', {v}" for k, v in IBAN_LENGTHS.items()) + "), left(x.hit, 2)), 0), 1, -1)",
+    "secret": "IF(x.hit rlike '^(?:sk|pk|ghp|gho|glpat|xox[abp]|AKIA|ASIA|AIza|eyJ)', 1, IF(x.hit rlike '^[0-9a-fA-F]+$' AND length(x.hit) IN (32, 40, 48, 64, 96, 128), 1, -1))",
 }
 
 
-def _votes(kind: str, base: bool) -> str:
-    strict = "1" if base else {"ssn": "1", "iban": "1", "email": "0", "phone": "0"}[kind]
-    return f"""named_struct('kind', '{kind}', 'start', x.start, 'end', x.end, 'base', {str(base).lower()}, 'v_regex', {strict}, 'v_gazetteer', {LISTED[kind]},
-      'v_context', IF(x.before rlike r'{CUES[kind]}', 1, IF(x.before rlike r'{COUNTER_CUES}', -1, 0)),
+def _votes(kind: str, base: str) -> str:
+    return f"""named_struct('kind', '{kind}', 'start', x.start, 'end', x.end, 'base', {base}, 'v_regex', {FORM[kind]}, 'v_gazetteer', {LISTED[kind]},
+      'v_context', IF(x.before rlike r'(?:{CUES[kind]})[^a-z]*[a-z]*[^a-z]*$', 1, IF(x.before rlike r'(?:{COUNTER_CUES})[^a-z]*$', -1, IF(x.before rlike r'{CUES[kind]}', 1, 0))),
       'len_class', IF(length(x.hit) < 12, 0, IF(length(x.hit) < 20, 1, 2)))"""
 
 
 def candidates(d: DataFrame) -> DataFrame:
     """d (with a column text, not null) and `cands`: array of candidate spans in code points, with their votes."""
-    parts = [f"transform(filter({_matches(PATTERNS[k], GATES[k])}, x -> {VALID[k]}), x -> {_votes(k, True)})" for k in BASE_KINDS]
+    parts = [f"transform({_matches(PATTERNS[k], GATES[k])}, x -> {_votes(k, VALID[k])})" for k in BASE_KINDS]
     loose = f"""transform({_matches(LOOSE, LOOSE_GATE)}, x -> CASE
-      WHEN x.hit rlike r'^[0-9]{{3}}-[0-9]{{2}}-' THEN {_votes('ssn', False)}
-      WHEN x.hit rlike r'^[A-Z]{{2}}[0-9]{{2}}' AND NOT x.hit rlike r'[\\[(]' THEN {_votes('iban', False)}
-      WHEN x.hit rlike r'[\\[(] ?at ?[\\])]' THEN {_votes('email', False)}
-      ELSE {_votes('phone', False)} END)"""
-    return d.withColumn("cands", F.expr(f"cast(concat({', '.join(parts)}, {loose}) AS array<{CAND}>)"))
+      WHEN x.hit rlike r'^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$' THEN {_votes('ssn', 'false')}
+      WHEN x.hit rlike r'[\\[(] ?at ?[\\])]' THEN {_votes('email', 'false')}
+      WHEN x.hit rlike r'^\\(?[0-9]{{3}}\\)?[ .-][0-9]{{3}}[ .-][0-9]{{4}}$' THEN {_votes('phone', 'false')}
+      WHEN x.hit rlike r'^[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?$' THEN {_votes('iban', 'false')}
+      ELSE {_votes('secret', 'false')} END)"""
+    d = d.withColumn("cands", F.expr(f"cast(concat({', '.join(parts)}, {loose}) AS array<{CAND}>)"))
+    # what lies in a base span is that span's, not a candidate of its own
+    inside = "NOT x.base AND exists(filter(cands, b -> b.base), b -> b.start < x.end AND x.start < b.end)"
+    return d.withColumn("cands", F.expr(f"IF(size(cands) < 2, cands, filter(cands, x -> NOT ({inside})))"))
 
 
 @dataclass
 class SpanModel:
     """Labeler reliabilities from EM and the weights of the final classifier."""
 
-    prior: float = 0.5
+    prior: dict = field(default_factory=dict)  # kind -> share of personal data
     reliability: dict = field(default_factory=dict)  # labeler -> {class: {vote: probability}}
     weights: dict = field(default_factory=dict)  # feature -> weight
 
@@ -141,29 +176,39 @@ def _features(row) -> list[str]:
     return ["bias", f"kind={row['kind']}", f"len_class={row['len_class']}", *(f"{v}={row[v]}" for v in LABELERS)]
 
 
+#: What is believed of a labeler before any data: how often it votes 1, 0 and -1 on personal data, worth two candidates; mirrored for the rest.
+BELIEF = {"v_regex": (0.75, 0.2, 0.05), "v_gazetteer": (0.7, 0.2, 0.1), "v_context": (0.4, 0.55, 0.05)}
+
+
 def fit_span_model(with_cands: DataFrame, rounds: int = 50, steps: int = 400) -> SpanModel:
-    """EM and logistic fit over pattern counts. The rows sent to the driver are bounded by the number of patterns (486)."""
+    """EM and logistic fit over pattern counts. The rows sent to the driver are bounded by the number of patterns (567)."""
     c = with_cands.select(F.explode("cands").alias("x")).groupBy("x.kind", "x.len_class", *(f"x.{v}" for v in LABELERS)).count()
-    rows = sorted((r.asDict() for r in c.collect()), key=str)
-    start = {"v_regex": (0.8, 0.15, 0.05), "v_gazetteer": (0.7, 0.2, 0.1), "v_context": (0.4, 0.55, 0.05)}
-    rel = {v: {1: dict(zip((1, 0, -1), p)), 0: dict(zip((-1, 0, 1), p))} for v, p in start.items()}
-    model = SpanModel(0.7, rel, {"bias": -2.0, "v_regex=1": 2.0, "v_gazetteer=1": 1.5, "v_gazetteer=-1": -1.5, "v_context=1": 2.0, "v_context=-1": -2.0})
+    return fit_patterns(sorted((r.asDict() for r in c.collect()), key=str), rounds, steps)
+
+
+def fit_patterns(rows: list[dict], rounds: int = 50, steps: int = 400) -> SpanModel:
+    """The model of given vote patterns: dicts of kind, len_class, the three votes and count."""
+    rel = {v: {1: dict(zip((1, 0, -1), p)), 0: dict(zip((-1, 0, 1), p))} for v, p in BELIEF.items()}
+    weights = {"bias": -1.0, "v_regex=1": 1.0, "v_regex=-1": -2.0, "v_gazetteer=1": 1.0, "v_gazetteer=-1": -1.5, "v_context=1": 2.0, "v_context=-1": -2.0}
+    model = SpanModel({k: 0.5 for k in KINDS}, rel, weights)
     total = sum(r["count"] for r in rows)
     if not total:
         return model
     for _ in range(rounds):
         for r in rows:
-            a = model.prior * math.prod(rel[v][1][r[v]] for v in LABELERS)
-            b = (1 - model.prior) * math.prod(rel[v][0][r[v]] for v in LABELERS)
+            a = model.prior[r["kind"]] * math.prod(rel[v][1][r[v]] for v in LABELERS)
+            b = (1 - model.prior[r["kind"]]) * math.prod(rel[v][0][r[v]] for v in LABELERS)
             r["p"] = a / (a + b)
-        model.prior = min(0.99, max(0.01, sum(r["p"] * r["count"] for r in rows) / total))
+        for k in KINDS:  # shares are drawn towards a half by two candidates
+            mine = [r for r in rows if r["kind"] == k]
+            model.prior[k] = (1 + sum(r["p"] * r["count"] for r in mine)) / (2 + sum(r["count"] for r in mine))
         for v in LABELERS:
             for k in (1, 0):
-                mass = {x: 2.0 * start[v][(1, 0, -1).index(x if k else -x)] for x in (1, 0, -1)}  # the prior belief counts as two candidates
+                mass = {x: 2.0 * BELIEF[v][(1, 0, -1).index(x if k else -x)] for x in (1, 0, -1)}
                 for r in rows:
                     mass[r[v]] += r["count"] * (r["p"] if k else 1 - r["p"])
                 rel[v][k] = {x: m / sum(mass.values()) for x, m in mass.items()}
-    weights = dict(model.weights)
+    weights = dict(weights)
     for _ in range(steps):
         grad: dict[str, float] = {}
         for r in rows:
@@ -181,10 +226,10 @@ def label_spans(with_cands: DataFrame, model: SpanModel) -> DataFrame:
     """with_cands plus `spans`: sorted array<struct<start,rank,end,kind,base>> of base spans and accepted candidates."""
     rank = f"array_position(array({_quoted(KINDS)}), x.kind)"
     base = "filter(cands, x -> x.base)"
-    more = f"filter(cands, x -> NOT x.base AND {model.logit()} >= 0 AND NOT exists(_base, b -> b.start < x.end AND x.start < b.end))"
+    more = f"filter(cands, x -> NOT x.base AND {model.logit()} >= 0)"
     d = with_cands.withColumn("_base", F.expr(base))
-    return d.withColumn("spans", F.expr(f"""array_distinct(sort_array(transform(concat(_base, {more}),
-        x -> named_struct('start', x.start, 'rank', {rank}, 'end', x.end, 'kind', x.kind, 'base', x.base))))""")).drop("_base", "cands")
+    return d.withColumn("spans", F.expr(f"""sort_array(transform(concat(_base, {more}),
+        x -> named_struct('start', x.start, 'rank', {rank}, 'end', x.end, 'kind', x.kind, 'base', x.base)))""")).drop("_base", "cands")
 
 
 def _joined(spans: str) -> Column:
@@ -206,12 +251,19 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every span's characters replaced by [KIND]; of overlapping spans the union goes, named by the first."""
-    c = candidates(docs.select(F.struct(*docs.columns).alias("row"), F.coalesce("text", F.lit("")).alias("text")))
+    c = stored(candidates(docs.select(F.struct(*docs.columns).alias("row"), F.coalesce("text", F.lit("")).alias("text"))), "pii-candidates")
     d = label_spans(c, fit_span_model(c))
-    cut = """aggregate(spans, named_struct('at', 0, 'out', ''),
-      (s, x) -> IF(x.end <= s.at, s, named_struct('at', x.end, 'out', concat(s.out,
-        IF(x.start >= s.at, concat(substring(text, s.at + 1, x.start - s.at), '[', upper(x.kind), ']'), '')))),
-      s -> concat(s.out, substring(text, s.at + 1)))"""
+    # what is kept is the text from each span's end to the next one's start, put together in runs of spans, each on its own
+    # piece of the text: a substring is found by counting characters from the start of what it is cut from
+    run = "greatest(16, CAST(ceil(sqrt(size(spans))) AS INT))"
+    runs = f"transform(sequence(0, (greatest(size(spans), 1) - 1) div {run}), k -> slice(spans, CAST(k * {run} AS INT) + 1, {run}))"
+    none = "cast(array() AS array<string>)"
+    inner = f"""aggregate(r, named_struct('at', s.at, 'out', {none}), (u, x) -> IF(x.end <= u.at, u, named_struct('at', x.end, 'out', concat(u.out,
+      IF(x.start >= u.at, array(substring(piece, u.at - s.at + 1, x.start - u.at), concat('[', upper(x.kind), ']')), {none})))),
+      u -> named_struct('at', u.at, 'out', concat(s.out, array(array_join(u.out, '')))))"""
+    piece = "substring(text, s.at + 1, greatest(array_max(transform(r, x -> x.end)) - s.at, 0))"
+    cut = f"""aggregate({runs}, named_struct('at', 0, 'out', {none}), (s, r) -> element_at(transform(array({piece}), piece -> {inner}), 1),
+      s -> concat(array_join(s.out, ''), substring(text, s.at + 1)))"""
     d = d.withColumn("text", F.expr(f"IF(size(spans) = 0, text, {cut})"))
     new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
     return d.select(*((new[c] if c in new else F.col(f"row.`{c}`")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns))
