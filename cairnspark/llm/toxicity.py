@@ -1,14 +1,17 @@
 """Toxicity: a logistic word classifier regularised by counterfactuals.
 
 It is fitted on a bounded sample of the labelled training documents (`MOST_LABELLED`, those of smallest hash). Where a
-text names a group, its identity terms are swapped for others and the squared change of the score is penalised, so the
-group named moves the score as little as possible. A text's features are the distinct words it holds (letters only,
-lower case) and the four-letter beginnings of longer ones; the vocabulary is made of words in at least `LEAST_TEXTS` sampled texts whose share of label 1 stands out by
-`LEAST_Z` standard errors, at most `MOST_WORDS`: the model sent to the tasks is bounded. Scoring is row by row: no shuffle, no skew.
+text names a group, its identity terms are swapped for others, the swapped text's features are made anew, and the squared
+change of the score is penalised, so the group named moves the score as little as possible. A text's features are the
+distinct words it holds (letters only, lower case) and the four-letter beginnings of longer ones; the vocabulary is made of
+features in at least `LEAST_TEXTS` sampled texts whose share of label 1 stands out by `LEAST_Z` standard errors, at most
+`MOST_WORDS`, and of the identity terms with their beginnings: the model sent to the tasks is bounded. Scoring is row by
+row: no shuffle, no skew.
 
 Defined results: null and empty texts are scored by the bias; without labels, or with one class only, every text gets
-the smoothed share of label 1; repeated labels of a document count once (the larger); repeated documents repeat; extra
-columns are ignored (keep_clean keeps them).
+the smoothed share of label 1; repeated labels of a document count once (the larger); repeated documents repeat, and of
+different texts of one labelled id the one whose word list sorts first is learned from; extra columns are ignored
+(keep_clean keeps them).
 """
 
 from __future__ import annotations
@@ -29,23 +32,32 @@ PENALTY, RIDGE, STEPS, THRESHOLD, LEAST_Z = 4.0, 3e-5, 150, 0.3, 4.0
 WORDS = re.compile(r"[^\W\d_]+").findall
 #: Groups of identity terms that may stand for each other.
 IDENTITY = (
-    ("women", "men"), ("woman", "man"), ("girls", "boys"), ("girl", "boy"), ("female", "male"),
-    ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"), ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"),
-    ("black", "white", "asian", "latino", "arab"), ("gay", "straight", "lesbian", "bisexual", "queer", "transgender"),
-    ("immigrants", "natives"), ("african", "european", "american", "mexican", "chinese", "indian"), ("old", "young"), ("disabled", "able"),
-    ("femmes", "hommes"), ("juifs", "chrétiens", "musulmans"), ("frauen", "männer"), ("juden", "christen", "muslime"),
-    ("mujeres", "hombres"), ("judíos", "cristianos", "musulmanes"),
+    ("women", "men"), ("woman", "man"), ("girls", "boys"), ("girl", "boy"), ("female", "male"), ("females", "males"), ("she", "he"), ("mother", "father"), ("wives", "husbands"),
+    ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist", "sikh", "catholic", "protestant"), ("muslims", "christians", "jews", "hindus", "buddhists", "atheists", "sikhs", "catholics", "protestants"),
+    ("islam", "christianity", "judaism", "hinduism", "buddhism", "atheism"), ("black", "white", "asian", "latino", "arab", "hispanic"), ("blacks", "whites", "asians", "latinos", "arabs", "hispanics"),
+    ("gay", "straight", "lesbian", "bisexual", "queer", "transgender"), ("gays", "straights", "lesbians", "bisexuals"), ("immigrants", "natives", "refugees", "migrants"), ("immigrant", "native", "refugee", "migrant"),
+    ("african", "european", "american", "mexican", "chinese", "indian", "turkish", "polish", "russian"), ("africans", "europeans", "americans", "mexicans", "indians", "turks", "poles", "russians"),
+    ("old", "young"), ("elderly", "teenage"), ("disabled", "able"), ("deaf", "hearing"), ("blind", "sighted"),
+    ("femmes", "hommes"), ("femme", "homme"), ("filles", "garçons"), ("juifs", "chrétiens", "musulmans", "catholiques", "athées"), ("juif", "chrétien", "musulman", "catholique", "athée"),
+    ("noirs", "blancs", "arabes", "asiatiques"), ("homosexuels", "hétérosexuels"), ("immigrés", "réfugiés"),
+    ("frauen", "männer"), ("frau", "mann"), ("mädchen", "jungen"), ("juden", "christen", "muslime", "katholiken", "atheisten"), ("jüdisch", "christlich", "muslimisch", "katholisch"),
+    ("schwarze", "weiße", "asiaten", "araber"), ("schwule", "heteros", "lesben"), ("ausländer", "einwanderer", "flüchtlinge"),
+    ("mujeres", "hombres"), ("mujer", "hombre"), ("niñas", "niños"), ("judíos", "cristianos", "musulmanes", "católicos", "ateos"), ("judío", "cristiano", "musulmán", "católico", "ateo"),
+    ("negros", "blancos", "árabes", "asiáticos"), ("homosexuales", "heterosexuales"), ("inmigrantes", "refugiados"),
 )
 SWAP = {w: group[(i + 1) % len(group)] for group in IDENTITY for i, w in enumerate(group)}
 
 
-def features(text: str) -> set[str]:
-    words = set(WORDS(text.lower()))
+def words_in(text: str) -> set[str]:
+    return set(WORDS(text.lower()))
+
+
+def features(words: set[str]) -> set[str]:
     return words | {w[:4] + "*" for w in words if len(w) > 4}
 
 
 def counterfactual(words: set[str]) -> set[str] | None:
-    """The words with every identity term swapped; None where there is none."""
+    """The words with every identity term swapped for the next of its group; None where there is none."""
     named = words & SWAP.keys()
     return (words - named) | {SWAP[w] for w in named} if named else None
 
@@ -56,25 +68,29 @@ class Model:
 
     def score(self, text: str) -> float:
         w = self.weights
-        z = self.bias + sum(w[x] for x in w.keys() & features(text))
+        z = self.bias + sum(w[x] for x in w.keys() & features(words_in(text)))
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
 def train(rows: list[tuple[list[str], int]], penalty: float = PENALTY) -> Model:
-    """rows: distinct words and label. Full-batch Adam on log loss + ridge + penalty * mean squared counterfactual change."""
+    """rows: distinct words and label. Full-batch Adam on log loss + ridge + penalty * mean squared counterfactual change.
+
+    The change is that of the score before the logistic function, over the texts that name a group.
+    """
     n, ones = len(rows), sum(y for _, y in rows)
     if not 0 < ones < n:
         p = (ones + 0.5) / (n + 1)
         return Model(float(np.log(p / (1 - p))), {})
     seen, with_one = Counter(), Counter()
-    for words, y in rows:
-        seen.update(words)
+    sets = [features(set(words)) for words, _ in rows]
+    for made, (_, y) in zip(sets, rows):
+        seen.update(made)
         if y:
-            with_one.update(words)
+            with_one.update(made)
     share = ones / n
     gap = {w: abs(with_one[w] - c * share) / (c * share * (1 - share)) ** 0.5 for w, c in seen.items() if c >= LEAST_TEXTS}
     vocabulary = sorted(sorted((w for w in gap if gap[w] >= LEAST_Z), key=lambda w: (-gap[w], w))[:MOST_WORDS])
-    vocabulary += sorted(SWAP.keys() - set(vocabulary))
+    vocabulary += sorted(features(set(SWAP)) - set(vocabulary))
     at = {w: i for i, w in enumerate(vocabulary)}
 
     def matrix(sets):
@@ -83,8 +99,8 @@ def train(rows: list[tuple[list[str], int]], penalty: float = PENALTY) -> Model:
         return row, np.array([i for x in ids for i in x], int)
 
     y = np.array([label for _, label in rows], float)
-    row, col = matrix([w for w, _ in rows])
-    swapped = [(set(w), s) for w, _ in rows if (s := counterfactual(set(w))) is not None]
+    row, col = matrix(sets)
+    swapped = [(made, features(s)) for made, (w, _) in zip(sets, rows) if (s := counterfactual(set(w))) is not None]
     r1, c1 = matrix([a - b for a, b in swapped])
     r2, c2 = matrix([b - a for a, b in swapped])
     m = len(swapped)
@@ -115,10 +131,11 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
 
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b.doc_id, "toxic": b.toxic, "words": [" ".join(sorted(features(t))) for t in b.text]})
+            yield pd.DataFrame({"doc_id": b.doc_id, "toxic": b.toxic, "words": [" ".join(sorted(words_in(t))) for t in b.text]})
 
     kind = d.schema["doc_id"].dataType.simpleString()
-    got = d.select("doc_id", "toxic", "text").mapInPandas(words, f"doc_id {kind}, toxic int, words string").dropDuplicates(["doc_id"])
+    got = d.select("doc_id", "toxic", "text").mapInPandas(words, f"doc_id {kind}, toxic int, words string")
+    got = got.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("words").alias("words"))
     rows = sorted((r.doc_id, r.words, r.toxic) for r in got.collect())
     return train([(w.split(), y) for _, w, y in rows])
 
