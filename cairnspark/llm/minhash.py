@@ -2,7 +2,8 @@
 
 A text's shingles are its runs of five words (fewer words: the whole sequence). A shingle's 64-bit value combines the
 hashes of its words; `PERMUTATIONS` multiply-add universal hashes give one minimum each, of which 16 bits are kept.
-Signatures of equal texts are equal. Near duplicates share one of `BANDS` bands; their shingle sets then decide.
+Signatures of equal texts are equal. Near duplicates share one of `BANDS` bands: signatures that meet in a band are compared,
+which gives candidate classes; within these the shingle sets decide, each sent once for every slice of its candidate class.
 
 Defined results: null and empty texts, and texts of white space, have no shingle and the all-ones signature, alike to
 each other only; repeated rows repeat; columns besides doc_id and text are ignored; an empty table gives no rows.
@@ -11,20 +12,22 @@ each other only; repeated rows repeat; columns besides doc_id and text are ignor
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairnspark.llm.common import stored, texts, words_of
+from cairnspark.llm.common import parts_for, stored, texts, words_of
 from cairnspark.llm.components import components
 
 PERMUTATIONS, BANDS, SHINGLE = 128, 32, 5
 SIMILAR, MARGIN = 0.8, 0.25
-MOST_IN_TREE = 4096
+MOST_IN_TREE, MOST_SHINGLES, SHARD_ROWS = 4096, 2_000_000, 100_000
+RANGE_BYTES = 64_000_000
 _RANDOM = np.random.default_rng(20_011)
 _A = (_RANDOM.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _B = _RANDOM.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
@@ -84,42 +87,71 @@ def signatures(docs: DataFrame) -> DataFrame:
     return d.mapInPandas(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, fingerprint string")
 
 
-def _bucket_links(similar: float):
-    """Verified links of one tree of a bucket: members among themselves and with the bucket's other sets."""
+class Classes:
+    """Union-find over 0 to n - 1."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def top(self, x: int) -> int:
+        up = self.up
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        x, y = self.top(x), self.top(y)
+        self.up[max(x, y)] = min(x, y)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = len(pdf)
-        sig = np.stack([np.frombuffer(bytes.fromhex(f), ">u2") for f in pdf.fingerprint]) if n else np.zeros((0, PERMUTATIONS), np.uint16)
-        sets, same, members = pdf.shingles.tolist(), pdf.same.tolist(), np.flatnonzero(pdf.member.to_numpy(bool))
-        root = list(range(n))
 
-        def top(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
+def _alike(sig: np.ndarray, members: np.ndarray, queries: np.ndarray, least: float) -> Iterator[tuple[int, int]]:
+    """Pairs (query, member) whose signatures agree in at least `least` places."""
+    for q in queries.tolist():
+        for at in range(0, len(members), 4096):
+            part = members[at : at + 4096]
+            for m in part[(sig[part] == sig[q]).sum(1) >= least].tolist():
+                if m != q:
+                    yield q, m
+
+
+def _linked(similar: float, verify: bool):
+    """Links that connect what the pairs of each group connect, at most one for each set but the first.
+
+    A group's members meet its queries. A pair is linked if its signatures lie no more than MARGIN below `similar` and,
+    with `verify`, the Jaccard similarity of the shingle sets reaches `similar`; pairs already in one class are passed over.
+    """
 
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = []
-        for q in range(n):
-            agree = np.zeros(len(members), np.int32)
-            for at in range(0, len(members), 4096):
-                part = members[at : at + 4096]
-                agree[at : at + 4096] = (sig[part] == sig[q]).sum(1)
-            for m in members[agree >= (similar - MARGIN) * PERMUTATIONS].tolist():
-                x, y = top(q), top(m)
-                if x == y:
-                    continue  # already in one class: another link would not change it
-                both = len(np.intersect1d(sets[q], sets[m], assume_unique=True))
-                total = len(sets[q]) + len(sets[m]) - both
-                j = both / total if total else 1.0
-                if j >= similar:
-                    root[max(x, y)] = min(x, y)
-                    rows.append((min(same[q], same[m]), max(same[q], same[m]), j))
+        for _, x in pdf.groupby("g", sort=False):
+            sig = np.stack([np.frombuffer(bytes.fromhex(f), ">u2") for f in x.fingerprint])
+            same, sets = x.same.tolist(), x.shingles.tolist() if verify else None
+            classes = Classes(len(same))
+            for q, m in _alike(sig, np.flatnonzero(x.member.to_numpy(bool)), np.flatnonzero(x.asks.to_numpy(bool)), (similar - MARGIN) * PERMUTATIONS):
+                if classes.top(q) == classes.top(m):
+                    continue
+                j = 1.0
+                if verify:
+                    both = len(np.intersect1d(sets[q], sets[m], assume_unique=True))
+                    total = len(sets[q]) + len(sets[m]) - both
+                    j = both / total if total else 1.0
+                    if j < similar:
+                        continue
+                classes.join(q, m)
+                rows.append((min(same[q], same[m]), max(same[q], same[m]), j))
         return pd.DataFrame(rows, columns=["a", "b", "jaccard"])
 
     return run
 
 
+def _sliced(routed: DataFrame, key: str) -> DataFrame:
+    """routed (same, key, slices) dealt to groups g of a pair of slices: all of the one are members, all of the other ask."""
+    r = routed.withColumn("own", F.pmod(F.xxhash64("same"), "slices").cast("int")).withColumn("other", F.explode(F.expr("sequence(0, slices - 1)")))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    return r.select("same", F.xxhash64(key, low, high).alias("g"), (F.col("own") == low).alias("member"), (F.col("own") == high).alias("asks"))
+
+
 def _distinct_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, same) for each document, and (same, rep, fingerprint, shingles) for each different shingle set."""
     d = texts(docs)
@@ -138,20 +170,27 @@ def _distinct_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     kind = d.schema["doc_id"].dataType.simpleString()
     s = stored(d.mapInPandas(run, f"doc_id {kind}, fingerprint string, same string, shingles array<long>"), "minhash")
     sets = s.groupBy("same").agg(F.min("doc_id").alias("rep"), F.any_value("fingerprint").alias("fingerprint"), F.any_value("shingles").alias("shingles"))
+    sets = sets.withColumn("n", F.size("shingles"))
     return s.select("doc_id", "same"), stored(sets, "minhash-sets")
 
 
 def _links(sets: DataFrame, similar: float, most: int) -> DataFrame:
     """(a, b, jaccard) between different shingle sets, keyed by `same`; see near_duplicates."""
-    width = PERMUTATIONS // BANDS * 4
-    band = F.expr(f"transform(sequence(0, {BANDS - 1}), i -> struct(i, substring(fingerprint, i * {width} + 1, {width})))")
+    spark, width = sets.sparkSession, PERMUTATIONS // BANDS * 4
+    band = F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(fingerprint, i * {width} + 1, {width})))")
     bands = sets.select("same", F.explode(band).alias("band"))
-    shared = bands.groupBy("band").count().where("count > 1").withColumn("trees", F.ceil(F.col("count") / most).cast("int"))
-    routed = bands.join(shared.select("band", "trees"), "band")
-    routed = routed.withColumn("own", F.pmod(F.xxhash64("same"), "trees")).withColumn("tree", F.explode(F.expr("sequence(0, trees - 1)")))
-    routed = routed.select("same", F.struct("band", "tree").alias("bucket"), (F.col("own") == F.col("tree")).alias("member"))
-    full = routed.join(sets.select("same", "fingerprint", "shingles"), "same")
-    links = full.groupBy("bucket").applyInPandas(_bucket_links(similar), "a string, b string, jaccard double")
+    shared = bands.groupBy("band").count().where("count > 1").select("band", F.ceil(F.col("count") / most).cast("int").alias("slices"))
+    met = _sliced(bands.join(shared, "band"), "band").join(sets.select("same", "fingerprint"), "same")
+    shards = parts_for(spark, BANDS * sets.count(), SHARD_ROWS)
+    schema = "a string, b string, jaccard double"
+    likely = met.withColumn("shard", F.pmod("g", F.lit(shards))).groupBy("shard").applyInPandas(_linked(similar, False), schema)
+    found = stored(components(likely.select("a", "b")).join(sets.select(F.col("same").alias("node"), "n"), "node"), "minhash-candidates")
+    of = found.groupBy("root").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("n"))
+    of = of.select("root", F.ceil(F.greatest(F.col("sets") / most, F.col("n") / MOST_SHINGLES)).cast("int").alias("slices"))
+    full = _sliced(found.select(F.col("node").alias("same"), "root").join(of, "root"), "root").join(sets.select("same", "fingerprint", "shingles"), "same")
+    weight = found.agg(F.sum("n")).first()[0] or 0
+    full = full.withColumn("shard", F.pmod("g", F.lit(parts_for(spark, weight, MOST_SHINGLES))))
+    links = full.groupBy("shard").applyInPandas(_linked(similar, True), schema)
     return links.groupBy("a", "b").agg(F.max("jaccard").alias("jaccard"))
 
 
@@ -159,10 +198,11 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, most: int = MOST_
     """(rep_a, rep_b, jaccard) between representatives of different texts with Jaccard similarity of `similar` or more.
 
     Equal shingle sets collapse first; the smallest doc_id stands for them (null where no copy has an id). In a band
-    bucket every set meets every other: a bucket of more than `most` sets is split into several trees, each of which
-    sees all of the bucket. Pairs whose signatures lie more than MARGIN below `similar` (seven standard deviations)
-    are left out, all others are verified by Jaccard unless links already found put both in one class. The links thus
-    connect all that any verified pair connects, without listing every pair of a class; near_classes has the membership.
+    bucket every signature meets every other; those that lie no more than MARGIN below `similar` (seven standard
+    deviations) make candidate classes, in which every two sets meet again and are verified by Jaccard unless links
+    already found put both in one class. Buckets and classes of more than `most` sets are dealt to slices, and each pair
+    of slices is a group of its own. The links thus connect all that any verified pair connects, without listing every
+    pair of a class; near_classes has the membership.
     """
     _, sets = _distinct_sets(docs)
     e = _links(sets, similar, most)
@@ -179,28 +219,48 @@ def near_classes(docs: DataFrame, similar: float = SIMILAR, most: int = MOST_IN_
     return rows.join(found.select("same", "root").join(low, "root").select("same", "class_id"), "same").select("doc_id", "class_id")
 
 
-def with_next(docs: DataFrame, rows_each: int = 1500, most: int = 1024) -> DataFrame:
+def _range_tops(d: DataFrame, ranges: int) -> list:
+    """The largest doc_id of each of about `ranges` ranges of doc_id, descending; one value for each, whatever the documents."""
+    ids = d.select("doc_id").where("doc_id IS NOT NULL").repartitionByRange(ranges, F.desc("doc_id"))
+    tops = ids.groupBy(F.spark_partition_id().alias("p")).agg(F.max("doc_id").alias("top"))
+    return sorted({r.top for r in tops.collect()}, reverse=True)
+
+
+def with_next(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """(doc_id, text, next_text): the next document by descending doc_id, ties by text, null ids last, the first after the last.
 
-    Documents go to ranges of doc_id that begin at a document; each range also gets a copy of the documents that
-    begin the next one, so the window within a range needs no other. Only doc_ids are looked at to place the ranges.
+    Documents go to ranges of doc_id, of any type that sorts, that begin at a document; each range also gets a copy of the
+    documents that begin the next one, so the window within a range needs no other and each text moves once. Only ids are
+    looked at to place the ranges; their tops, one for each `range_bytes` of text, are sent to the tasks.
     """
     d = texts(docs)
-    n = d.count()
-    ranges = max(1, min(most, -(-n // rows_each)))
-    at = d.agg(F.max("doc_id").alias("m"), F.expr(f"percentile_approx(doc_id, array({', '.join(str((i + 1) / (ranges + 1)) for i in range(ranges))}), 100000)").alias("b")).first()
-    bounds = sorted({*(at.b or []), at.m} - {None}, reverse=True) or [0]
-    last = len(bounds) - 1
-    d = d.withColumn("bounds", F.array(*map(F.lit, bounds)))
-    d = d.withColumn("range", F.expr(f"IF(doc_id IS NULL, {last}, size(filter(bounds, b -> b >= doc_id)) - 1)"))
-    d = d.withColumn("to", F.expr(f"""filter(array(
-        named_struct('range', range, 'copy', 0),
-        IF(doc_id = bounds[range] AND range > 0, named_struct('range', range - 1, 'copy', 1), NULL),
-        IF(doc_id = bounds[0] OR bounds[0] IS NULL, named_struct('range', {last}, 'copy', 2), NULL)), x -> x IS NOT NULL)"""))
-    d = d.select("doc_id", "text", F.explode("to").alias("to")).select("doc_id", "text", "to.range", "to.copy")
+    spark, kind = docs.sparkSession, d.schema["doc_id"].dataType
+    size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tops = _range_tops(d, parts_for(spark, size, range_bytes))
+    last = max(0, len(tops) - 1)
+    told = spark.sparkContext.broadcast(tops)
+
+    def places(ids: pd.Series) -> pd.DataFrame:
+        """The range of each id: the last whose top is at least the id; and whether the id is that top."""
+        up = told.value[::-1]
+        at = [None if pd.isna(i) else bisect_left(up, i) for i in ids]
+        return pd.DataFrame({"range": [last if a is None else len(up) - 1 - a for a in at], "is_top": [a is not None and up[a] == i for a, i in zip(at, ids)]})
+
+    place = F.pandas_udf(places, "range int, is_top boolean")
+    # null ids pass as they are: pandas would turn a column of longs with nulls to floats
+    keyed = d.withColumn("at", F.when(F.col("doc_id").isNull(), F.struct(F.lit(last).alias("range"), F.lit(False).alias("is_top"))).otherwise(place(F.coalesce("doc_id", _any_of(tops, kind)))))
+    keyed = keyed.withColumn("to", F.expr(f"""filter(array(
+        named_struct('range', at.range, 'copy', 0),
+        IF(at.is_top AND at.range > 0, named_struct('range', at.range - 1, 'copy', 1), NULL),
+        IF({'at.is_top AND at.range = 0' if tops else 'true'}, named_struct('range', {last}, 'copy', 2), NULL)), x -> x IS NOT NULL)"""))
+    keyed = keyed.select("doc_id", "text", F.explode("to").alias("to")).select("doc_id", "text", "to.range", "to.copy")
     w = Window.partitionBy("range").orderBy("copy", F.desc_nulls_last("doc_id"), "text")
-    d = d.withColumn("next_text", F.lead("text").over(w)).where("copy = 0")
-    return d.select("doc_id", "text", F.coalesce("next_text", "text").alias("next_text"))
+    out = keyed.withColumn("next_text", F.lead("text").over(w)).where("copy = 0")
+    return out.select("doc_id", "text", F.coalesce("next_text", "text").alias("next_text"))
+
+
+def _any_of(tops: list, kind) -> Column:
+    return F.lit(tops[0] if tops else None).cast(kind)
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
