@@ -7,31 +7,38 @@ of consecutive ids; for each passage and block a numpy sum of the terms' block m
 reach the threshold are searched by WAND, which skips items by term bounds, then by bounds of posting blocks. Each hit is verified on five-word shingles of the whole item, of its
 question (all but the last sentence) and of its answer.
 
-The index is sent to the tasks in shards of at most `SHARD_ITEMS` items of `MOST_WORDS` words each; a longer item is
-indexed by overlapping parts, each a test item of its own. All documents are read once for each shard, nothing of
-them is shuffled.
+The index is built in shards of about `SHARD_BYTES` of item text, each broadcast only once its size is checked
+(`BROADCAST_BYTES`); the number of shards grows with the items. An item of more than `MOST_WORDS` words is indexed by
+overlapping parts; where one is found, the item's question and answer are looked up in the whole text. All documents
+are read once for each shard, nothing of them is shuffled.
 
 Defined results: null and empty texts hit nothing; items without words are no items; an item, question or answer of fewer than
-five words is one shingle of its own length; repeated items and documents each give rows; extra columns are ignored (keep_clean keeps them).
+five words is one shingle of its own length; items may have ids of any type, null too; rows of one item id are one item
+each, and a document's best row for an id is returned; repeated documents each give rows; without items nothing is found;
+extra columns are ignored (keep_clean keeps them).
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructField, StructType
 
 from cairnspark.llm.common import texts
 
 K1, B, BLOCK, ITEM_BLOCKS = 1.2, 0.75, 8, 32
 THRESHOLD, OVERLAP, SHINGLE = 0.6, 0.8, 5
-SHARD_ITEMS, MOST_WORDS = 20_000, 512
+SHARD_BYTES, BROADCAST_BYTES, MOST_WORDS = 4_000_000, 512_000_000, 512
 WORDS = re.compile(r"[^\W_]+").findall
 _NEVER = 1 << 60
 
@@ -59,17 +66,18 @@ class Index:
     """Impact-ordered by item; postings in blocks with their maxima."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.ids, self.words, self.parts = [], [], []
+        self.ids, self.words, self.parts, self.long = [], [], [], []
         for item_id, text in items:
-            words = WORDS((text or "").lower())
+            words, asked = WORDS((text or "").lower()), None
             for at in range(0, max(1, len(words) - MOST_WORDS // 2), MOST_WORDS // 2):
                 part = words[at : at + MOST_WORDS]
                 if part:
-                    whole = len(words) <= MOST_WORDS
-                    q, a = question_and_answer(text) if whole else (" ".join(part), " ".join(part))
+                    q, a = asked or question_and_answer(text)
+                    asked = q, a
                     self.ids.append(item_id)
                     self.words.append(part)
                     self.parts.append((shingles(part), shingles(WORDS(q.lower())), shingles(WORDS(a.lower()))))
+                    self.long.append(len(words) > MOST_WORDS)
         n = len(self.ids)
         mean = sum(map(len, self.words)) / n if n else 1.0
         found: dict[str, list[tuple[int, int]]] = {}
@@ -157,6 +165,7 @@ class Index:
         sums = parts[:-1] + parts[1:] if len(parts) > 1 else parts
         best: dict[int, tuple] = {}
         eps = threshold - 1e-3
+        everywhere: dict[int, set[tuple]] = {}
         for k in np.flatnonzero((sums >= eps).any(1)):
             s, e = int(k) * self.window, min(n, (int(k) + 2) * self.window)
             terms = np.unique(ids[s:e])
@@ -166,11 +175,12 @@ class Index:
             terms = terms.tolist()
             for i, score in (h for j in blocks.tolist() for h in self.search(terms, threshold, j * self.step, (j + 1) * self.step)):
                 over = []
-                for p in self.parts[i]:
+                for k, p in enumerate(self.parts[i]):
                     size = len(next(iter(p))) if p else 0  # a part of fewer than SHINGLE words is one shingle of its own length
-                    if size and size not in here:
-                        here[size] = set(zip(*(words[s + j : e] for j in range(size))))
-                    over.append(len(p & here[size]) / len(p) if p else 1.0)
+                    held, low, high = (everywhere, 0, n) if k and self.long[i] else (here, s, e)
+                    if size and size not in held:
+                        held[size] = set(zip(*(words[low + j : high] for j in range(size))))
+                    over.append(len(p & held[size]) / len(p) if p else 1.0)
                 got = (self.ids[i], score, *over)
                 key = self.ids[i]
                 if key not in best or _rank(got) > _rank(best[key]):
@@ -178,13 +188,18 @@ class Index:
         return list(best.values())
 
 
-def _indexes(items: DataFrame) -> Iterator[Index]:
-    """One for each shard of the items; a shard is bounded, so it may be collected."""
-    i = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    shards = max(1, -(-i.count() // SHARD_ITEMS))
+def _indexes(items: DataFrame) -> Iterator[Broadcast]:
+    """One broadcast for each shard of the items; shards are bounded by their bytes, so one may be collected."""
+    i = items.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
+    size = i.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(1, -(-size // SHARD_BYTES))
     i = i.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)))
     for shard in range(shards):
-        yield Index(sorted((r.item_id, r.text) for r in i.where(F.col("shard") == shard).collect()))
+        rows = [(r.item_id, r.text) for r in i.where(F.col("shard") == shard).collect()]
+        index = Index(sorted(rows, key=lambda r: (r[0] is None, r[0] if r[0] is not None else 0, r[1])))
+        if (weight := len(pickle.dumps(index))) > BROADCAST_BYTES:
+            raise ValueError(f"an index shard of {weight} bytes; lower SHARD_BYTES")
+        yield items.sparkSession.sparkContext.broadcast(index)
 
 
 def _verified(index: Index, text: str, threshold: float, overlap: float) -> list[tuple]:
@@ -194,28 +209,30 @@ def _verified(index: Index, text: str, threshold: float, overlap: float) -> list
 def retrieve(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
     """doc_id, item_id, score, overlap, question_overlap, answer_overlap for each verified quotation of an item."""
     d = texts(docs)
-    kind = d.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, item_id long, score double, overlap double, question_overlap double, answer_overlap double"
+    schema = StructType([StructField("doc_id", d.schema["doc_id"].dataType), StructField("item_id", items.schema["item_id"].dataType)])
+    for name in ("score", "overlap", "question_overlap", "answer_overlap"):
+        schema = schema.add(name, "double")
+    types = pa.schema([pa.field("doc_id", to_arrow_type(schema["doc_id"].dataType)), pa.field("item_id", to_arrow_type(schema["item_id"].dataType))] + [pa.field(n, pa.float64()) for n in schema.names[2:]])
     out = None
-    for index in _indexes(items):
+    for told in _indexes(items):
 
-        def run(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
+        def run(batches, told=told):
+            index: Index = told.value  # kept by the worker between tasks
             for b in batches:
-                rows = [(k, *h) for k, t in zip(b.doc_id, b.text) for h in _verified(index, t, threshold, overlap)]
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "overlap", "question_overlap", "answer_overlap"])
+                rows = [(k, *h) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for h in _verified(index, t, threshold, overlap)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), types)] if rows else [pa.array([], f.type) for f in types], schema=types)
 
-        part = d.mapInPandas(run, schema)
+        part = d.mapInArrow(run, schema)
         out = part if out is None else out.union(part)
     return out
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
     """The documents that quote no item, with their columns: judged row by row, so nothing is joined or shuffled."""
-    for index in _indexes(items):
-
-        def run(batches, index=index):
-            import pyarrow as pa
+    for told in _indexes(items):
 
+        def run(batches, told=told):
+            index: Index = told.value  # kept by the worker between tasks
             for b in batches:
                 place = b.schema.get_field_index("text")
                 yield b.filter(pa.array([not _verified(index, t or "", threshold, overlap) for t in b.column(place).to_pylist()], pa.bool_()))
