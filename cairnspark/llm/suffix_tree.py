@@ -1,16 +1,16 @@
 """LM scoring by a probabilistic suffix tree over words.
 
-Symbols are words and one end per text. The root's distribution is add-one over all training words, so it grows with
-the corpus and is never sent to any one place: blocks of documents ask the partitions of the word table for the counts of
-their distinct words, packed as sorted 64-bit hashes, and get packed counts back. A context (one or two words) is a
-candidate if it occurs `LEAST_COUNT` times in training, as is an explicit next symbol, whatever the corpus's size. Grams of two and
-three words are counted as the words are; of the blocks that hold a frequent gram one owns it and reports it once with its counts,
-from which the contexts are tested as sums by context. A context is retained if the log-likelihood gain of its distribution over
-its suffix's is at least `GAIN` nats and `DIVERGENCE` nats a symbol (contexts of retained suffixes only). Each block is sent the
-retained states of its own contexts, so no level is held in any one place. The probability
-of a word in its longest retained suffix state is the explicit count, smoothed Witten-Bell fashion with the next
-shorter state's probability, down to the root.
-
+Symbols are words and one end per text. The root's distribution is add-one over all training words. A context (one to
+`DEPTH` words) is a candidate if it occurs `LEAST_COUNT` times in training, as is an explicit next symbol, whatever the corpus's
+size. A context is retained if the log-likelihood gain of its distribution over its suffix's is at least `GAIN` nats and
+`DIVERGENCE` nats a symbol (contexts of retained suffixes only). The probability of a word in its longest retained suffix
+state is the explicit count, smoothed Witten-Bell fashion with the next shorter state's probability, down to the root.
+
+Nothing of the model is held in any one place. Texts are read once and encoded in blocks of bounded bytes; a block asks the
+parts of a table of gram counts for its distinct words and word pairs, packed as sorted 64-bit hashes, and gets packed counts
+back. Longer grams are asked for only where every word pair in them is frequent, so the many rare ones never travel. Of the
+blocks that hold a frequent pair one owns it and reports it once; longer frequent grams are reported by the part that counted
+them. Divergence tests are joins and sums by context over these. Each block is then sent the retained states of its contexts.
 Blocks and parts both grow with the bytes of the corpus, so what one task holds does not; a block sends a part one row, and
 none where it has no gram of that part, so the rows never outnumber the grams asked for.
 
@@ -27,12 +27,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnspark.llm.common import held_out, parts_for, stored, texts, words_of
 
-LEAST_COUNT, DEPTH = 8, 2
+LEAST_COUNT, DEPTH = 8, 3
 GAIN, DIVERGENCE = 20.0, 0.01
 BLOCK_BYTES = 16_000_000
 PART_BYTES = 32_000_000  # text whose grams one part of the table answers for
@@ -82,57 +84,127 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def _squeeze(a: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a).tobytes())
+
+
+def _loosen(raw: bytes, kind) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), kind)
+
+
+def _encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row for each block of about BLOCK_BYTES of a partition's texts: word numbers, their hashes, and sizes of the texts."""
+    part, made = TaskContext.get().partitionId(), 0
+    held: list[pd.DataFrame] = []
+    weight = 0
+
+    def flush() -> pd.DataFrame:
+        x = pd.concat(held, ignore_index=True)
+        ids, sizes, hashes = symbols(x.text.tolist())
+        return pd.DataFrame({
+            "block": [part * (1 << 20) + made], "doc_ids": [x.doc_id.tolist()], "train": [np.packbits(x.train.to_numpy(bool)).tobytes()],
+            "sizes": [_squeeze(sizes)], "ids": [_squeeze(ids.astype(np.int32))], "hashes": [hashes.tobytes()], "n_bytes": [weight],
+        })
+
+    for b in batches:
+        size = b.text.str.len().to_numpy(np.int64)
+        cuts = [0]
+        for i in np.flatnonzero(np.diff((weight + np.cumsum(size)) // BLOCK_BYTES, prepend=weight // BLOCK_BYTES)).tolist():
+            cuts.append(i + 1)
+        for low, high in zip(cuts, [*cuts[1:], len(b)]):
+            if high > low:
+                held.append(b.iloc[low:high].astype({"doc_id": object}))
+                weight += int(size[low:high].sum())
+            if held and weight >= BLOCK_BYTES:
+                yield flush()
+                held, weight, made = [], 0, made + 1
+    if held:
+        yield flush()
+
+
 class Block:
-    """One block's distinct grams of each level: keys, and each symbol's place among them where the gram lies within its text, else -1."""
+    """A block's distinct grams of each level: keys, and each symbol's place among them, -1 where there is none.
+
+    Words and pairs are all there; longer grams only after `extend`, where all their pairs are frequent.
+    """
 
-    def __init__(self, batch: list[str], parts: int):
-        ids, self.sizes, hashes = symbols(batch)
+    def __init__(self, row):
+        self.sizes = _loosen(row.sizes, np.int64)
+        ids, hashes = _loosen(row.ids, np.int32), np.frombuffer(row.hashes, np.uint64)
+        self.train = np.repeat(np.unpackbits(np.frombuffer(row.train, np.uint8), count=len(self.sizes)).astype(bool), self.sizes)
         self.place = np.arange(len(ids)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
-        self.keys, self.at = [], []
-        h = words = hashes[ids]
-        for k in range(DEPTH + 1):
-            if k:
-                h = np.concatenate([h[:1], _mix(h[:-1], words[1:])])
-            some = np.flatnonzero(self.place >= k)
-            keys, back = np.unique(h[some], return_inverse=True)
-            at = np.full(len(ids), -1, np.int32)
-            at[some] = back
-            self.keys.append(keys)
-            self.at.append(at)
-        self.all = np.concatenate(self.keys)
-        self.order, part = _by_part(self.all, parts)
-        self.cuts = np.searchsorted(part[self.order], np.arange(parts + 1))
-
-    def levels(self, a: np.ndarray) -> list[np.ndarray]:
-        return np.split(a, np.cumsum([len(k) for k in self.keys])[:-1])
-
-    def counts(self, got: pd.DataFrame) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """By level, the training count of each gram, and whether this block owns it."""
-        c, own = np.zeros(len(self.all), np.int64), np.zeros(len(self.all), bool)
-        got = got[got.kind == 0].sort_values("part")
-        if len(got):
-            told = [np.frombuffer(zlib.decompress(x), np.int64) for x in got.a]
-            c[self.order] = np.concatenate(told)
-            own[self.order] = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(t)) for x, t in zip(got.b, told)]).astype(bool)
-        return self.levels(c), self.levels(own)
+        self.words = hashes[ids]
+        order = np.argsort(hashes, kind="stable")
+        rank = np.empty(len(hashes), np.int32)
+        rank[order] = np.arange(len(hashes), dtype=np.int32)
+        self.keys, self.at, self.h = [hashes[order]], [rank[ids]], self.words
+        self._level(1, self.place >= 1)
+
+    def _level(self, k: int, here: np.ndarray) -> None:
+        self.h = np.concatenate([self.h[:1], _mix(self.h[:-1], self.words[1:])])
+        keys, back = np.unique(self.h[here], return_inverse=True)
+        at = np.full(len(here), -1, np.int32)
+        at[here] = back
+        self.keys.append(keys)
+        self.at.append(at)
+
+    def extend(self, pairs: np.ndarray) -> None:
+        """Adds the longer levels, given the pairs' training counts."""
+        ok = np.zeros(len(self.place), bool)
+        some = self.at[1] >= 0
+        ok[some] = pairs[self.at[1][some]] >= LEAST_COUNT
+        for k in range(2, DEPTH + 1):
+            ok = ok & np.concatenate([[False], ok[:-1]]) & (self.place >= k)
+            self._level(k, ok)
+
+    def counted(self, k: int) -> np.ndarray:
+        at = self.at[k][self.train]
+        return np.bincount(at[at >= 0], minlength=len(self.keys[k])).astype(np.uint32)
+
+    def ends(self, k: int) -> np.ndarray:
+        """For each gram of a level, a symbol at which it ends."""
+        out = np.zeros(len(self.keys[k]), np.int64)
+        some = np.flatnonzero(self.at[k] >= 0)
+        out[self.at[k][some]] = some
+        return out
+
+
+def _told(got: pd.DataFrame, kind: int, keys: list[np.ndarray], parts: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """By level, the training counts of a block's grams as the parts told them, and which of them this block owns."""
+    every = np.concatenate(keys)
+    order, _ = _by_part(every, parts)
+    c, own = np.zeros(len(every), np.int64), np.zeros(len(every), bool)
+    got = got[got.kind == kind].sort_values("part")
+    if len(got):
+        counts = [np.frombuffer(zlib.decompress(x), np.int64) for x in got.a]
+        c[order] = np.concatenate(counts)
+        own[order] = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(t)) if x else np.zeros(len(t), np.uint8) for x, t in zip(got.b, counts)]).astype(bool)
+    cuts = np.cumsum([len(k) for k in keys])[:-1]
+    return np.split(c, cuts), own
+
+
+def _dealt(keys: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(part, places of its keys in order) for each part that has any."""
+    order, part = _by_part(keys, parts)
+    cuts = np.searchsorted(part[order], np.arange(parts + 1))
+    for p in np.flatnonzero(np.diff(cuts)).tolist():
+        yield p, order[cuts[p] : cuts[p + 1]]
 
 
 def _requests(parts: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = Block(pdf.text.tolist(), parts)
-        train = np.repeat(pdf.train.to_numpy(bool), x.sizes)
-        counts = np.concatenate([np.bincount(at[train & (at >= 0)], minlength=len(k)) for k, at in zip(x.keys, x.at)]).astype(np.uint32)
-        block, rows = pdf.block.iloc[0], []
-        for p in range(parts):
-            if len(o := x.order[x.cuts[p] : x.cuts[p + 1]]):
-                rows.append((p, block, int((o < len(x.keys[0])).sum()), x.all[o].tobytes(), _pack(counts[o])))
-        return pd.DataFrame(rows, columns=["part", "block", "words", "keys", "counts"])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.itertuples():
+                x = Block(row)
+                keys, counts = np.concatenate(x.keys), np.concatenate([x.counted(k) for k in (0, 1)])
+                rows = [(p, row.block, int((o < len(x.keys[0])).sum()), keys[o].tobytes(), _pack(counts[o])) for p, o in _dealt(keys, parts)]
+                yield pd.DataFrame(rows, columns=["part", "block", "words", "keys", "counts"])
 
     return run
 
 
 def _answers(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One part of the table of grams: for each block that asked its counts and the frequent grams that it owns; then the words' n and v."""
+    """One part of the table of words and pairs: for each block that asked its counts and the frequent grams that it owns; then the words' n and v."""
     part = int(pdf.part.iloc[0])
     pdf = pdf.iloc[np.argsort((pdf.block.to_numpy(np.int64) * 40503 + part * 30011) % 65521, kind="stable")]  # owners differ by part
     keys = [np.frombuffer(k, np.uint64) for k in pdf["keys"]]
@@ -151,39 +223,76 @@ def _answers(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["block", "part", "kind", "a", "b", "c", "n", "v"])
 
 
-def _frequent(parts: int, n: int, v: int):
-    """The frequent grams that a block owns (part -1), and the frequent contexts whose states it asks for."""
+_ROUND = "what int, part int, block long, keys binary, counts binary, contexts binary, suffixes binary, levels binary, key long, context long, suffix long, n long, whole long, root double"
+_ROUND_NAMES = [x.split()[0] for x in _ROUND.split(", ")]
+
+
+def _second_round(parts: int, n: int, v: int):
+    """The frequent pairs that a block owns (what 1), its requests for longer grams (2) and for states (3)."""
+
+    def frame(what: int, **columns) -> pd.DataFrame:
+        size = len(next(iter(columns.values())))
+        blank = {"part": -1, "block": -1, "keys": b"", "counts": b"", "contexts": b"", "suffixes": b"", "levels": b"", "key": 0, "context": 0, "suffix": 0, "n": 0, "whole": 0, "root": 0.0}
+        return pd.DataFrame({"what": what, **{k: [w] * size for k, w in blank.items() if k not in columns}, **columns})[_ROUND_NAMES]
 
     def run(pdf: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-        columns = ["part", "block", "keys", "level", "context", "shorter", "whole", "n", "n_short", "root"]
-        if not len(pdf):
-            return pd.DataFrame([], columns=columns)
-        x = Block(pdf.text.tolist(), parts)
-        c, own = x.counts(got)
         out = []
-        for k in range(1, DEPTH + 1):
-            where = np.zeros(len(x.keys[k]), np.int64)
-            some = np.flatnonzero(x.at[k] >= 0)
-            where[x.at[k][some]] = some
-            gram = np.flatnonzero(own[k])
-            p = where[gram]
-            context = x.at[k - 1][p - 1]
-            out.append(pd.DataFrame({
-                "part": -1, "block": -1, "keys": [b""] * len(p), "level": k, "context": x.keys[k - 1][context].astype(np.int64),
-                "shorter": x.keys[k - 2][x.at[k - 2][p - 1]].astype(np.int64) if k > 1 else np.zeros(len(p), np.int64), "whole": c[k - 1][context], "n": c[k][gram],
-                "n_short": c[k - 1][x.at[k - 1][p]], "root": (c[0][x.at[0][p]] + 1.0) / (n + v + 1.0),
-            }))
-        keys = np.concatenate([x.keys[k][c[k] >= LEAST_COUNT] for k in range(DEPTH)])
-        order, part = _by_part(keys, parts)
-        cuts = np.searchsorted(part[order], np.arange(parts + 1))
-        rows = [(p, pdf.block.iloc[0], keys[o].tobytes(), 0, 0, 0, 0, 0, 0, 0.0) for p in range(parts) if len(o := order[cuts[p] : cuts[p + 1]])]
-        return pd.concat([*out, pd.DataFrame(rows, columns=columns)], ignore_index=True)
+        for row in pdf.itertuples():
+            x = Block(row)
+            c, own = _told(got, 0, x.keys, parts)
+            pair = np.flatnonzero(own[len(x.keys[0]) :])
+            end = x.ends(1)[pair]
+            before, last = x.at[0][end - 1], x.at[0][end]
+            out.append(frame(1, key=x.keys[1][pair].astype(np.int64), context=x.keys[0][before].astype(np.int64), suffix=x.keys[0][last].astype(np.int64), n=c[1][pair], whole=c[0][before], root=(c[0][last] + 1.0) / (n + v + 1.0)))
+            x.extend(c[1])
+            keys, counts, contexts, suffixes, levels = [], [], [], [], []
+            for k in range(2, DEPTH + 1):
+                end = x.ends(k)
+                keys.append(x.keys[k])
+                counts.append(x.counted(k))
+                contexts.append(x.keys[k - 1][x.at[k - 1][end - 1]])
+                suffixes.append(x.keys[k - 1][x.at[k - 1][end]])
+                levels.append(np.full(len(end), k, np.uint8))
+            keys, counts, contexts, suffixes, levels = map(np.concatenate, (keys, counts, contexts, suffixes, levels))
+            asks = list(_dealt(keys, parts))
+            if asks:
+                out.append(frame(2, part=[p for p, _ in asks], block=[row.block] * len(asks), keys=[keys[o].tobytes() for _, o in asks], counts=[_pack(counts[o]) for _, o in asks],
+                                 contexts=[contexts[o].tobytes() for _, o in asks], suffixes=[suffixes[o].tobytes() for _, o in asks], levels=[_pack(levels[o]) for _, o in asks]))
+            wanted = np.concatenate([x.keys[k][c[k] >= LEAST_COUNT] for k in range(2)] + [x.keys[k] for k in range(2, DEPTH)])
+            asks = list(_dealt(wanted, parts))
+            if asks:
+                out.append(frame(3, part=[p for p, _ in asks], block=[row.block] * len(asks), keys=[wanted[o].tobytes() for _, o in asks]))
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame([], columns=_ROUND_NAMES)
 
     return run
 
 
-def _states(grams: DataFrame) -> DataFrame:
-    """(key, size, back) of the retained contexts: divergence tests, level by level."""
+_LONGER = "block long, part int, kind int, a binary, b binary, c binary, level int, key long, context long, suffix long, n long"
+
+
+def _longer_answers(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One part of the table of longer grams: for each block that asked its counts; then the frequent grams themselves."""
+    part = int(pdf.part.iloc[0])
+    keys = [np.frombuffer(k, np.uint64) for k in pdf["keys"]]
+    counts = np.concatenate([np.frombuffer(zlib.decompress(c), np.uint32) for c in pdf["counts"]])
+    table, first, back = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    total = np.bincount(back, counts, len(table)).astype(np.int64)
+    cuts = np.cumsum([0, *(len(k) for k in keys)])
+    told = pd.DataFrame({"block": pdf.block.to_numpy(), "part": part, "kind": 2, "a": [_pack(total[back[s:e]]) for s, e in zip(cuts, cuts[1:])]})
+    often = first[total >= LEAST_COUNT]
+    column = lambda name: np.concatenate([np.frombuffer(x, np.uint64) for x in pdf[name]])[often].astype(np.int64)
+    level = np.concatenate([np.frombuffer(zlib.decompress(x), np.uint8) for x in pdf.levels])[often]
+    grams = pd.DataFrame({"block": -1, "part": part, "kind": 2, "a": [b""] * len(often), "level": level, "key": table[total >= LEAST_COUNT].astype(np.int64),
+                          "context": column("contexts"), "suffix": column("suffixes"), "n": total[total >= LEAST_COUNT]})
+    out = pd.concat([told.assign(level=0, key=0, context=0, suffix=0, n=0), grams], ignore_index=True)
+    return out.assign(b=b"", c=b"")[[x.split()[0] for x in _LONGER.split(", ")]]
+
+
+def _states(pairs: DataFrame, longer: DataFrame) -> DataFrame:
+    """(key, size, back) of the retained contexts: divergence tests, level by level.
+
+    `below` is a gram's probability in the state of its context's suffix; whole is its context's count.
+    """
     gain = F.sum(F.col("n") * F.log(F.col("n") / F.col("whole") / F.col("below"))).alias("gain")
 
     def retained(g: DataFrame) -> DataFrame:
@@ -191,9 +300,18 @@ def _states(grams: DataFrame) -> DataFrame:
         s = s.where((F.col("gain") >= GAIN) & (F.col("gain") >= DIVERGENCE * F.col("whole"))).withColumn("size", F.col("whole") + F.col("kinds"))
         return s.select(F.col("context").alias("key"), F.col("size").cast("double").alias("size"), ((F.col("size") - F.col("told")) / F.col("size")).alias("back"))
 
-    one = stored(retained(grams.where("level = 1").withColumn("below", F.col("root"))), "states")
-    two = grams.where("level = 2").join(one.withColumnRenamed("key", "shorter"), "shorter")
-    return one.union(stored(retained(two.withColumn("below", F.col("n_short") / F.col("size") + F.col("back") * F.col("root"))), "states"))
+    grams = pairs.select("key", "context", "n", "whole", F.col("root").alias("below"))
+    states = stored(retained(grams), "states")
+    every = states
+    for k in range(2, DEPTH + 1):
+        mine = longer.where(F.col("level") == k).select("key", "context", "suffix", "n")
+        whole = grams.select(F.col("key").alias("context"), F.col("n").alias("whole"))
+        short = grams.select(F.col("key").alias("suffix"), F.col("context").alias("shorter"), F.col("n").alias("n_short"), F.col("below").alias("lower"))
+        told = mine.join(whole, "context").join(short, "suffix").join(states.withColumnRenamed("key", "shorter"), "shorter")
+        grams = stored(told.select("key", "context", "n", "whole", (F.col("n_short") / F.col("size") + F.col("back") * F.col("lower")).alias("below")), "grams")
+        states = stored(retained(grams), "states")
+        every = every.union(states)
+    return every
 
 
 def _state_answers(asked: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
@@ -297,46 +415,57 @@ def score_documents(docs: DataFrame, modulus: int = 7) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_contexts for each document."""
     spark = docs.sparkSession
     d = texts(docs).withColumn("train", ~F.coalesce(held_out("doc_id", modulus), F.lit(False)))
-    bytes_ = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks, parts = max(1, -(-bytes_ // BLOCK_BYTES)), parts_for(spark, bytes_, PART_BYTES)
-    x = d.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
-    asked = x.groupBy("block").applyInPandas(_requests(parts), "part int, block int, words int, keys binary, counts binary")
-    told = "block int, part int, kind int, a binary, b binary, c binary"
+    kind = d.schema["doc_id"].dataType.simpleString()
+    coded = d.mapInPandas(_encoded, f"block long, doc_ids array<{kind}>, train binary, sizes binary, ids binary, hashes binary, n_bytes long")
+    coded = stored(coded, "coded-texts")  # blocks have the names of this one run's partitions
+    parts = parts_for(spark, coded.agg(F.sum("n_bytes")).first()[0] or 0, PART_BYTES)
+    told = "block long, part int, kind int, a binary, b binary, c binary"
+    x = coded.select("block", "train", "sizes", "ids", "hashes")
+    asked = x.mapInPandas(_requests(parts), "part int, block long, words int, keys binary, counts binary")
     answers = stored(asked.groupBy("part").applyInPandas(_answers, f"{told}, n long, v long"), "gram-counts")
     total = answers.where("block = -1").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     n, v = int(total.n or 0), int(total.v or 0)
     answers = answers.where("block >= 0").drop("n", "v")
-    schema = "part int, block int, keys binary, level int, context long, shorter long, whole long, n long, n_short long, root double"
-    frequent = stored(x.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_frequent(parts, n, v), schema), "frequent-grams")
-    states = _states(frequent.where("part = -1"))
+    second = stored(x.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_second_round(parts, n, v), _ROUND), "second-round")
+    requests = second.where("what = 2").select("part", "block", "keys", "counts", "contexts", "suffixes", "levels")
+    longer = stored(requests.groupBy("part").applyInPandas(_longer_answers, _LONGER), "longer-grams")
+    states = _states(second.where("what = 1").select("key", "context", "n", "whole", "root"), longer.where("block = -1"))
     contexts = states.count()
     dealt = states.withColumn("part", (F.shiftrightunsigned("key", 20) % parts).cast("int"))
-    asks = frequent.where("part >= 0").select("part", "block", "keys")
-    replies = answers.union(asks.groupBy("part").cogroup(dealt.groupBy("part")).applyInPandas(_state_answers, told))
+    asks = second.where("what = 3").select("part", "block", "keys")
+    replies = answers.union(longer.where("block >= 0").select("block", "part", "kind", "a", "b", "c"))
+    replies = replies.union(asks.groupBy("part").cogroup(dealt.groupBy("part")).applyInPandas(_state_answers, told))
 
     def score(pdf: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-        b = Block(pdf.text.tolist(), parts)
-        c, _ = b.counts(got)
-        count = c[0][b.at[0]]
-        base = (count + 1.0) / (n + v + 1.0)
-        p = base.copy()
-        got = got[got.kind == 1]
-        key = np.frombuffer(b"".join(got.a), np.uint64)
-        order = np.argsort(key)
-        key, size, back = key[order], np.frombuffer(b"".join(got.b), float)[order], np.frombuffer(b"".join(got.c), float)[order]
-        for k in range(1, DEPTH + 1):
-            some = np.flatnonzero(b.place >= k)
-            state = _find(key, b.keys[k - 1])[b.at[k - 1][some - 1]]
-            some, state = some[state >= 0], state[state >= 0]
-            explicit = c[k][b.at[k][some]]
-            p[some] = np.where(explicit >= LEAST_COUNT, explicit, 0) / size[state] + back[state] * p[some]
-        starts = np.cumsum(b.sizes) - b.sizes
-        return pd.DataFrame({
-            "doc_id": pdf.doc_id, "held_out": ~pdf.train, "n_tokens": b.sizes,
-            "n_known": np.add.reduceat((count > 0).astype(np.int64), starts), "train_tokens": n,
-            "base_score": np.add.reduceat(np.log10(base), starts), "score": np.add.reduceat(np.log10(p), starts), "n_contexts": contexts,
-        })
+        out = []
+        for row in pdf.itertuples():
+            b = Block(row)
+            c, _ = _told(got, 0, b.keys, parts)
+            b.extend(c[1])
+            c += _told(got, 2, b.keys[2:], parts)[0]
+            count = c[0][b.at[0]]
+            base = (count + 1.0) / (n + v + 1.0)
+            p = base.copy()
+            mine = got[got.kind == 1]
+            key = np.frombuffer(b"".join(mine.a), np.uint64)
+            order = np.argsort(key)
+            key, size, back = key[order], np.frombuffer(b"".join(mine.b), float)[order], np.frombuffer(b"".join(mine.c), float)[order]
+            for k in range(1, DEPTH + 1):
+                some = np.flatnonzero(b.place >= k)
+                some = some[b.at[k - 1][some - 1] >= 0]
+                state = _find(key, b.keys[k - 1])[b.at[k - 1][some - 1]]
+                some, state = some[state >= 0], state[state >= 0]
+                at = b.at[k][some]
+                explicit = np.where(at >= 0, c[k][at], 0) if len(c[k]) else np.zeros(len(some), np.int64)
+                p[some] = np.where(explicit >= LEAST_COUNT, explicit, 0) / size[state] + back[state] * p[some]
+            starts = np.cumsum(b.sizes) - b.sizes
+            train = np.unpackbits(np.frombuffer(row.train, np.uint8), count=len(b.sizes)).astype(bool)
+            out.append(pd.DataFrame({
+                "doc_id": list(row.doc_ids), "held_out": ~train, "n_tokens": b.sizes,
+                "n_known": np.add.reduceat((count > 0).astype(np.int64), starts), "train_tokens": n,
+                "base_score": np.add.reduceat(np.log10(base), starts), "score": np.add.reduceat(np.log10(p), starts), "n_contexts": contexts,
+            }))
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame([], columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_contexts"])
 
-    kind = d.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_contexts long"
-    return x.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(score, schema)
+    return coded.drop("n_bytes").groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(score, schema)
