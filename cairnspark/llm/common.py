@@ -59,8 +59,8 @@ def _hadoop_path(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """df written as Parquet into the shared folder and read back: lineage is cut, and a lost executor loses nothing.
+def stored(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """df written as Parquet into the shared folder (by the values of a column) and read back: lineage is cut, and a lost executor loses nothing.
 
     The files go when the driver's JVM ends; `forget` drops those that nothing reads any more before that.
     """
@@ -68,15 +68,15 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     fs, at = _hadoop_path(spark, path)
     fs.deleteOnExit(at)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
 
 
-def forget(df: DataFrame) -> None:
-    """Deletes the files of a table that `stored` returned and that no later result reads."""
-    fs, at = _hadoop_path(df.sparkSession, df.stored_at)
+def forget(df: DataFrame, part: str = "") -> None:
+    """Deletes the files of a table that `stored` returned, or those of one value (`column=value`), that no later result reads."""
+    fs, at = _hadoop_path(df.sparkSession, f"{df.stored_at}/{part}")
     fs.delete(at, True)
 
 

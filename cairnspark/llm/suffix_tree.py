@@ -14,14 +14,14 @@ them. Divergence tests are joins and sums by context over these. Each block is t
 Blocks and parts both grow with the bytes of the corpus, so what one task holds does not; a block sends a part one row, and
 none where it has no gram of that part, so the rows never outnumber the grams asked for.
 
-Words are told apart by 64-bit hashes (two of a billion words agree with a chance of about 3 %).
+Words are told apart by 64-bit hashes (two of a billion words agree with a chance of about 3 %), longer grams by 56 bits (of ten
+billion different ones about seven hundred pairs agree, and count together).
 Defined results: null and empty texts are one end; repeated rows count and are scored each; an empty table gives no rows;
 with no training rows N and V are 0 and every token has probability 1; columns besides doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,12 +32,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnspark.llm.common import held_out, parts_for, stored, texts, words_of
+from cairnspark.llm.common import forget, held_out, parts_for, stored, texts, words_of
 
 LEAST_COUNT, DEPTH = 8, 3
 GAIN, DIVERGENCE = 20.0, 0.01
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 8_000_000
 PART_BYTES = 32_000_000  # text whose grams one part of the table answers for
+GRAM_BITS = np.uint64(0xFFFFFFFFFFFFFF00)  # of the hash of a gram of several words, 56 bits tell it apart
 END = 0  # the hash that stands for a text's end
 
 
@@ -60,13 +61,30 @@ def symbols(batch: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _by_part(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of sorted keys by part, and each key's part."""
-    part = ((keys >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
+    """Order of keys by part, and each key's part: parts are ranges of keys, so that neighbours in a part lie close."""
+    part = ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
     return np.argsort(part, kind="stable"), part
 
 
-def _pack(a: np.ndarray) -> bytes:
-    return zlib.compress(np.ascontiguousarray(a).tobytes(), 1)
+def _thin(a: np.ndarray) -> bytes:
+    """Numbers as planes of their bytes, squeezed: planes of small numbers vanish."""
+    raw = np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize)
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(raw.T).tobytes())
+
+
+def _thick(raw: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(size, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def _thin_keys(keys: np.ndarray) -> bytes:
+    """Keys in runs of rising order as steps from one to the next."""
+    return _thin(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _thick_keys(raw: bytes) -> np.ndarray:
+    return np.cumsum(_thick(raw, np.uint64), dtype=np.uint64)
 
 
 def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -84,14 +102,6 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _squeeze(a: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a).tobytes())
-
-
-def _loosen(raw: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), kind)
-
-
 def _encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """One row for each block of about BLOCK_BYTES of a partition's texts: word numbers, their hashes, and sizes of the texts."""
     part, made = TaskContext.get().partitionId(), 0
@@ -103,7 +113,7 @@ def _encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, sizes, hashes = symbols(x.text.tolist())
         return pd.DataFrame({
             "block": [part * (1 << 20) + made], "doc_ids": [x.doc_id.tolist()], "train": [np.packbits(x.train.to_numpy(bool)).tobytes()],
-            "sizes": [_squeeze(sizes)], "ids": [_squeeze(ids.astype(np.int32))], "hashes": [hashes.tobytes()], "n_bytes": [weight],
+            "sizes": [_thin(sizes)], "ids": [_thin(ids.astype(np.int32))], "hashes": [hashes.tobytes()], "n_bytes": [weight],
         })
 
     for b in batches:
@@ -129,8 +139,8 @@ class Block:
     """
 
     def __init__(self, row):
-        self.sizes = _loosen(row.sizes, np.int64)
-        ids, hashes = _loosen(row.ids, np.int32), np.frombuffer(row.hashes, np.uint64)
+        self.sizes = _thick(row.sizes, np.int64)
+        ids, hashes = _thick(row.ids, np.int32), np.frombuffer(row.hashes, np.uint64)
         self.train = np.repeat(np.unpackbits(np.frombuffer(row.train, np.uint8), count=len(self.sizes)).astype(bool), self.sizes)
         self.place = np.arange(len(ids)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
         self.words = hashes[ids]
@@ -142,7 +152,7 @@ class Block:
 
     def _level(self, k: int, here: np.ndarray) -> None:
         self.h = np.concatenate([self.h[:1], _mix(self.h[:-1], self.words[1:])])
-        keys, back = np.unique(self.h[here], return_inverse=True)
+        keys, back = np.unique(self.h[here] & GRAM_BITS, return_inverse=True)
         at = np.full(len(here), -1, np.int32)
         at[here] = back
         self.keys.append(keys)
@@ -176,7 +186,7 @@ def _told(got: pd.DataFrame, kind: int, keys: list[np.ndarray], parts: int) -> t
     c, own = np.zeros(len(every), np.int64), np.zeros(len(every), bool)
     got = got[got.kind == kind].sort_values("part")
     if len(got):
-        counts = [np.frombuffer(zlib.decompress(x), np.int64) for x in got.a]
+        counts = [_thick(x, np.int64) for x in got.a]
         c[order] = np.concatenate(counts)
         own[order] = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(t)) if x else np.zeros(len(t), np.uint8) for x, t in zip(got.b, counts)]).astype(bool)
     cuts = np.cumsum([len(k) for k in keys])[:-1]
@@ -197,7 +207,7 @@ def _requests(parts: int):
             for row in pdf.itertuples():
                 x = Block(row)
                 keys, counts = np.concatenate(x.keys), np.concatenate([x.counted(k) for k in (0, 1)])
-                rows = [(p, row.block, int((o < len(x.keys[0])).sum()), keys[o].tobytes(), _pack(counts[o])) for p, o in _dealt(keys, parts)]
+                rows = [(p, row.block, int((o < len(x.keys[0])).sum()), _thin_keys(keys[o]), _thin(counts[o])) for p, o in _dealt(keys, parts)]
                 yield pd.DataFrame(rows, columns=["part", "block", "words", "keys", "counts"])
 
     return run
@@ -207,8 +217,8 @@ def _answers(pdf: pd.DataFrame) -> pd.DataFrame:
     """One part of the table of words and pairs: for each block that asked its counts and the frequent grams that it owns; then the words' n and v."""
     part = int(pdf.part.iloc[0])
     pdf = pdf.iloc[np.argsort((pdf.block.to_numpy(np.int64) * 40503 + part * 30011) % 65521, kind="stable")]  # owners differ by part
-    keys = [np.frombuffer(k, np.uint64) for k in pdf["keys"]]
-    counts = np.concatenate([np.frombuffer(zlib.decompress(c), np.uint32) for c in pdf["counts"]])
+    keys = [_thick_keys(k) for k in pdf["keys"]]
+    counts = np.concatenate([_thick(c, np.uint32) for c in pdf["counts"]])
     word = np.concatenate([np.arange(len(k)) < w for k, w in zip(keys, pdf.words)])
     table, first, back = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
     total = np.bincount(back, counts, len(table)).astype(np.int64)
@@ -217,7 +227,7 @@ def _answers(pdf: pd.DataFrame) -> pd.DataFrame:
     rows, at = [], 0
     for block, k in zip(pdf.block, keys):
         here = slice(at, at + len(k))
-        rows.append((block, part, 0, _pack(total[back[here]]), np.packbits(own[here]).tobytes(), b"", 0, 0))
+        rows.append((block, part, 0, _thin(total[back[here]]), np.packbits(own[here]).tobytes(), b"", 0, 0))
         at += len(k)
     rows.append((-1, part, 0, b"", b"", b"", int(counts[word].sum()), int((total[np.unique(back[word])] > 0).sum())))
     return pd.DataFrame(rows, columns=["block", "part", "kind", "a", "b", "c", "n", "v"])
@@ -256,12 +266,12 @@ def _second_round(parts: int, n: int, v: int):
             keys, counts, contexts, suffixes, levels = map(np.concatenate, (keys, counts, contexts, suffixes, levels))
             asks = list(_dealt(keys, parts))
             if asks:
-                out.append(frame(2, part=[p for p, _ in asks], block=[row.block] * len(asks), keys=[keys[o].tobytes() for _, o in asks], counts=[_pack(counts[o]) for _, o in asks],
-                                 contexts=[contexts[o].tobytes() for _, o in asks], suffixes=[suffixes[o].tobytes() for _, o in asks], levels=[_pack(levels[o]) for _, o in asks]))
+                out.append(frame(2, part=[p for p, _ in asks], block=[row.block] * len(asks), keys=[_thin_keys(keys[o]) for _, o in asks], counts=[_thin(counts[o]) for _, o in asks],
+                                 contexts=[_thin(contexts[o]) for _, o in asks], suffixes=[_thin(suffixes[o]) for _, o in asks], levels=[_thin(levels[o]) for _, o in asks]))
             wanted = np.concatenate([x.keys[k][c[k] >= LEAST_COUNT] for k in range(2)] + [x.keys[k] for k in range(2, DEPTH)])
             asks = list(_dealt(wanted, parts))
             if asks:
-                out.append(frame(3, part=[p for p, _ in asks], block=[row.block] * len(asks), keys=[wanted[o].tobytes() for _, o in asks]))
+                out.append(frame(3, part=[p for p, _ in asks], block=[row.block] * len(asks), keys=[_thin_keys(wanted[o]) for _, o in asks]))
         return pd.concat(out, ignore_index=True) if out else pd.DataFrame([], columns=_ROUND_NAMES)
 
     return run
@@ -273,15 +283,15 @@ _LONGER = "block long, part int, kind int, a binary, b binary, c binary, level i
 def _longer_answers(pdf: pd.DataFrame) -> pd.DataFrame:
     """One part of the table of longer grams: for each block that asked its counts; then the frequent grams themselves."""
     part = int(pdf.part.iloc[0])
-    keys = [np.frombuffer(k, np.uint64) for k in pdf["keys"]]
-    counts = np.concatenate([np.frombuffer(zlib.decompress(c), np.uint32) for c in pdf["counts"]])
+    keys = [_thick_keys(k) for k in pdf["keys"]]
+    counts = np.concatenate([_thick(c, np.uint32) for c in pdf["counts"]])
     table, first, back = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
     total = np.bincount(back, counts, len(table)).astype(np.int64)
     cuts = np.cumsum([0, *(len(k) for k in keys)])
-    told = pd.DataFrame({"block": pdf.block.to_numpy(), "part": part, "kind": 2, "a": [_pack(total[back[s:e]]) for s, e in zip(cuts, cuts[1:])]})
+    told = pd.DataFrame({"block": pdf.block.to_numpy(), "part": part, "kind": 2, "a": [_thin(total[back[s:e]]) for s, e in zip(cuts, cuts[1:])]})
     often = first[total >= LEAST_COUNT]
-    column = lambda name: np.concatenate([np.frombuffer(x, np.uint64) for x in pdf[name]])[often].astype(np.int64)
-    level = np.concatenate([np.frombuffer(zlib.decompress(x), np.uint8) for x in pdf.levels])[often]
+    column = lambda name: np.concatenate([_thick(x, np.uint64) for x in pdf[name]])[often].astype(np.int64)
+    level = np.concatenate([_thick(x, np.uint8) for x in pdf.levels])[often]
     grams = pd.DataFrame({"block": -1, "part": part, "kind": 2, "a": [b""] * len(often), "level": level, "key": table[total >= LEAST_COUNT].astype(np.int64),
                           "context": column("contexts"), "suffix": column("suffixes"), "n": total[total >= LEAST_COUNT]})
     out = pd.concat([told.assign(level=0, key=0, context=0, suffix=0, n=0), grams], ignore_index=True)
@@ -320,7 +330,7 @@ def _state_answers(asked: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
     table, size, back = states.key.to_numpy(np.uint64), states["size"].to_numpy(float), states.back.to_numpy(float)
     rows = []
     for block, part, k in zip(asked.block, asked.part, asked["keys"]):
-        at = _find(table, np.frombuffer(k, np.uint64))
+        at = _find(table, _thick_keys(k))
         at = at[at >= 0]
         if len(at):
             rows.append((block, part, 1, table[at].tobytes(), size[at].tobytes(), back[at].tobytes()))
@@ -426,12 +436,13 @@ def score_documents(docs: DataFrame, modulus: int = 7) -> DataFrame:
     total = answers.where("block = -1").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     n, v = int(total.n or 0), int(total.v or 0)
     answers = answers.where("block >= 0").drop("n", "v")
-    second = stored(x.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_second_round(parts, n, v), _ROUND), "second-round")
+    second = stored(x.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_second_round(parts, n, v), _ROUND), "second-round", by="what")
     requests = second.where("what = 2").select("part", "block", "keys", "counts", "contexts", "suffixes", "levels")
     longer = stored(requests.groupBy("part").applyInPandas(_longer_answers, _LONGER), "longer-grams")
+    forget(second, "what=2")
     states = _states(second.where("what = 1").select("key", "context", "n", "whole", "root"), longer.where("block = -1"))
     contexts = states.count()
-    dealt = states.withColumn("part", (F.shiftrightunsigned("key", 20) % parts).cast("int"))
+    dealt = states.withColumn("part", F.shiftright(F.shiftrightunsigned("key", 32) * F.lit(parts).cast("long"), 32).cast("int"))
     asks = second.where("what = 3").select("part", "block", "keys")
     replies = answers.union(longer.where("block >= 0").select("block", "part", "kind", "a", "b", "c"))
     replies = replies.union(asks.groupBy("part").cogroup(dealt.groupBy("part")).applyInPandas(_state_answers, told))
