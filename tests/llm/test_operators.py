@@ -440,3 +440,136 @@ def test_pipeline(spark):
     out = {r.doc_id: r for r in corpus_pipeline.run(spark, SF).collect()}
     want = {r.doc_id: hashlib.sha256(r.text.encode()).hexdigest() for r in docs.collect()}
     assert {i: r.decoded_sha256 for i, r in out.items()} == want
+
+
+def test_long_items_and_ids_of_any_type(spark):
+    """An item of over 512 words: its question and answer are looked up in the whole text, in any order; null and text ids sort."""
+    rnd = random.Random(21)
+    words = [f"w{rnd.randrange(5000)}" for _ in range(1300)]
+    question, answer = " ".join(words[:1280]) + ".", " ".join(words[1280:]) + "."
+    items = spark.createDataFrame([("long", question + " " + answer), (None, "some other words that nobody has ever said before"), ("short", "what is the name of the tall tower? the tower of stone")], "item_id string, text string")
+    filler = " ".join(f"f{rnd.randrange(5000)}" for _ in range(300))
+    docs = spark.createDataFrame([("a", f"{filler} {answer} {filler} {question} {filler}"), ("b", filler), ("c", "x what is the name of the tall tower? the tower of stone x"), (None, "some other words that nobody has ever said before")], "doc_id string, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.retrieve(docs, items).collect()}
+    assert got.keys() == {("a", "long"), ("c", "short"), (None, None)}
+    assert got[("a", "long")].question_overlap > 0.99 and got[("a", "long")].answer_overlap > 0.99
+    assert [r.doc_id for r in decontaminate.keep_clean(docs, items).collect()] == ["b"]
+
+
+def test_next_document_over_ids_of_any_type(spark):
+    rnd = random.Random(4)
+    made = [(rnd.choice([None, *(f"id{i % 40:03d}" for i in range(60))]), f"text {i}") for i in range(200)]
+    d = spark.createDataFrame(made, "doc_id string, text string")
+    some = [m for m in made if m[0] is not None]
+    order = sorted(sorted(some, key=lambda m: m[1]), key=lambda m: m[0], reverse=True) + sorted(m for m in made if m[0] is None)
+    want = [(i, t, order[(k + 1) % len(order)][1]) for k, (i, t) in enumerate(order)]
+    _same([(r.doc_id, r.text, r.next_text) for r in minhash.with_next(d, 300).collect()], want)
+    _same([(r.doc_id, r.text, r.next_text) for r in minhash.with_next(d.where("doc_id IS NULL"), 300).collect()], [(None, t, sorted(m[1] for m in made if m[0] is None)[(k + 1) % (200 - len(some))]) for k, t in enumerate(sorted(m[1] for m in made if m[0] is None))])
+
+
+def test_swapping_a_group_hardly_moves_the_score():
+    """Toxic sentences name one group of each pair more often; the score of a neutral one must not."""
+    rnd = random.Random(3)
+    pairs = {"women": "men", "muslims": "christians", "gay": "straight", "immigrants": "natives"}
+    rows = []
+    for i in range(400):
+        g = rnd.choice(list(pairs))
+        nice, bad = rnd.sample(["garden", "music", "school", "kitchen", "river", "holiday"], 3), rnd.sample(["stupid", "awful", "vermin", "trash"], 2)
+        rows.append(([g, "are", "here", *bad, nice[0]], 1) if i % 2 else ([pairs[g] if rnd.random() < 0.8 else g, "are", "here", *nice], 0))
+    free, held = toxicity.train(rows, penalty=0.0), toxicity.train(rows)
+    for a, b in pairs.items():
+        gap = [abs(m.score(f"{a} are here") - m.score(f"{b} are here")) for m in (free, held)]
+        assert gap[0] > 0.3 and gap[1] < 0.05
+        assert held.score(f"{a} are vermin trash") > 0.9 > 0.3 > held.score(f"{a} like music garden river")
+
+
+def test_toxicity_scores_by_hand(spark, docs):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    full = spark.read.parquet(f"{SF}/documents.parquet")
+    model = toxicity.fit(full, labels)
+    want = {}
+    for r in full.select("doc_id", "text").collect():
+        words = set(re.findall(r"[^\W\d_]+", (r.text or "").lower()))
+        z = model.bias + math.fsum(v for f, v in model.weights.items() if f in words or (f.endswith("*") and any(len(w) > 4 and w[:4] == f[:-1] for w in words)))
+        want[r.doc_id] = 1 / (1 + math.exp(-max(-30, min(30, z))))
+    for r in toxicity.judge(full, labels).collect():
+        assert math.isclose(r.score, want[r.doc_id], rel_tol=1e-6, abs_tol=1e-12) and r.predicted == (r.score >= 0.3)
+
+
+def test_span_model_tells_planted_data_from_decoys(spark):
+    """Spans that the base patterns leave out are added where form, lists and context speak for them; decoys stay out."""
+    rnd = random.Random(5)
+    hexes = lambda n: "".join(rnd.choices("0123456789abcdef", k=n))
+    iban = "DE89370400440532013000"
+    real = ["call (212) 555-0142 now", f"token = '{hexes(40)}'", f"our account is {iban}", "mail jane.doe (at) example.com", "my ssn 512-34-8765", f"api_key={hexes(32)}"]
+    decoy = ["order 1234567890123456 shipped", "see commit release-candidate-number-twelve-7", "code DE00370400440532013000 x", "ip 999.1.2.3 x", f"build {'x1' * 4} y", "the 123-456-78901 thing"]
+    base = ["a@b.com", "10.1.2.3", "4111 1111 1111 1111", "+1 212 555 0142"]
+    made = [(i, f"filler words {rnd.choice(real + decoy + base)} and more {rnd.choice(base)} end") for i in range(600)]
+    n_real = sum(any(x in t for x in real) for _, t in made)
+    d = spark.createDataFrame(made, "doc_id long, text string")
+    added = caught = wrong = 0
+    for r, (_, t) in zip(sorted(pii.find_pii(d).collect()), made):
+        more = [x for x in r.spans.split(",") if x and x not in {f"{n}:{s}:{e}" for s, _, e, n in _base_spans(t)}]
+        added += len(more)
+        caught += bool(more) and any(x in t for x in real)
+        wrong += sum(not any(x in t for x in real) for _ in more)
+    assert caught >= 0.9 * n_real and wrong <= 0.1 * added
+
+
+def test_many_matches_in_one_text_take_little_time(spark):
+    import time
+
+    mails = " ".join(f"a{i}@b.com" for i in range(20000))
+    d = spark.createDataFrame([(1, mails)], "doc_id long, text string")
+    pii.find_pii(d.limit(0)).collect()
+    began = time.time()
+    r = pii.find_pii(d).first()
+    assert r.n_email == 20000 and time.time() - began < 10
+    at, spans = 0, []
+    for m in mails.split(" "):
+        spans.append(f"email:{at}:{at + len(m)}")
+        at += len(m) + 1
+    assert r.spans == ",".join(spans)
+    began = time.time()
+    assert pii.redact(d).first().text == " ".join(["[EMAIL]"] * 20000) and time.time() - began < 10
+    began = time.time()
+    many = spark.createDataFrame([(1, "MIT License, " * 20000)], "doc_id long, text string")
+    assert licenses.scan_licenses(many).first().n_base == 20000 and time.time() - began < 10
+
+
+def _sample(rx, pick):
+    """A text that a signature matches: branch `pick` of each choice, fewest repeats."""
+    import re._parser as parser
+
+    def made(tree):
+        out = ""
+        for op, value in tree:
+            kind = str(op)
+            if kind == "LITERAL":
+                out += chr(value)
+            elif kind == "MAX_REPEAT":
+                out += made(value[2]) * value[0]
+            elif kind == "SUBPATTERN":
+                out += made(value[-1])
+            elif kind == "BRANCH":
+                out += made(value[1][min(pick, len(value[1]) - 1)])
+            elif kind == "IN":
+                first, v = value[0]
+                out += chr(v if str(first) == "LITERAL" else v[0]) if str(first) in ("LITERAL", "RANGE") else "a"
+            elif kind == "ANY":
+                out += "x"
+        return out
+
+    return made(parser.parse(rx))
+
+
+def test_every_signature_passes_its_gate_and_is_found(spark):
+    """Each hand-written signature alone, branch by branch and with other separators, gives its label."""
+    cases = {_sample(rx, pick) for _, _, rx, _, _ in licenses.SENTENCES for pick in range(3)}
+    cases = sorted(cases | {c.replace(" ", "\n  ") for c in cases})
+    want = {c: {label for label, _, rx, _, _ in licenses.SENTENCES if re.search(licenses._spaced(rx), c)} for c in cases}
+    d = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    got = {r.doc_id: set(r.labels.split(",")) for r in licenses.scan_licenses(d).collect()}
+    # a detection inside a longer one is suppressed, so a case gives one of its own labels at least
+    assert [c for i, c in enumerate(cases) if want[c] and not got[i] & want[c]] == []
+    assert all(want[c] for c in cases if "\n" not in c)
