@@ -8,9 +8,10 @@ state is the explicit count, smoothed Witten-Bell fashion with the next shorter
 
 Nothing of the model is held in any one place. Texts are read once and encoded in blocks of bounded bytes; a block asks the
 parts of a table of gram counts for its distinct words and word pairs, packed as sorted 64-bit hashes, and gets packed counts
-back. Longer grams are asked for only where every word pair in them is frequent, so the many rare ones never travel. Of the
-blocks that hold a frequent pair one owns it and reports it once; longer frequent grams are reported by the part that counted
-them. Divergence tests are joins and sums by context over these. Each block is then sent the retained states of its contexts.
+back, with a short number for each frequent pair. Longer grams are the numbers of their pairs, and are asked for only where
+every pair in them is frequent, so the many rare ones never travel. Of the blocks that hold a frequent pair one owns it and
+reports it once; longer frequent grams are reported by the part that counted them. Divergence tests are joins and sums by
+context over these. Each block is then sent the retained states of its contexts, in the order in which it asked.
 Blocks and parts both grow with the bytes of the corpus, so what one task holds does not; a block sends a part one row, and
 none where it has no gram of that part, so the rows never outnumber the grams asked for.
 
@@ -60,12 +61,6 @@ def symbols(batch: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (np.concatenate(parts) if parts else np.zeros(0, np.int64)), np.array(sizes, np.int64), np.concatenate([np.array([END], np.uint64), hashes])
 
 
-def _by_part(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of keys by part, and each key's part: parts are ranges of keys, so that neighbours in a part lie close."""
-    part = ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
-    return np.argsort(part, kind="stable"), part
-
-
 def _thin(a: np.ndarray) -> bytes:
     """Numbers as planes of their bytes, squeezed: planes of small numbers vanish."""
     raw = np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize)
@@ -79,8 +74,8 @@ def _thick(raw: bytes, kind) -> np.ndarray:
 
 
 def _thin_keys(keys: np.ndarray) -> bytes:
-    """Keys in runs of rising order as steps from one to the next."""
-    return _thin(np.diff(keys, prepend=np.uint64(0)))
+    """Numbers in runs of rising order as steps from one to the next."""
+    return _thin(np.diff(keys.astype(np.uint64), prepend=np.uint64(0)))
 
 
 def _thick_keys(raw: bytes) -> np.ndarray:
@@ -133,72 +128,89 @@ def _encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 class Block:
-    """A block's distinct grams of each level: keys, and each symbol's place among them, -1 where there is none.
+    """A block's distinct grams by level, and each symbol's place among those that end at it, -1 where there is none.
 
-    Words and pairs are all there; longer grams only after `extend`, where all their pairs are frequent.
+    Level 0 are words and 1 pairs, by hash; `extend` adds levels 2 and up, by the numbers of their pairs, where all are frequent.
     """
 
     def __init__(self, row):
         self.sizes = _thick(row.sizes, np.int64)
         ids, hashes = _thick(row.ids, np.int32), np.frombuffer(row.hashes, np.uint64)
-        self.train = np.repeat(np.unpackbits(np.frombuffer(row.train, np.uint8), count=len(self.sizes)).astype(bool), self.sizes)
+        self.told_train = np.unpackbits(np.frombuffer(row.train, np.uint8), count=len(self.sizes)).astype(bool)
+        self.train = np.repeat(self.told_train, self.sizes)
         self.place = np.arange(len(ids)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
-        self.words = hashes[ids]
+        words = hashes[ids]
         order = np.argsort(hashes, kind="stable")
         rank = np.empty(len(hashes), np.int32)
         rank[order] = np.arange(len(hashes), dtype=np.int32)
-        self.keys, self.at, self.h = [hashes[order]], [rank[ids]], self.words
-        self._level(1, self.place >= 1)
-
-    def _level(self, k: int, here: np.ndarray) -> None:
-        self.h = np.concatenate([self.h[:1], _mix(self.h[:-1], self.words[1:])])
-        keys, back = np.unique(self.h[here] & GRAM_BITS, return_inverse=True)
-        at = np.full(len(here), -1, np.int32)
-        at[here] = back
+        pairs = np.concatenate([words[:1], _mix(words[:-1], words[1:])]) & GRAM_BITS
+        self.keys, self.at = [hashes[order]], [rank[ids]]
+        here = self.place >= 1
+        keys, at = self._unique(pairs, here)
         self.keys.append(keys)
         self.at.append(at)
 
-    def extend(self, pairs: np.ndarray) -> None:
-        """Adds the longer levels, given the pairs' training counts."""
-        ok = np.zeros(len(self.place), bool)
+    @staticmethod
+    def _unique(x: np.ndarray, here: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keys, back = np.unique(x[here], return_inverse=True)
+        at = np.full(len(here), -1, np.int32)
+        at[here] = back
+        return keys, at
+
+    def extend(self, numbers: np.ndarray) -> None:
+        """Adds the longer levels, given the number of each pair, 0 where it is rare. numbers[k]: columns of a level's grams."""
+        order = np.argsort(numbers, kind="stable")
+        rank = np.empty(len(numbers), np.int64)
+        rank[order] = np.arange(len(numbers))
+        last = np.full(len(self.place), -1, np.int64)
         some = self.at[1] >= 0
-        ok[some] = pairs[self.at[1][some]] >= LEAST_COUNT
+        last[some] = np.where(numbers[self.at[1][some]] > 0, rank[self.at[1][some]], -1)
+        columns = [numbers[order]]
+        self.numbers = [None, [numbers]]
         for k in range(2, DEPTH + 1):
-            ok = ok & np.concatenate([[False], ok[:-1]]) & (self.place >= k)
-            self._level(k, ok)
-
-    def counted(self, k: int) -> np.ndarray:
+            before = np.concatenate([[-1], last[:-1]])
+            here = (before >= 0) & (last >= 0) & (self.place >= k)
+            width = max(len(columns[0]), 1)
+            keys, at = self._unique(before * width + last, here)
+            columns = [c[keys // width] for c in columns] + [columns[-1][keys % width]]
+            self.numbers.append(columns)
+            self.at.append(at)
+            last = at.astype(np.int64)
+
+    def counted(self, k: int, size: int) -> np.ndarray:
         at = self.at[k][self.train]
-        return np.bincount(at[at >= 0], minlength=len(self.keys[k])).astype(np.uint32)
+        return np.bincount(at[at >= 0], minlength=size).astype(np.uint32)
 
-    def ends(self, k: int) -> np.ndarray:
+    def ends(self, k: int, size: int) -> np.ndarray:
         """For each gram of a level, a symbol at which it ends."""
-        out = np.zeros(len(self.keys[k]), np.int64)
+        out = np.zeros(size, np.int64)
         some = np.flatnonzero(self.at[k] >= 0)
         out[self.at[k][some]] = some
         return out
 
 
-def _told(got: pd.DataFrame, kind: int, keys: list[np.ndarray], parts: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """By level, the training counts of a block's grams as the parts told them, and which of them this block owns."""
-    every = np.concatenate(keys)
-    order, _ = _by_part(every, parts)
-    c, own = np.zeros(len(every), np.int64), np.zeros(len(every), bool)
-    got = got[got.kind == kind].sort_values("part")
-    if len(got):
-        counts = [_thick(x, np.int64) for x in got.a]
-        c[order] = np.concatenate(counts)
-        own[order] = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(t)) if x else np.zeros(len(t), np.uint8) for x, t in zip(got.b, counts)]).astype(bool)
-    cuts = np.cumsum([len(k) for k in keys])[:-1]
-    return np.split(c, cuts), own
+def _dealt(part: np.ndarray, parts: int) -> list[tuple[int, np.ndarray]]:
+    """(part, places in order) for each part that has any."""
+    order = np.argsort(part, kind="stable")
+    cuts = np.searchsorted(part[order], np.arange(parts + 1))
+    return [(p, order[cuts[p] : cuts[p + 1]]) for p in np.flatnonzero(np.diff(cuts)).tolist()]
 
 
-def _dealt(keys: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(part, places of its keys in order) for each part that has any."""
-    order, part = _by_part(keys, parts)
-    cuts = np.searchsorted(part[order], np.arange(parts + 1))
-    for p in np.flatnonzero(np.diff(cuts)).tolist():
-        yield p, order[cuts[p] : cuts[p + 1]]
+def _hash_part(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Ranges of hashes, so that neighbours in a part lie close."""
+    return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
+
+
+#: What numbers are weighed with when a gram's part is chosen; `_state_part` says the same in SQL.
+WEIGHTS = (1, 31, 1009)
+
+
+def _number_part(columns: list[np.ndarray], parts: int) -> np.ndarray:
+    return (sum(c * np.uint64(w) for c, w in zip(columns, WEIGHTS)) % np.uint64(parts)).astype(np.int32)
+
+
+def _state_part(parts: int) -> str:
+    return f"CAST(IF(level = 1, shiftright(shiftrightunsigned(a, 32) * {parts}L, 32), (a * {WEIGHTS[0]}L + b * {WEIGHTS[1]}L) % {parts}L) AS INT)"
 
 
 def _requests(parts: int):
@@ -206,137 +218,213 @@ def _requests(parts: int):
         for pdf in batches:
             for row in pdf.itertuples():
                 x = Block(row)
-                keys, counts = np.concatenate(x.keys), np.concatenate([x.counted(k) for k in (0, 1)])
-                rows = [(p, row.block, int((o < len(x.keys[0])).sum()), _thin_keys(keys[o]), _thin(counts[o])) for p, o in _dealt(keys, parts)]
+                keys, counts = np.concatenate(x.keys), np.concatenate([x.counted(k, len(x.keys[k])) for k in (0, 1)])
+                rows = [(p, row.block, int((o < len(x.keys[0])).sum()), _thin_keys(keys[o]), _thin(counts[o])) for p, o in _dealt(_hash_part(keys, parts), parts)]
                 yield pd.DataFrame(rows, columns=["part", "block", "words", "keys", "counts"])
 
     return run
 
 
-def _answers(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One part of the table of words and pairs: for each block that asked its counts and the frequent grams that it owns; then the words' n and v."""
-    part = int(pdf.part.iloc[0])
-    pdf = pdf.iloc[np.argsort((pdf.block.to_numpy(np.int64) * 40503 + part * 30011) % 65521, kind="stable")]  # owners differ by part
-    keys = [_thick_keys(k) for k in pdf["keys"]]
-    counts = np.concatenate([_thick(c, np.uint32) for c in pdf["counts"]])
-    word = np.concatenate([np.arange(len(k)) < w for k, w in zip(keys, pdf.words)])
-    table, first, back = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-    total = np.bincount(back, counts, len(table)).astype(np.int64)
-    own = np.zeros(len(back), bool)
-    own[first[total >= LEAST_COUNT]] = True
-    rows, at = [], 0
-    for block, k in zip(pdf.block, keys):
-        here = slice(at, at + len(k))
-        rows.append((block, part, 0, _thin(total[back[here]]), np.packbits(own[here]).tobytes(), b"", 0, 0))
-        at += len(k)
-    rows.append((-1, part, 0, b"", b"", b"", int(counts[word].sum()), int((total[np.unique(back[word])] > 0).sum())))
-    return pd.DataFrame(rows, columns=["block", "part", "kind", "a", "b", "c", "n", "v"])
+#: Answers to blocks: kind 0 for words and pairs (a counts, b which are owned, c numbers), 2 and up for longer grams (a counts),
+#: 10 + level for states (a which are retained, b sizes, c weights of the shorter state).
+ANSWER = "block long, part int, kind int, a binary, b binary, c binary"
+
+
+def _answers(parts: int):
+    """One part of the table of words and pairs: for each block that asked its answer; then the words' n and v (block -1)."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        part = int(pdf.part.iloc[0])
+        pdf = pdf.iloc[np.argsort((pdf.block.to_numpy(np.int64) * 40503 + part * 30011) % 65521, kind="stable")]  # owners differ by part
+        keys = [_thick_keys(k) for k in pdf["keys"]]
+        counts = np.concatenate([_thick(c, np.uint32) for c in pdf["counts"]])
+        word = np.concatenate([np.arange(len(k)) < w for k, w in zip(keys, pdf.words)])
+        table, first, back = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        total = np.bincount(back, counts, len(table)).astype(np.uint64)
+        often = total >= LEAST_COUNT
+        own = np.zeros(len(back), bool)
+        own[first[often]] = True
+        number = np.where(often, np.cumsum(often) * parts + part, 0).astype(np.uint64)
+        rows, at = [], 0
+        for block, k in zip(pdf.block, keys):
+            here = slice(at, at + len(k))
+            rows.append((block, part, 0, _thin(total[back[here]]), np.packbits(own[here]).tobytes(), _thin(number[back[here]]), 0, 0))
+            at += len(k)
+        rows.append((-1, part, 0, b"", b"", b"", int(counts[word].sum()), int((total[np.unique(back[word])] > 0).sum())))
+        return pd.DataFrame(rows, columns=["block", "part", "kind", "a", "b", "c", "n", "v"])
 
+    return run
+
+
+def _told(got: pd.DataFrame, x: Block, parts: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Training counts of a block's words and pairs, which pairs it owns, and the pairs' numbers."""
+    every = np.concatenate(x.keys)
+    order = np.argsort(_hash_part(every, parts), kind="stable")
+    c, own, number = np.zeros(len(every), np.int64), np.zeros(len(every), bool), np.zeros(len(every), np.uint64)
+    got = got[got.kind == 0].sort_values("part")
+    if len(got):
+        counts = [_thick(a, np.uint64) for a in got.a]
+        c[order] = np.concatenate(counts)
+        own[order] = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=len(t)) for b, t in zip(got.b, counts)]).astype(bool)
+        number[order] = np.concatenate([_thick(n, np.uint64) for n in got.c])
+    cut = len(x.keys[0])
+    return [c[:cut], c[cut:]], own[cut:], number[cut:]
 
-_ROUND = "what int, part int, block long, keys binary, counts binary, contexts binary, suffixes binary, levels binary, key long, context long, suffix long, n long, whole long, root double"
-_ROUND_NAMES = [x.split()[0] for x in _ROUND.split(", ")]
+
+_ROUND = "what int, part int, block long, level int, a binary, b binary, c binary, counts binary"
+
+
+def _columns(columns: list[np.ndarray], o: np.ndarray) -> list[bytes]:
+    """A gram's numbers, sorted by the first: steps of the first, planes of the others; three fields, the last ones empty."""
+    return [_thin_keys(columns[0][o]), *(_thin(c[o]) for c in columns[1:]), b"", b""][:3]
 
 
 def _second_round(parts: int, n: int, v: int):
     """The frequent pairs that a block owns (what 1), its requests for longer grams (2) and for states (3)."""
 
-    def frame(what: int, **columns) -> pd.DataFrame:
-        size = len(next(iter(columns.values())))
-        blank = {"part": -1, "block": -1, "keys": b"", "counts": b"", "contexts": b"", "suffixes": b"", "levels": b"", "key": 0, "context": 0, "suffix": 0, "n": 0, "whole": 0, "root": 0.0}
-        return pd.DataFrame({"what": what, **{k: [w] * size for k, w in blank.items() if k not in columns}, **columns})[_ROUND_NAMES]
-
     def run(pdf: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        rows = []
         for row in pdf.itertuples():
             x = Block(row)
-            c, own = _told(got, 0, x.keys, parts)
-            pair = np.flatnonzero(own[len(x.keys[0]) :])
-            end = x.ends(1)[pair]
+            c, own, number = _told(got, x, parts)
+            pair = np.flatnonzero(own)
+            end = x.ends(1, len(own))[pair]
             before, last = x.at[0][end - 1], x.at[0][end]
-            out.append(frame(1, key=x.keys[1][pair].astype(np.int64), context=x.keys[0][before].astype(np.int64), suffix=x.keys[0][last].astype(np.int64), n=c[1][pair], whole=c[0][before], root=(c[0][last] + 1.0) / (n + v + 1.0)))
-            x.extend(c[1])
-            keys, counts, contexts, suffixes, levels = [], [], [], [], []
+            root = (c[0][last] + 1.0) / (n + v + 1.0)
+            rows.append((1, -1, row.block, 1, _thin(number[pair]), _thin(x.keys[0][before]), _thin(c[1][pair]), _thin(c[0][before]) + root.tobytes()))
+            x.extend(number)
             for k in range(2, DEPTH + 1):
-                end = x.ends(k)
-                keys.append(x.keys[k])
-                counts.append(x.counted(k))
-                contexts.append(x.keys[k - 1][x.at[k - 1][end - 1]])
-                suffixes.append(x.keys[k - 1][x.at[k - 1][end]])
-                levels.append(np.full(len(end), k, np.uint8))
-            keys, counts, contexts, suffixes, levels = map(np.concatenate, (keys, counts, contexts, suffixes, levels))
-            asks = list(_dealt(keys, parts))
-            if asks:
-                out.append(frame(2, part=[p for p, _ in asks], block=[row.block] * len(asks), keys=[_thin_keys(keys[o]) for _, o in asks], counts=[_thin(counts[o]) for _, o in asks],
-                                 contexts=[_thin(contexts[o]) for _, o in asks], suffixes=[_thin(suffixes[o]) for _, o in asks], levels=[_thin(levels[o]) for _, o in asks]))
-            wanted = np.concatenate([x.keys[k][c[k] >= LEAST_COUNT] for k in range(2)] + [x.keys[k] for k in range(2, DEPTH)])
-            asks = list(_dealt(wanted, parts))
-            if asks:
-                out.append(frame(3, part=[p for p, _ in asks], block=[row.block] * len(asks), keys=[_thin_keys(wanted[o]) for _, o in asks]))
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame([], columns=_ROUND_NAMES)
+                counts = x.counted(k, len(x.numbers[k][0]))
+                for p, o in _dealt(_number_part(x.numbers[k], parts), parts):
+                    rows.append((2, p, row.block, k, *_columns(x.numbers[k], o), _thin(counts[o])))
+            for k, columns, part in _asked(x, c, number, parts):
+                for p, o in _dealt(part, parts):
+                    rows.append((3, p, row.block, k, *_columns(columns, o), b""))
+        return pd.DataFrame(rows, columns=["what", "part", "block", "level", "a", "b", "c", "counts"])
 
     return run
 
 
-_LONGER = "block long, part int, kind int, a binary, b binary, c binary, level int, key long, context long, suffix long, n long"
+def _asked(x: Block, c: list[np.ndarray], number: np.ndarray, parts: int) -> Iterator[tuple[int, list[np.ndarray], np.ndarray]]:
+    """(level, columns, parts) of the contexts whose states a block asks for: frequent words, frequent pairs, longer candidates."""
+    words = x.keys[0][c[0] >= LEAST_COUNT]
+    yield 1, [words], _hash_part(words, parts)
+    if DEPTH > 1:
+        pairs = np.sort(number[number > 0])
+        yield 2, [pairs], _number_part([pairs], parts)
+    for k in range(3, DEPTH + 1):
+        yield k, x.numbers[k - 1], _number_part(x.numbers[k - 1], parts)
+
+
+def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The owned pairs as rows."""
+    for pdf in batches:
+        for r in pdf.itertuples():
+            key = _thick(r.a, np.uint64).astype(np.int64)
+            whole, root = r.counts[: -8 * len(key)] if len(key) else b"", r.counts[len(r.counts) - 8 * len(key) :]
+            if len(key):
+                yield pd.DataFrame({"a": key, "context": _thick(r.b, np.uint64).astype(np.int64), "n": _thick(r.c, np.int64), "whole": _thick(whole, np.int64), "root": np.frombuffer(root, float)})
 
 
 def _longer_answers(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One part of the table of longer grams: for each block that asked its counts; then the frequent grams themselves."""
-    part = int(pdf.part.iloc[0])
-    keys = [_thick_keys(k) for k in pdf["keys"]]
-    counts = np.concatenate([_thick(c, np.uint32) for c in pdf["counts"]])
-    table, first, back = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-    total = np.bincount(back, counts, len(table)).astype(np.int64)
-    cuts = np.cumsum([0, *(len(k) for k in keys)])
-    told = pd.DataFrame({"block": pdf.block.to_numpy(), "part": part, "kind": 2, "a": [_thin(total[back[s:e]]) for s, e in zip(cuts, cuts[1:])]})
-    often = first[total >= LEAST_COUNT]
-    column = lambda name: np.concatenate([_thick(x, np.uint64) for x in pdf[name]])[often].astype(np.int64)
-    level = np.concatenate([_thick(x, np.uint8) for x in pdf.levels])[often]
-    grams = pd.DataFrame({"block": -1, "part": part, "kind": 2, "a": [b""] * len(often), "level": level, "key": table[total >= LEAST_COUNT].astype(np.int64),
-                          "context": column("contexts"), "suffix": column("suffixes"), "n": total[total >= LEAST_COUNT]})
-    out = pd.concat([told.assign(level=0, key=0, context=0, suffix=0, n=0), grams], ignore_index=True)
-    return out.assign(b=b"", c=b"")[[x.split()[0] for x in _LONGER.split(", ")]]
+    """One part of the table of longer grams: for each block that asked its counts (kind: the level); then the frequent grams (block -1)."""
+    part, rows = int(pdf.part.iloc[0]), []
+    for level, x in pdf.groupby("level"):
+        sizes = []
+        parts_of = [[] for _ in range(level)]
+        for r in x.itertuples():
+            columns = [_thick_keys(r.a), *(_thick(f, np.uint64) for f in (r.b, r.c)[: level - 1])]
+            sizes.append(len(columns[0]))
+            for into, column in zip(parts_of, columns):
+                into.append(column)
+        columns = [np.concatenate(p) for p in parts_of]
+        counts = np.concatenate([_thick(f, np.uint32) for f in x.counts])
+        order = np.lexsort(columns[::-1])
+        sorted_ = [c[order] for c in columns]
+        starts = np.concatenate([[True], np.any([c[1:] != c[:-1] for c in sorted_], axis=0)]) if len(order) else np.zeros(0, bool)
+        group = np.cumsum(starts) - 1
+        total = np.bincount(group, counts[order], int(starts.sum())).astype(np.uint64)
+        told = np.empty(len(order), np.uint64)
+        told[order] = total[group]
+        cuts = np.cumsum([0, *sizes])
+        rows += [(b, part, level, _thin(told[s:e]), b"", b"", b"") for b, s, e in zip(x.block, cuts, cuts[1:])]
+        often = total >= LEAST_COUNT
+        kept = [_thin(c[starts][often]) for c in sorted_] + [b""]
+        rows.append((-1, part, level, *kept[:3], _thin(total[often])))
+    return pd.DataFrame(rows, columns=["block", "part", "kind", "a", "b", "c", "n"])
+
+
+def _longer_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The longer frequent grams as rows; the third number of a gram of level 2 is 0."""
+    for pdf in batches:
+        for r in pdf.itertuples():
+            columns = [_thick(f, np.uint64).astype(np.int64) for f in (r.a, r.b, r.c)[: r.kind]]
+            n = _thick(r.n, np.uint64).astype(np.int64)
+            yield pd.DataFrame({"level": r.kind, "a": columns[0], "b": columns[1], "c": columns[2] if r.kind > 2 else np.zeros(len(n), np.int64), "n": n})
 
 
 def _states(pairs: DataFrame, longer: DataFrame) -> DataFrame:
-    """(key, size, back) of the retained contexts: divergence tests, level by level.
+    """(level, a, b, size, back) of the retained contexts: divergence tests, level by level. a: a word's hash or a pair's number; a, b: those of a context of three words.
 
     `below` is a gram's probability in the state of its context's suffix; whole is its context's count.
     """
     gain = F.sum(F.col("n") * F.log(F.col("n") / F.col("whole") / F.col("below"))).alias("gain")
 
-    def retained(g: DataFrame) -> DataFrame:
-        s = g.groupBy("context").agg(gain, F.sum("n").alias("told"), F.count(F.lit(1)).alias("kinds"), F.max("whole").alias("whole"))
+    def retained(g: DataFrame, level: int) -> DataFrame:
+        s = g.groupBy("ca", "cb").agg(gain, F.sum("n").alias("told"), F.count(F.lit(1)).alias("kinds"), F.max("whole").alias("whole"))
         s = s.where((F.col("gain") >= GAIN) & (F.col("gain") >= DIVERGENCE * F.col("whole"))).withColumn("size", F.col("whole") + F.col("kinds"))
-        return s.select(F.col("context").alias("key"), F.col("size").cast("double").alias("size"), ((F.col("size") - F.col("told")) / F.col("size")).alias("back"))
+        return stored(s.select(F.lit(level).alias("level"), F.col("ca").alias("a"), F.col("cb").alias("b"), F.col("size").cast("double").alias("size"), ((F.col("size") - F.col("told")) / F.col("size")).alias("back")), "states")
 
-    grams = pairs.select("key", "context", "n", "whole", F.col("root").alias("below"))
-    states = stored(retained(grams), "states")
-    every = states
+    none = F.lit(0).cast("long")
+    states = every = retained(pairs.select(F.col("context").alias("ca"), none.alias("cb"), "n", "whole", F.col("root").alias("below")), 1)
+    # of each gram: its own columns ka, kb, its count, its context as the shorter state of the next level, and `below`
+    grams = pairs.select(F.col("a").alias("ka"), none.alias("kb"), "n", F.col("context").alias("sa"), none.alias("sb"), F.col("root").alias("lower"))
+    counts = grams.select("ka", "kb", "n")
     for k in range(2, DEPTH + 1):
-        mine = longer.where(F.col("level") == k).select("key", "context", "suffix", "n")
-        whole = grams.select(F.col("key").alias("context"), F.col("n").alias("whole"))
-        short = grams.select(F.col("key").alias("suffix"), F.col("context").alias("shorter"), F.col("n").alias("n_short"), F.col("below").alias("lower"))
-        told = mine.join(whole, "context").join(short, "suffix").join(states.withColumnRenamed("key", "shorter"), "shorter")
-        grams = stored(told.select("key", "context", "n", "whole", (F.col("n_short") / F.col("size") + F.col("back") * F.col("lower")).alias("below")), "grams")
-        states = stored(retained(grams), "states")
+        mine = longer.where(F.col("level") == k)
+        if k == 2:  # pairs a and b
+            mine = mine.select(F.col("a").alias("ca"), none.alias("cb"), F.col("b").alias("ua"), none.alias("ub"), "n", F.col("a").alias("ka"), F.col("b").alias("kb"))
+        else:  # pairs a, b and c: the context is a, b and the suffix b, c
+            mine = mine.select(F.col("a").alias("ca"), F.col("b").alias("cb"), F.col("b").alias("ua"), F.col("c").alias("ub"), "n", none.alias("ka"), none.alias("kb"))
+        whole = counts.select(F.col("ka").alias("ca"), F.col("kb").alias("cb"), F.col("n").alias("whole"))
+        short = grams.select(F.col("ka").alias("ua"), F.col("kb").alias("ub"), F.col("n").alias("n_short"), "sa", "sb", "lower")
+        state = states.select(F.col("a").alias("sa"), F.col("b").alias("sb"), "size", "back")
+        told = mine.join(whole, ["ca", "cb"]).join(short, ["ua", "ub"]).join(state, ["sa", "sb"])
+        told = stored(told.select("ca", "cb", "ka", "kb", "n", "whole", (F.col("n_short") / F.col("size") + F.col("back") * F.col("lower")).alias("below")), "grams")
+        states = retained(told, k)
         every = every.union(states)
+        grams = told.select("ka", "kb", "n", F.col("ca").alias("sa"), F.col("cb").alias("sb"), F.col("below").alias("lower"))
+        counts = longer.where(F.col("level") == k).select(F.col("a").alias("ka"), F.col("b").alias("kb"), "n")
     return every
 
 
 def _state_answers(asked: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
-    """For each block that asked, those of its contexts in one part that are retained."""
-    states = states.assign(key=states.key.to_numpy(np.int64).astype(np.uint64)).sort_values("key")
-    table, size, back = states.key.to_numpy(np.uint64), states["size"].to_numpy(float), states.back.to_numpy(float)
+    """For each block and level that asked one part: which of its contexts are retained, and their states, in the order asked."""
     rows = []
-    for block, part, k in zip(asked.block, asked.part, asked["keys"]):
-        at = _find(table, _thick_keys(k))
-        at = at[at >= 0]
-        if len(at):
-            rows.append((block, part, 1, table[at].tobytes(), size[at].tobytes(), back[at].tobytes()))
+    for level, x in asked.groupby("level"):
+        s = states[states.level == level]
+        s = s.assign(a=s.a.to_numpy(np.int64).astype(np.uint64), b=s.b.to_numpy(np.int64).astype(np.uint64)).sort_values(["a", "b"])
+        a, b = s.a.to_numpy(np.uint64), s.b.to_numpy(np.uint64)
+        size, back = s["size"].to_numpy(float), s.back.to_numpy(float)
+        for r in x.itertuples():
+            at = _find(a, _thick_keys(r.a)) if level < 3 else _find_two(a, b, _thick_keys(r.a), _thick(r.b, np.uint64))
+            has = at >= 0
+            if has.any():
+                rows.append((r.block, r.part, 10 + level, np.packbits(has).tobytes(), size[at[has]].tobytes(), back[at[has]].tobytes()))
     return pd.DataFrame(rows, columns=["block", "part", "kind", "a", "b", "c"])
 
 
+def _find_two(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Places of pairs (x, y) among different pairs (a, b), -1 where absent."""
+    every = np.lexsort((np.concatenate([np.zeros(len(a)), np.ones(len(x))]), np.concatenate([b, y]), np.concatenate([a, x])))
+    ca, cb = np.concatenate([a, x])[every], np.concatenate([b, y])[every]
+    new = np.concatenate([[True], (ca[1:] != ca[:-1]) | (cb[1:] != cb[:-1])]) if len(every) else np.zeros(0, bool)
+    head = every[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(every) else every  # the first of each group: of the table, if it is there
+    out = np.full(len(a) + len(x), -1, np.int64)
+    out[every] = np.where(head < len(a), head, -1)
+    return out[len(a) :]
+
+
 class Tree:
     """The same model held whole, for small tables; the tests hold the partitioned one against it. The levels: grams[k] holds the frequent (k+1)-grams as sorted keys, each (place of its first k words) * M + last word."""
 
@@ -421,6 +509,15 @@ class Tree:
         return np.log10(root), np.log10(p)
 
 
+def _longer_told(got: pd.DataFrame, x: Block, k: int, parts: int) -> np.ndarray:
+    """Training counts of a block's grams of level k."""
+    out = np.zeros(len(x.numbers[k][0]), np.int64)
+    mine = {r.part: r for r in got[got.kind == k].itertuples()}
+    for q, o in _dealt(_number_part(x.numbers[k], parts), parts):
+        out[o] = _thick(mine[q].a, np.uint64)
+    return out
+
+
 def score_documents(docs: DataFrame, modulus: int = 7) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_contexts for each document."""
     spark = docs.sparkSession
@@ -429,50 +526,60 @@ def score_documents(docs: DataFrame, modulus: int = 7) -> DataFrame:
     coded = d.mapInPandas(_encoded, f"block long, doc_ids array<{kind}>, train binary, sizes binary, ids binary, hashes binary, n_bytes long")
     coded = stored(coded, "coded-texts")  # blocks have the names of this one run's partitions
     parts = parts_for(spark, coded.agg(F.sum("n_bytes")).first()[0] or 0, PART_BYTES)
-    told = "block long, part int, kind int, a binary, b binary, c binary"
     x = coded.select("block", "train", "sizes", "ids", "hashes")
     asked = x.mapInPandas(_requests(parts), "part int, block long, words int, keys binary, counts binary")
-    answers = stored(asked.groupBy("part").applyInPandas(_answers, f"{told}, n long, v long"), "gram-counts")
+    answers = stored(asked.groupBy("part").applyInPandas(_answers(parts), f"{ANSWER}, n long, v long"), "gram-counts")
     total = answers.where("block = -1").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     n, v = int(total.n or 0), int(total.v or 0)
     answers = answers.where("block >= 0").drop("n", "v")
     second = stored(x.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_second_round(parts, n, v), _ROUND), "second-round", by="what")
-    requests = second.where("what = 2").select("part", "block", "keys", "counts", "contexts", "suffixes", "levels")
-    longer = stored(requests.groupBy("part").applyInPandas(_longer_answers, _LONGER), "longer-grams")
+    longer = stored(second.where("what = 2").groupBy("part").applyInPandas(_longer_answers, f"{ANSWER}, n binary"), "longer-grams")
     forget(second, "what=2")
-    states = _states(second.where("what = 1").select("key", "context", "n", "whole", "root"), longer.where("block = -1"))
+    grams = longer.where("block = -1").mapInPandas(_longer_grams, "level int, a long, b long, c long, n long")
+    states = _states(second.where("what = 1").mapInPandas(_pairs, "a long, context long, n long, whole long, root double"), grams)
     contexts = states.count()
-    dealt = states.withColumn("part", F.shiftright(F.shiftrightunsigned("key", 32) * F.lit(parts).cast("long"), 32).cast("int"))
-    asks = second.where("what = 3").select("part", "block", "keys")
-    replies = answers.union(longer.where("block >= 0").select("block", "part", "kind", "a", "b", "c"))
-    replies = replies.union(asks.groupBy("part").cogroup(dealt.groupBy("part")).applyInPandas(_state_answers, told))
+    dealt = states.withColumn("part", F.expr(_state_part(parts)))
+    replies = answers.union(longer.where("block >= 0").drop("n"))
+    replies = replies.union(second.where("what = 3").groupBy("part").cogroup(dealt.groupBy("part")).applyInPandas(_state_answers, ANSWER))
 
     def score(pdf: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         out = []
         for row in pdf.itertuples():
-            b = Block(row)
-            c, _ = _told(got, 0, b.keys, parts)
-            b.extend(c[1])
-            c += _told(got, 2, b.keys[2:], parts)[0]
-            count = c[0][b.at[0]]
+            x = Block(row)
+            c, _, number = _told(got, x, parts)
+            x.extend(number)
+            count = c[0][x.at[0]]
             base = (count + 1.0) / (n + v + 1.0)
             p = base.copy()
-            mine = got[got.kind == 1]
-            key = np.frombuffer(b"".join(mine.a), np.uint64)
-            order = np.argsort(key)
-            key, size, back = key[order], np.frombuffer(b"".join(mine.b), float)[order], np.frombuffer(b"".join(mine.c), float)[order]
-            for k in range(1, DEPTH + 1):
-                some = np.flatnonzero(b.place >= k)
-                some = some[b.at[k - 1][some - 1] >= 0]
-                state = _find(key, b.keys[k - 1])[b.at[k - 1][some - 1]]
-                some, state = some[state >= 0], state[state >= 0]
-                at = b.at[k][some]
-                explicit = np.where(at >= 0, c[k][at], 0) if len(c[k]) else np.zeros(len(some), np.int64)
-                p[some] = np.where(explicit >= LEAST_COUNT, explicit, 0) / size[state] + back[state] * p[some]
-            starts = np.cumsum(b.sizes) - b.sizes
-            train = np.unpackbits(np.frombuffer(row.train, np.uint8), count=len(b.sizes)).astype(bool)
+            for k, columns, part in _asked(x, c, number, parts):
+                # states by the order asked, then by the place of the context
+                retained, size, back = np.zeros(len(columns[0]), bool), np.zeros(len(columns[0])), np.zeros(len(columns[0]))
+                mine = {r.part: r for r in got[got.kind == 10 + k].itertuples()}
+                for q, o in _dealt(part, parts):
+                    if r := mine.get(q):
+                        o = o[np.unpackbits(np.frombuffer(r.a, np.uint8), count=len(o)).astype(bool)]
+                        retained[o], size[o], back[o] = True, np.frombuffer(r.b, float), np.frombuffer(r.c, float)
+                if k == 1:
+                    state = np.cumsum(c[0] >= LEAST_COUNT) - 1
+                    state = np.where(c[0] >= LEAST_COUNT, state, -1)
+                elif k == 2:
+                    state = np.full(len(number), -1, np.int64)
+                    often = np.flatnonzero(number > 0)
+                    state[often[np.argsort(number[often], kind="stable")]] = np.arange(len(often))
+                else:
+                    state = np.arange(len(columns[0]))
+                some = np.flatnonzero(x.place >= k)
+                at = x.at[k - 1][some - 1]
+                some, at = some[at >= 0], state[at[at >= 0]] if len(state) else at[at >= 0]
+                some, at = some[at >= 0], at[at >= 0]
+                some, at = some[retained[at]], at[retained[at]]
+                told = c[1] if k == 1 else _longer_told(got, x, k, parts)
+                gram = x.at[k][some]
+                explicit = np.where(gram >= 0, told[gram], 0) if len(told) else np.zeros(len(some), np.int64)
+                p[some] = np.where(explicit >= LEAST_COUNT, explicit, 0) / size[at] + back[at] * p[some]
+            starts = np.cumsum(x.sizes) - x.sizes
             out.append(pd.DataFrame({
-                "doc_id": list(row.doc_ids), "held_out": ~train, "n_tokens": b.sizes,
+                "doc_id": list(row.doc_ids), "held_out": ~x.told_train, "n_tokens": x.sizes,
                 "n_known": np.add.reduceat((count > 0).astype(np.int64), starts), "train_tokens": n,
                 "base_score": np.add.reduceat(np.log10(base), starts), "score": np.add.reduceat(np.log10(p), starts), "n_contexts": contexts,
             }))
