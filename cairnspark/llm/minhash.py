@@ -12,13 +12,13 @@ each other only; repeated rows repeat; columns besides doc_id and text are ignor
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnspark.llm.common import parts_for, stored, texts, words_of
@@ -234,21 +234,17 @@ def with_next(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     looked at to place the ranges; their tops, one for each `range_bytes` of text, are sent to the tasks.
     """
     d = texts(docs)
-    spark, kind = docs.sparkSession, d.schema["doc_id"].dataType
+    spark, kind = docs.sparkSession, d.schema["doc_id"].dataType.simpleString()
     size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     tops = _range_tops(d, parts_for(spark, size, range_bytes))
-    last = max(0, len(tops) - 1)
-    told = spark.sparkContext.broadcast(tops)
-
-    def places(ids: pd.Series) -> pd.DataFrame:
-        """The range of each id: the last whose top is at least the id; and whether the id is that top."""
-        up = told.value[::-1]
-        at = [None if pd.isna(i) else bisect_left(up, i) for i in ids]
-        return pd.DataFrame({"range": [last if a is None else len(up) - 1 - a for a in at], "is_top": [a is not None and up[a] == i for a, i in zip(at, ids)]})
-
-    place = F.pandas_udf(places, "range int, is_top boolean")
-    # null ids pass as they are: pandas would turn a column of longs with nulls to floats
-    keyed = d.withColumn("at", F.when(F.col("doc_id").isNull(), F.struct(F.lit(last).alias("range"), F.lit(False).alias("is_top"))).otherwise(place(F.coalesce("doc_id", _any_of(tops, kind)))))
+    last, steps = max(0, len(tops) - 1), max(1, len(tops).bit_length())
+    # one constant array, searched by halving: the last top that is at least the id
+    keyed = d.withColumn("tops", F.from_json(F.lit(json.dumps(tops, default=str)), f"array<{kind}>"))
+    found = f"""aggregate(sequence(1, {steps}), named_struct('low', 0, 'high', {last}), (s, i) -> IF(s.low >= s.high, s,
+        IF(tops[CAST((s.low + s.high + 1) div 2 AS INT)] >= doc_id, named_struct('low', CAST((s.low + s.high + 1) div 2 AS INT), 'high', s.high),
+           named_struct('low', s.low, 'high', CAST((s.low + s.high + 1) div 2 AS INT) - 1))), s -> s.low)"""
+    keyed = keyed.withColumn("range", F.expr(f"IF(doc_id IS NULL, {last}, {found})"))
+    keyed = keyed.withColumn("at", F.expr("named_struct('range', range, 'is_top', doc_id IS NOT NULL AND tops[range] = doc_id)")).drop("tops", "range")
     keyed = keyed.withColumn("to", F.expr(f"""filter(array(
         named_struct('range', at.range, 'copy', 0),
         IF(at.is_top AND at.range > 0, named_struct('range', at.range - 1, 'copy', 1), NULL),
@@ -259,10 +255,6 @@ def with_next(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     return out.select("doc_id", "text", F.coalesce("next_text", "text").alias("next_text"))
 
 
-def _any_of(tops: list, kind) -> Column:
-    return F.lit(tops[0] if tops else None).cast(kind)
-
-
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for each document."""
     d = with_next(docs)
