@@ -5,12 +5,9 @@ from cairnspark.functions import names as n
 NS = 1_000_000_000
 OPERATORS = {
     "c01_name_pieces": lambda d: f"SELECT id, {n.pieces(d, 'name')} AS pieces FROM files",
-    "c02_expand": lambda d: f"SELECT id, CASE WHEN {n.pieces(d, 'name')} <> name THEN name || ' ' || {n.pieces(d, 'name')} ELSE name END AS expanded FROM files",
     "c08_dates": lambda d: f"SELECT id, {d.strftime(d.div('mtime_ns', str(NS)), '%Y-%m')} AS year_month, {d.strftime(d.div('mtime_ns', str(NS)), '%Y-%m-%d')} AS day FROM files",
     "c09_touch": lambda d: f"SELECT id, {d.strftime(d.div('mtime_ns', str(NS)), '%Y%m%d%H%M.%S')} AS stamp FROM files",
-    "c10_human_bytes": lambda d: f"SELECT id, {n.human_bytes(d, 'size')} AS shown, {n.human_bytes(d, 'size * 1000')} AS shown_k, {n.human_bytes(d, 'size * 1000000')} AS shown_m FROM files",
     "c12_numbered": lambda d: f"SELECT id, {n.numbered(d, 'name', '2')} AS second FROM files",
-    "c13_windows_name": lambda d: f"SELECT page_id, {n.windows_name(d, 'url')} AS safe FROM {d.table('pages')}",
     "c14_tsv_escape": lambda d: f"SELECT doc_id, {n.tsv('text')} AS escaped FROM {d.table('documents')}",
     "c15_path_parts": lambda d: f"SELECT id, {d.size('parts')} AS depth, {d.at('parts', 1)} AS top, {d.join(d.first_n('parts', '3'))} AS parent FROM files",
     "c17_crumbs": lambda d: f"SELECT id, {d.prefixes('parts')} AS crumb FROM files",
@@ -22,13 +19,7 @@ OPERATORS = {
         FROM (SELECT id, mtime_ns - 1704500000123456789 AS v FROM files) t""",
     "c27_safe_path": lambda d: f"SELECT page_id, NOT ({d.rlike('url', '^/')} OR {d.rlike('url', '(^|/)[.][.](/|$)')} OR url = '') AS safe FROM {d.table('pages')}",
     "c35_hit_folder": lambda d: "SELECT id, substring(folder, length('/Library/') + 1) AS shown FROM files WHERE folder LIKE '/Library/%'",
-    "f05_terms": lambda d: "SELECT id FROM files WHERE contains(lower(name), 'run1') AND contains(lower(name), 'sample')",
-    "f08_glob": lambda d: f"SELECT id, {d.rlike('name', '^run.*_src.Sample[.](txt|csv)$')} AS hit FROM files",
-    "f09_excluded": lambda d: f"SELECT id, {d.rlike('name', '^([.]DS_Store|Thumbs[.]db|desktop[.]ini|[.]_.*|.*[.]pdf)$')} AS excluded FROM files",
     "f10_hidden": lambda d: f"SELECT page_id, {d.rlike('url', '(^|/)[.][^/]')} AS hidden FROM {d.table('pages')}",
-    "f22_overlap": lambda d: "SELECT a.path AS a, b.path AS b FROM (SELECT DISTINCT folder AS path FROM files) a JOIN (SELECT DISTINCT '/Library/' || project AS path FROM files) b ON a.path = b.path OR starts_with(a.path, b.path || '/')"
-    if d.name == "duck"
-    else "SELECT a.path AS a, b.path AS b FROM (SELECT DISTINCT folder AS path, '/Library/' || project AS top FROM files) a JOIN (SELECT DISTINCT '/Library/' || project AS path FROM files) b ON a.top = b.path",
     "f26_clean_names": lambda d: f"SELECT doc_id, NOT (contains(text, chr(9)) OR contains(text, chr(10)) OR contains(text, chr(13))) AS clean FROM {d.table('documents')}",
-    "f28_valid_name": lambda d: f"SELECT page_id, NOT (url IN ('', '.', '..') OR contains(url, '/') OR {d.bytes('url')} > 255) AS valid FROM {d.table('pages')}",
+
 }

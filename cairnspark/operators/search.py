@@ -25,14 +25,6 @@ OPERATORS = {
     "c03_search_language": lambda d: find(d, 'samp type:.GZ after:2024-01-01 size:>=0.1k is:file'),
     "c03_search_phrase": lambda d: find(d, '"library en" run1 before:2024-02-31 <1MB'),
     "c03_search_empty": lambda d: find(d, "* !!"),
-    "q07_word_index": _index,
-    "q04_search_words": lambda d: f"SELECT id FROM ({_index(d)}) t WHERE token LIKE 'src1%' OR token LIKE 'samp%' GROUP BY id HAVING count(DISTINCT CASE WHEN token LIKE 'src1%' THEN 1 ELSE 2 END) = 2",
-    "q04_search_phrase": lambda d: "SELECT id FROM files WHERE lower(name) LIKE '%src1sample%'",
-    "q04_search_filters": lambda d: f"SELECT id FROM files WHERE (lower(name) LIKE '%.gz' OR lower(name) LIKE '%.gz.%') AND size >= 1000 AND {d.div('mtime_ns', '1000000000')} >= 1704153600",
-    "x02_bm25": lambda d: f"""SELECT id, round(sum(ln((total - df + 0.5) / (df + 0.5) + 1.0) * (tf * 2.2) / (tf + 1.2)), 6) AS score FROM (
-        SELECT i.id, i.token, CAST(sum(CASE WHEN i.field = 'words' THEN 10.0 ELSE 1.0 END * i.tf) AS DOUBLE) AS tf, CAST(max(s.df) AS DOUBLE) AS df, CAST(max(s.total) AS DOUBLE) AS total FROM ({_index(d)}) i
-        JOIN (SELECT token, count(DISTINCT id) AS df, (SELECT count(*) FROM files) AS total FROM ({_index(d)}) k WHERE token IN ('src1', 'sample', 'gz') GROUP BY token) s ON i.token = s.token GROUP BY i.id, i.token) t GROUP BY id""",
     "q27_fs_search": lambda d: f"SELECT id, path FROM files WHERE contains(lower(name), 'run2') AND NOT {d.rlike('path', '(^|/)[.][^/]')} AND size > 100",
-    "c33_completion": lambda d: "SELECT folder, min(name) AS low, max(name) AS high, count(*) AS n FROM files WHERE lower(name) LIKE 'run1%' GROUP BY folder",
     "x13_truncated": lambda d: "SELECT count(*) > 50 AS truncated FROM (SELECT id FROM files WHERE size > 500 ORDER BY id LIMIT 51) t",
 }

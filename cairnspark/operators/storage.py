@@ -18,8 +18,6 @@ OPERATORS = {
     "a01_solid_count": lambda d: "SELECT pack_id, project, CAST(sum(CASE WHEN kind = 's' THEN 1 ELSE 0 END) AS BIGINT) AS n_solid FROM blobs GROUP BY pack_id, project",
     "a02_carrier": lambda d: "SELECT id, min(id) OVER (PARTITION BY project, sha256) AS carrier_id FROM files",
     "a19_refs": lambda d: "SELECT project, sha256, count(*) AS refs FROM files GROUP BY project, sha256",
-    "q05_info": lambda d: f"""SELECT e.project, count(*) AS n_files, count(DISTINCT e.folder) AS n_folders, CAST(sum(e.size) AS BIGINT) AS original, CAST(sum(CASE WHEN e.is_carrier THEN 0 ELSE e.size END) AS BIGINT) AS duplicate,
-        CAST(sum(CASE WHEN e.is_carrier THEN {n.share(d, 'e')} ELSE 0 END) AS BIGINT) AS stored, max(e.mtime_ns) AS latest FROM pack_entries e GROUP BY e.project""",
     "a06_distinct_bytes": lambda d: "SELECT project, CAST(sum(size) AS BIGINT) AS distinct_bytes FROM contents GROUP BY project",
     "a07_protection": lambda d: """SELECT project, CASE WHEN count(*) = 0 THEN 'none' WHEN bool_or(state = 'damaged') THEN 'damaged' WHEN bool_and(state = 'protected') THEN 'protected' ELSE 'pending' END AS protection FROM packs GROUP BY project""",
     "a08_last_checked": lambda d: "SELECT project, CASE WHEN count(*) = count(checked_at) THEN min(checked_at) ELSE -1 END AS last_checked FROM packs GROUP BY project",

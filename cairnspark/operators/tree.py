@@ -2,23 +2,7 @@
 
 _FOLDERS = "SELECT id, project, size, created, {p} AS folder_path FROM files"
 OPERATORS = {
-    "q01_list": lambda d: """SELECT kind, name, CAST(sum(size) AS BIGINT) AS size, count(*) AS n_files FROM (
-        SELECT 'd' AS kind, source AS name, size FROM files WHERE project = 'en' UNION ALL SELECT 'f' AS kind, name, size FROM files WHERE folder = '/Library/en') t
-        GROUP BY kind, name""",
-    "q02_stat": lambda d: "SELECT id, path, project, size, sha256, '/Library/' || project AS project_path FROM files WHERE path = (SELECT min(path) FROM files)",
-    "q03_walk": lambda d: "SELECT id, substring(path, length('/Library/fr/') + 1) AS rel, size FROM files WHERE path LIKE '/Library/fr/%'",
-    "f03_child": lambda d: "SELECT id, name FROM files WHERE folder = '/Library/de/src1' AND name LIKE 'run%'",
     "j06_subtree": lambda d: f"SELECT t.folder_path, t.id FROM ({_FOLDERS.format(p=d.prefixes('parts', drop=1))}) t WHERE t.folder_path LIKE 'Library/es%'",
-    "j17_project_of_path": lambda d: f"""SELECT page_id, max_by(project, depth) AS project, max(depth) AS depth FROM (
-        SELECT p.page_id, f.project, f.depth FROM (SELECT page_id, 'Library/' || {d.extract('url', '/(en|fr|de|es)/', 1)} || '/src' || CAST(page_id % 10 AS {d.text}) || '/new' AS want FROM {d.table('pages')}) p
-        JOIN (SELECT DISTINCT 'Library/' || project AS path, project, 2 AS depth FROM files UNION ALL SELECT DISTINCT 'Library/' || project || '/' || source AS path, project, 3 AS depth FROM files) f
-        ON f.path = {d.join(d.first_n(d.split('p.want'), 2))} OR f.path = {d.join(d.first_n(d.split('p.want'), 3))}) t GROUP BY page_id"""
-    if d.name == "duck"
-    else f"""SELECT page_id, max_by(project, depth) AS project, max(depth) AS depth FROM (
-        SELECT page_id, explode(transform(sequence(2, 3), i -> struct(i AS depth, array_join(slice(split(want, '/'), 1, i), '/') AS path))) AS x FROM (
-            SELECT page_id, 'Library/' || {d.extract('url', '/(en|fr|de|es)/', 1)} || '/src' || CAST(page_id % 10 AS STRING) || '/new' AS want FROM {d.table('pages')})) p
-        JOIN (SELECT DISTINCT 'Library/' || project AS path, project FROM files UNION ALL SELECT DISTINCT 'Library/' || project || '/' || source AS path, project FROM files) f ON p.x.path = f.path
-        LATERAL VIEW explode(array(p.x.depth)) v AS depth GROUP BY page_id""",
     "j26_resolve": lambda d: f"SELECT f.id, f.path FROM files f JOIN (SELECT path FROM dest WHERE size > 1000) w ON f.path = w.path",
     "j27_cycle_check": lambda d: """SELECT a.folder AS moved, b.folder AS target, b.folder = a.folder OR starts_with(b.folder, a.folder || '/') AS cycle
         FROM (SELECT DISTINCT '/Library/' || project AS folder, project FROM files) a JOIN (SELECT DISTINCT folder, project FROM files) b ON a.project = b.project"""

@@ -32,6 +32,20 @@ def relations(d) -> dict[str, str]:
             CASE WHEN pack_id % 3 = 0 THEN NULL ELSE {T0} + pack_id * 7200 END AS checked_at FROM blobs GROUP BY pack_id, project, pack_ord""",
         "pack_entries": """SELECT f.id, b.pack_id, f.path, f.name, f.folder, f.project, f.sha256, f.size, f.mtime_ns, cb.blob_id, cb.blob_off, b.kind AS blob_kind, b.data_len, b.raw_len,
             cb.carrier_id, f.id = cb.carrier_id AS is_carrier FROM files f JOIN content_blobs cb ON f.project = cb.project AND f.sha256 = cb.sha256 JOIN blobs b ON cb.blob_id = b.blob_id AND cb.project = b.project""",
+        "folder_names": f"""SELECT DISTINCT {d.prefixes('parts', drop=1)} AS rel FROM files""",
+        "folder_rows": f"""SELECT CAST(row_number() OVER (ORDER BY rel) + 2 AS BIGINT) AS id, '/' || rel AS path, {d.at(d.split('rel'), '-1')} AS name, {d.size(d.split('rel'))} AS depth,
+            {d.join(d.first_n(d.split('rel'), d.size(d.split('rel')) + ' - 1'))} AS up, CASE WHEN {d.size(d.split('rel'))} > 1 THEN {d.at(d.split('rel'), '2')} END AS project FROM folder_names""",
+        "live_files": "SELECT * FROM files WHERE doc_id % 17 <> 0",
+        "folder_sums": f"""SELECT rel, CAST(sum(size) AS BIGINT) AS size, CAST(count(*) AS BIGINT) AS n_files FROM (SELECT {d.prefixes('parts', drop=1)} AS rel, size FROM live_files) t GROUP BY rel""",
+        "projects": "SELECT project, id AS root FROM folder_rows WHERE depth = 2",
+        "nodes": f"""SELECT CAST(1 AS BIGINT) AS id, CAST(NULL AS BIGINT) AS parent, '/' AS path, '' AS name, 'd' AS kind, CAST(NULL AS {d.text}) AS project, CAST(NULL AS {d.text}) AS sha256, CAST(0 AS BIGINT) AS size,
+                CAST(0 AS BIGINT) AS mtime_ns, CAST(0 AS BIGINT) AS created, CAST(NULL AS BIGINT) AS trashed_at, CAST(NULL AS {d.text}) AS trash_origin
+            UNION ALL SELECT CAST(2 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS {d.text}), '.trash', 'd', CAST(NULL AS {d.text}), CAST(NULL AS {d.text}), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS {d.text})
+            UNION ALL SELECT f.id, coalesce(u.id, CAST(1 AS BIGINT)), f.path, f.name, 'd', f.project, CAST(NULL AS {d.text}), coalesce(s.size, CAST(0 AS BIGINT)), CAST({T0} AS BIGINT) * 1000000000, CAST({T0} AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS {d.text})
+                FROM folder_rows f LEFT JOIN folder_rows u ON u.path = '/' || f.up LEFT JOIN folder_sums s ON f.path = '/' || s.rel
+            UNION ALL SELECT f.id, CASE WHEN f.doc_id % 17 = 0 THEN CAST(2 AS BIGINT) ELSE p.id END, CASE WHEN f.doc_id % 17 <> 0 THEN f.path END, CASE WHEN f.doc_id % 17 = 0 THEN CAST(f.id AS {d.text}) ELSE f.name END, 'f', f.project, f.sha256, f.size,
+                f.mtime_ns, f.created, CASE WHEN f.doc_id % 17 = 0 THEN {T0} + f.doc_id * 3600 END, CASE WHEN f.doc_id % 17 = 0 THEN f.path END
+                FROM files f JOIN folder_rows p ON p.path = f.folder""",
         "dest": """SELECT path, size, CASE WHEN doc_id % 7 = 0 THEN 'changed' ELSE sha256 END AS sha256, CASE WHEN doc_id % 11 = 0 THEN mtime_ns + 1000 ELSE mtime_ns END AS mtime_ns
             FROM files WHERE doc_id % 5 <> 0""",
         "trashed": f"SELECT id, path, project, size, sha256, {T0} + doc_id * 3600 AS trashed_at FROM files WHERE doc_id % 17 = 0",
@@ -46,6 +60,20 @@ def relations(d) -> dict[str, str]:
     }
 
 
+def frame(spark, sf_dir: str, relation: str):
+    """One relation as a DataFrame."""
+    from cairnspark.plans.dialect import Spark
+
+    return spark.sql(statement(Spark(sf_dir), f"SELECT * FROM {relation}"))
+
+
+def duck(select: str) -> str:
+    """A hand-written statement for the other engine over the relations that it names."""
+    from cairnspark.plans.dialect import Duck
+
+    return statement(Duck(), select)
+
+
 def statement(d, select: str) -> str:
     import re
 
