@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,6 +73,7 @@ def stored(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     (df.write.partitionBy(by) if by else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
+    spark._jvm.java.lang.System.gc()  # lets the driver's cleaner drop the shuffle files of the step that is written now
     return out
 
 
@@ -80,6 +83,14 @@ def forget(df: DataFrame, part: str = "") -> None:
     fs.delete(at, True)
 
 
+def give_back() -> None:
+    """Returns a worker's freed memory to the system, so that its groups do not add up."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def parts_for(spark: SparkSession, size: int = 0, each: int = 1) -> int:
     """Parts to deal `size` out to so that one holds about `each`, and no fewer than the session's shuffle partitions."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // each))

@@ -16,17 +16,15 @@ text are ignored.
 
 from __future__ import annotations
 
-import ctypes
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairnspark.llm.common import parts_for, texts
+from cairnspark.llm.common import give_back, parts_for, texts
 
 LENGTH, GRAM = 400, 16
 BLOCK_BYTES = 6_000_000
@@ -156,17 +154,9 @@ def _runs_of(pdf: pd.DataFrame, length: int) -> Iterator[tuple]:
         yield (k, raw, *anchor_runs(np.frombuffer(raw, np.uint8), length))
 
 
-def _give_back() -> None:
-    """Returns freed memory to the system, so that a worker's groups do not add up."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
-
-
 def _asks(length: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        _give_back()
+        give_back()
         found = [h for _, _, h, _, _ in _runs_of(pdf, length)]
         h, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
         return pd.DataFrame({"anchor": h.astype(np.int64), "block": pdf.block.iloc[0], "n": n})
@@ -176,7 +166,7 @@ def _asks(length: int):
 
 def _pieces(length: int):
     def run(pdf: pd.DataFrame, again: pd.DataFrame) -> pd.DataFrame:
-        _give_back()
+        give_back()
         wanted = np.sort(again.anchor.to_numpy(np.int64).astype(np.uint64))
         held: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
         if len(wanted) and len(pdf):
@@ -194,7 +184,7 @@ def _pieces(length: int):
 
 def _judge(length: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        _give_back()
+        give_back()
         count: dict[bytes, int] = {}
         of: dict[int, dict[bytes, None]] = {}
         for a, p, o in zip(pdf.anchor, pdf.piece, pdf.places):
@@ -234,7 +224,7 @@ def _judge(length: int):
 
 
 def _cut(pdf: pd.DataFrame, spans: pd.DataFrame) -> pd.DataFrame:
-    _give_back()
+    give_back()
     by: dict[int, list[tuple[int, int]]] = {}
     for k, s, e in zip(spans.k, spans.s, spans.e):
         by.setdefault(k, []).append((s, e))

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnspark.llm.common import forget, held_out, parts_for, stored, texts, words_of
+from cairnspark.llm.common import forget, give_back, held_out, parts_for, stored, texts, words_of
 
 LEAST_COUNT, DEPTH = 8, 3
 GAIN, DIVERGENCE = 20.0, 0.01
@@ -234,6 +234,7 @@ def _answers(parts: int):
     """One part of the table of words and pairs: for each block that asked its answer; then the words' n and v (block -1)."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         part = int(pdf.part.iloc[0])
         pdf = pdf.iloc[np.argsort((pdf.block.to_numpy(np.int64) * 40503 + part * 30011) % 65521, kind="stable")]  # owners differ by part
         keys = [_thick_keys(k) for k in pdf["keys"]]
@@ -283,6 +284,7 @@ def _second_round(parts: int, n: int, v: int):
     """The frequent pairs that a block owns (what 1), its requests for longer grams (2) and for states (3)."""
 
     def run(pdf: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         rows = []
         for row in pdf.itertuples():
             x = Block(row)
@@ -328,6 +330,7 @@ def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _longer_answers(pdf: pd.DataFrame) -> pd.DataFrame:
     """One part of the table of longer grams: for each block that asked its counts (kind: the level); then the frequent grams (block -1)."""
+    give_back()
     part, rows = int(pdf.part.iloc[0]), []
     for level, x in pdf.groupby("level"):
         sizes = []
@@ -543,6 +546,7 @@ def score_documents(docs: DataFrame, modulus: int = 7) -> DataFrame:
     replies = replies.union(second.where("what = 3").groupBy("part").cogroup(dealt.groupBy("part")).applyInPandas(_state_answers, ANSWER))
 
     def score(pdf: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         out = []
         for row in pdf.itertuples():
             x = Block(row)
