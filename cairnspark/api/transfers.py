@@ -95,7 +95,7 @@ def speed(samples: DataFrame, window: float, key: str = "job_id", at: str = "sec
     run = Window.partitionBy(key, "_run").orderBy(at, order)
     # among samples at least `window` old the last in order, by a range of times; several at one time: the last of them
     x = x.withColumn("_place", F.row_number().over(run))
-    old = Window.partitionBy(key, "_run").orderBy(F.col(at).cast("double")).rangeBetween(Window.unboundedPreceding, -float(window))
+    old = Window.partitionBy(key, "_run").orderBy((F.col(at) * 1000).cast("long")).rangeBetween(Window.unboundedPreceding, -round(window * 1000))
     base = F.max_by(F.struct(F.col(at).alias("t"), F.col(total).alias("d")), F.col("_place")).over(old)
     first = F.first(F.struct(F.col(at).alias("t"), F.col(total).alias("d"))).over(run.rowsBetween(Window.unboundedPreceding, 0))
     x = x.withColumn("_base", F.coalesce(base, first))

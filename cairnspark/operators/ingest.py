@@ -54,9 +54,6 @@ OPERATORS = {
     "w01_carrier": lambda d: "SELECT id, row_number() OVER (PARTITION BY project, sha256 ORDER BY id) = 1 AS carries FROM files",
     "w02_heir": lambda d: "SELECT id, coalesce(lead(id) OVER (PARTITION BY project, sha256 ORDER BY id), -1) AS heir FROM files",
     "w03_first_path": lambda d: "SELECT id, first_value(path) OVER (PARTITION BY project, sha256 ORDER BY id) AS first_path FROM files",
-    "w13_free_name": lambda d: f"""SELECT s.id, min(c.i) AS n, {n.numbered(d, 's.name', 'min(c.i)')} AS free FROM (SELECT id, folder, name FROM files WHERE doc_id % 50 = 0) s
-        JOIN (SELECT CAST(i + 1 AS BIGINT) AS i FROM (SELECT {d.numbers('5')} AS i) z) c ON true LEFT JOIN (SELECT folder, {n.numbered(d, 'name', '2')} AS taken FROM files WHERE doc_id % 100 = 0) t
-        ON s.folder = t.folder AND {n.numbered(d, 's.name', 'c.i')} = t.taken WHERE t.taken IS NULL GROUP BY s.id, s.name""",
     "w14_progress": lambda d: "SELECT id, CAST(sum(size) OVER (PARTITION BY project ORDER BY id) AS BIGINT) AS done FROM files",
     "w15_chunks": lambda d: f"SELECT id, {d.div('CAST(row_number() OVER (PARTITION BY project ORDER BY id) AS BIGINT) - 1', '100')} AS chunk FROM files",
     "j15_existing": lambda d: f"SELECT id, CASE WHEN d_size IS NULL THEN 'pending' WHEN d_size = size THEN 'to_check' ELSE 'pending' END AS route FROM {_SRC}",
@@ -65,8 +62,6 @@ OPERATORS = {
             row_number() OVER (PARTITION BY f.project, f.sha256 ORDER BY f.id) AS rn FROM files f
         LEFT JOIN (SELECT DISTINCT sha256 FROM dest) h ON f.sha256 = h.sha256 LEFT JOIN (SELECT DISTINCT size FROM dest) z ON f.size = z.size) t""",
     "q09_resume": lambda d: f"SELECT id, CASE WHEN d_size IS NULL OR d_size <> size THEN 'pending' WHEN d_sha = sha256 THEN 'identical' ELSE 'resend' END AS class FROM {_SRC}",
-    "q10_conflicts": lambda d: f"""SELECT s.id, m.mode, CASE WHEN d_size IS NULL THEN 'store' WHEN d_sha = sha256 THEN 'identical' WHEN m.mode = 'skip' THEN 'skipped' WHEN m.mode = 'replace' THEN 'replaced' WHEN m.mode = 'keep_both' THEN 'numbered' ELSE 'failed' END AS decision
-        FROM {_SRC} JOIN (SELECT 'skip' AS mode UNION ALL SELECT 'replace' UNION ALL SELECT 'keep_both' UNION ALL SELECT 'fail') m ON true""",
     "w09_solid_blocks": lambda d: _batches(d, "SELECT folder, id AS item_id, size FROM files WHERE size <= 2000", "folder", "{pos} >= 6400"),
     "w10_retrieval_batches": lambda d: _batches(d, "SELECT folder, id AS item_id, size FROM files", "folder", "{n} >= 20 OR {pos} + {size} > 51200"),
     "w08_rotation": lambda d: _rotation_spark(d) if d.name == "spark" else _rotation_duck(d),

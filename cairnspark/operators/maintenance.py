@@ -9,16 +9,9 @@ OPERATORS = {
     "x06_scrub_order": lambda d: "SELECT pack_id, project, CAST(row_number() OVER (ORDER BY coalesce(checked_at, 0), pack_id, project) AS BIGINT) AS place FROM packs",
     "w04_latest_open": lambda d: "SELECT project, max(pack_id) AS pack_id FROM packs WHERE state = 'open' GROUP BY project",
     "w05_snapshots": lambda d: f"SELECT day FROM (SELECT day, row_number() OVER (ORDER BY day DESC) AS rn FROM (SELECT DISTINCT {d.strftime('created', '%Y-%m-%d')} AS day FROM files) a) b WHERE rn <= 3",
-    "q14_protect": lambda d: f"SELECT pack_id, project, CASE WHEN state <> 'sealed' THEN state WHEN coalesce(passed, true) THEN 'protected' ELSE 'failed' END AS state_now FROM {_OUT}",
-    "q15_scrub": lambda d: f"""SELECT pack_id, project, CASE WHEN state = 'open' THEN 'open' WHEN coalesce(passed, true) THEN CASE WHEN state = 'damaged' THEN 'protected' ELSE state END
-        WHEN repairable THEN 'protected' ELSE 'damaged' END AS state_now FROM {_OUT}""",
-    "j10_dead_packs": lambda d: """SELECT p.pack_id, p.project FROM packs p WHERE EXISTS (SELECT 1 FROM blobs b WHERE b.pack_id = p.pack_id AND b.project = p.project)
-        AND NOT EXISTS (SELECT 1 FROM pack_entries e WHERE e.pack_id = p.pack_id AND e.project = p.project AND e.id % 40 = 0)""",
-    "q17_purge": lambda d: f"""SELECT e.project, e.pack_id, count(*) AS n_gone, CAST(sum(e.size) AS BIGINT) AS freed FROM pack_entries e JOIN trashed t ON e.id = t.id
-        WHERE t.trashed_at < {T0 + 2_000_000} AND NOT EXISTS (SELECT 1 FROM files f WHERE f.project = e.project AND f.sha256 = e.sha256 AND f.doc_id % 17 <> 0) GROUP BY e.project, e.pack_id""",
     "q19_worker_report": lambda d: "SELECT state, count(*) AS n_packs, CAST(sum(bytes) AS BIGINT) AS bytes, count(checked_at) AS n_checked FROM packs GROUP BY state",
     "q36_idle_seal": lambda d: f"SELECT pack_id, project FROM packs WHERE state = 'open' AND coalesce(checked_at, 0) < {T0 + 6 * 3600}",
     "x14_last_write": lambda d: """SELECT path, sha256 FROM (SELECT path, sha256, row_number() OVER (PARTITION BY path ORDER BY src DESC, id DESC) AS rn FROM (
         SELECT path, sha256, 1 AS src, id FROM files UNION ALL SELECT x.path, x.sha256, 2 AS src, CAST(0 AS BIGINT) AS id FROM dest x) a) b WHERE rn = 1""",
-    "q18_rebuild": lambda d: """SELECT path, max_by(sha256, pack_id) AS sha256, max(pack_id) AS pack_id FROM pack_entries GROUP BY path""",
+
 }

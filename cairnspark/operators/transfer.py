@@ -14,20 +14,9 @@ OPERATORS = {
         JOIN (SELECT source, bool_and(coalesce(d_sha = sha256, true)) AS ok FROM (SELECT * FROM {_SRC}) a GROUP BY source) g ON s.source = g.source""",
     "q23_empty_dirs": lambda d: f"SELECT folder FROM files GROUP BY folder HAVING bool_and({d.rlike('name', '[.](pdf|csv|txt)$')})",
     "q40_clashes": lambda d: "SELECT f.id FROM files f WHERE f.folder = '/Library/en/src1' AND EXISTS (SELECT 1 FROM dest x WHERE x.path = f.path)",
-    "q43_abandon": lambda d: "SELECT f.path FROM files f WHERE f.project = 'en' AND NOT EXISTS (SELECT 1 FROM dest x WHERE x.path = f.path)",
     "a28_skip_reasons": lambda d: f"""SELECT project, CAST(sum(CASE WHEN d_sha = sha256 THEN 1 ELSE 0 END) AS BIGINT) AS already_there, CAST(sum(CASE WHEN d_sha IS NOT NULL AND d_sha <> sha256 THEN 1 ELSE 0 END) AS BIGINT) AS other FROM {_SRC} GROUP BY project""",
-    "q25_job_list": lambda d: """SELECT job_id, CASE WHEN state IN ('running', 'queued') AND updated < newest - 86400 THEN 'interrupted' ELSE state END AS state, updated FROM (
-        SELECT j.*, n.newest FROM jobs j JOIN (SELECT max(secs) AS newest FROM job_events) n ON true) t WHERE NOT (state = 'done' AND updated < newest - 2592000)""",
-    "q26_dock": lambda d: "SELECT state, count(*) AS n, round(sum(total), 4) AS total FROM jobs GROUP BY state",
     "a30_job_progress": lambda d: "SELECT job_id, CASE WHEN total > 0 THEN CAST(floor(done / total * 100.0 + 0.0000001) AS BIGINT) ELSE CAST(0 AS BIGINT) END AS percent FROM jobs",
-    "q34_job_control": lambda d: """SELECT j.job_id, o.op, CASE WHEN o.op = 'cancel' AND j.state IN ('queued', 'running', 'paused') THEN 'cancelled' WHEN o.op = 'pause' AND j.state = 'running' THEN 'paused'
-        WHEN o.op = 'resume' AND j.state IN ('paused', 'failed') THEN 'queued' WHEN o.op = 'discard' AND j.state IN ('done', 'failed') THEN 'discarded' ELSE 'refused' END AS outcome
-        FROM jobs j JOIN (SELECT 'cancel' AS op UNION ALL SELECT 'pause' UNION ALL SELECT 'resume' UNION ALL SELECT 'discard') o ON true""",
-    "q35_job_outcome": lambda d: "SELECT job_id, state, n_events FROM jobs",
     "q39_leaving": lambda d: "SELECT job_id % 10 AS server, count(*) AS n_active FROM jobs WHERE state IN ('queued', 'running') GROUP BY job_id % 10",
-    "q42_adopt": lambda d: "SELECT j.job_id FROM jobs j JOIN (SELECT max(secs) AS newest FROM job_events) n ON true WHERE (j.state <> 'done' OR j.updated > n.newest - 86400) AND j.job_id % 7 <> 0",
-    "w07_rate": lambda d: """SELECT event_id, round(total / greatest(secs - first_at, 1), 4) AS rate FROM (SELECT event_id, secs, sum(bytes) OVER w AS total, min(secs) OVER w AS first_at FROM job_events
-        WINDOW w AS (PARTITION BY job_id ORDER BY secs RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW)) t WHERE secs - first_at > 0""",
     "j22_changed_views": lambda d: "SELECT event_id, state FROM (SELECT event_id, state, lag(state) OVER (PARTITION BY job_id ORDER BY secs, event_id) AS before FROM job_events) t WHERE before IS NULL OR before <> state",
     "j29_orphans": lambda d: "SELECT j.job_id FROM jobs j WHERE NOT EXISTS (SELECT 1 FROM job_events e WHERE e.job_id = j.job_id AND e.state = 'queued')",
     "w16_retries": lambda d: "SELECT job_id, CAST(sum(CASE WHEN state = 'failed' THEN 1 ELSE 0 END) AS BIGINT) AS attempts, max_by(state, event_id) AS last_state FROM job_events GROUP BY job_id",

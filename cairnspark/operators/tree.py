@@ -12,10 +12,6 @@ OPERATORS = {
     "a03_folder_totals": lambda d: f"SELECT folder_path, count(*) AS n_files, CAST(sum(size) AS BIGINT) AS bytes FROM ({_FOLDERS.format(p=d.prefixes('parts', drop=1))}) t GROUP BY folder_path",
     "a04_delta_totals": lambda d: f"""SELECT folder_path, CAST(sum(CASE WHEN id % 17 = 0 THEN -size ELSE size END) AS BIGINT) AS delta_bytes, CAST(sum(CASE WHEN id % 17 = 0 THEN -1 ELSE 1 END) AS BIGINT) AS delta_files
         FROM ({_FOLDERS.format(p=d.prefixes('parts', drop=1))}) t GROUP BY folder_path""",
-    "q28_trash_restore": lambda d: f"SELECT id, CASE WHEN id % 2 = 0 THEN '/.trash/' || CAST(id AS {d.text}) ELSE path END AS path_now, CASE WHEN id % 2 = 0 THEN path END AS origin FROM trashed",
-    "q29_move_subtree": lambda d: "SELECT id, CASE WHEN path LIKE '/Library/fr/src1/%' THEN '/Archive/moved/' || substring(path, length('/Library/fr/src1/') + 1) ELSE path END AS path FROM files",
-    "q37_mkdir_p": lambda d: f"""SELECT w.want FROM (SELECT DISTINCT {d.prefixes('parts')} AS want FROM (SELECT {d.split("'Library/' || project || '/new/' || source")} AS parts FROM files) p) w
-        LEFT JOIN (SELECT DISTINCT folder_path FROM ({_FOLDERS.format(p=d.prefixes('parts', drop=1))}) t) e ON w.want = e.folder_path WHERE e.folder_path IS NULL""",
     "x01_folder_first": lambda d: """SELECT kind, name, CAST(row_number() OVER (ORDER BY CASE WHEN kind = 'd' THEN 0 ELSE 1 END, lower(name), name) AS BIGINT) AS place FROM (
         SELECT DISTINCT 'd' AS kind, source AS name FROM files WHERE project = 'en' UNION ALL SELECT 'f' AS kind, name FROM files WHERE folder = '/Library/en/src1') t""",
     "x12_ui_sort": lambda d: "SELECT id, CAST(row_number() OVER (ORDER BY coalesce(size, -1) DESC, lower(name), id) AS BIGINT) AS place FROM files WHERE folder = '/Library/en/src1'",
