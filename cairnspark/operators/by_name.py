@@ -86,9 +86,9 @@ QUERIES = {
     ),
     "c33_completion": (
         lambda s, d: frame(s, d, "files").groupBy("folder").agg(F.collect_list("name").alias("names")).select("folder", *(c.completion(F.lit(t), F.col("names")).alias(k) for k, t in (("a", "run1"), ("b", "RUN"), ("n", "zzz")))),
-        duck("""SELECT folder, CASE WHEN count(*) FILTER (WHERE name LIKE 'run1%') = 1 THEN max(name) FILTER (WHERE name LIKE 'run1%') WHEN count(*) FILTER (WHERE name LIKE 'run1%') > 1 THEN list_reduce(list(name) FILTER (WHERE name LIKE 'run1%'),
-            lambda x, y: list_aggregate(list_filter(list_transform(range(0, least(length(x), length(y)) + 1), lambda i: x[1:i]), lambda p: starts_with(y, p)), 'max')) END AS a,
-            CASE WHEN count(*) = 1 THEN max(name) WHEN bool_and(left(name, 4) = 'run1') THEN 'run1' ELSE 'RUN' END AS b, CAST(NULL AS VARCHAR) AS n FROM files GROUP BY folder"""),
+        duck("SELECT folder, " + ", ".join(f"""CASE WHEN len({k}) = 0 THEN NULL WHEN len({k}) = 1 THEN {k}[1] ELSE (SELECT CASE WHEN length(p) > length('{t}') THEN p ELSE '{t}' END FROM (SELECT list_reduce(CASE WHEN len({k}) = 0 THEN [''] ELSE {k} END,
+            lambda x, y: list_aggregate(list_filter(list_transform(range(0, least(length(x), length(y)) + 1), lambda i: x[1:i]), lambda p: starts_with(y, p)), 'max')) AS p)) END AS {k}""" for k, t in (("a", "run1"), ("b", "RUN")))
+             + """, CAST(NULL AS VARCHAR) AS n FROM (SELECT folder, coalesce(list(name) FILTER (WHERE name LIKE 'run1%'), []) AS a, list(name) AS b FROM files GROUP BY folder)"""),
     ),
     "c34_titles": (
         lambda s, d: frame(s, d, "files").select("id", F.expr("CASE WHEN id % 3 = 0 THEN 'send' ELSE 'retrieve' END").alias("direction"), F.expr("CASE WHEN id % 2 = 0 THEN 'move' ELSE 'copy' END").alias("mode"),

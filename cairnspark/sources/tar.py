@@ -146,16 +146,23 @@ def write(rows: DataFrame, where: str) -> None:
 
 
 def append(path: str, rows: list[tuple[str, bytes]]) -> None:
-    """Members at the end of an open pack; if one fails the file is cut back to what it was."""
+    """Members at the end of an open pack; if one fails the file is put back to what it was."""
     size = os.path.getsize(path) if os.path.exists(path) else 0
+    end, tail = 0, b""
     try:
         with tarfile.open(path, "a" if size else "w", format=tarfile.PAX_FORMAT) as t:
+            end = t.offset  # the end mark of the old tar lies here
+            with open(path, "rb") as f:
+                f.seek(end)
+                tail = f.read()
             for name, body in rows:
                 m = tarfile.TarInfo(name)
                 m.size = len(body)
                 t.addfile(m, io.BytesIO(body))
     except BaseException:
         with open(path, "r+b") as f:
+            f.seek(end)
+            f.write(tail)
             f.truncate(size)
         raise
 

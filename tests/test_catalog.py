@@ -1,12 +1,18 @@
 """Catalog queries against the other engine on the smallest tables, and literal expectations."""
 
 import duckdb
+import hypothesis
 import pandas as pd
 import pytest
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+from cairnspark.api import changes, search, transfers
+from cairnspark.functions import columns as c
 from cairnspark.functions import names
 from cairnspark.plans import registry
 from cairnspark.plans.dialect import Duck, Spark
+from cairnspark.sources import seekable, tar
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("events", "documents", "pages", "labels")
@@ -33,41 +39,116 @@ def test_matches_oracle(spark, con, name):
     assert _rows(got) == _rows(want)
 
 
-def _both(spark, make, value):
-    q = value.replace("'", "''")
-    a = spark.sql(f"SELECT {make(Spark(''), 'x')} AS y FROM (SELECT '{q}' AS x) t").first().y
-    b = duckdb.sql(f"SELECT {make(Duck(), 'x')} AS y FROM (SELECT '{q}' AS x) t").fetchall()[0][0]
-    assert a == b
-    return a
+def _column(spark, make, value, kind="string"):
+    return spark.createDataFrame([(value,)], f"x {kind}").select(make(F.col("x")).alias("y")).first().y
 
 
-@pytest.mark.parametrize(("name", "want"), [("CharityDairy2023", "Charity Dairy 2023"), ("run1_Sample", "run 1_Sample"), ("DNASample", "DNA Sample"), ("plain", "plain")])
-def test_pieces(spark, name, want):
-    assert _both(spark, names.pieces, name) == want
+@pytest.mark.parametrize(
+    ("name", "want"),
+    [("MapleGrove1987.zip", "MapleGrove1987.zip Maple Grove 1987"), ("set9_Probe", "set9_Probe set 9"), ("RNAPlate", "RNAPlate RNA Plate"), ("plain.tar.gz", "plain.tar.gz"), ("ÉtéHiver", "ÉtéHiver Été Hiver")],
+)
+def test_expand(spark, name, want):
+    assert _column(spark, c.expand, name) == want
 
 
 @pytest.mark.parametrize(("name", "want"), [("a.txt", "a (2).txt"), (".hidden", ".hidden (2)"), ("b.tar.gz", "b.tar (2).gz"), ("c", "c (2)")])
 def test_numbered(spark, name, want):
-    assert _both(spark, lambda d, x: names.numbered(d, x, "2"), name) == want
+    q = name.replace("'", "''")
+    a = spark.sql(f"SELECT {names.numbered(Spark(''), 'x', '2')} AS y FROM (SELECT '{q}' AS x) t").first().y
+    b = duckdb.sql(f"SELECT {names.numbered(Duck(), 'x', '2')} AS y FROM (SELECT '{q}' AS x) t").fetchall()[0][0]
+    assert a == b == want
+    row = changes.free_names(spark.createDataFrame([(1, f"/d/{name}")], "id long, path string"), spark.createDataFrame([], "path string")).first()
+    assert row.free == f"/d/{want}" and row.n == 2
 
 
-@pytest.mark.parametrize(("name", "want"), [("a:b?.txt", "a_b_.txt"), ("con.log", "_con.log"), ("end. . ", "end"), ("fine", "fine")])
+@pytest.mark.parametrize(("name", "want"), [("q:r?.txt", "q_r_.txt"), ("aux.log", "_aux.log"), ("end. . ", "end"), ("fine", "fine"), ("COM0", "_COM0"), ("lpt5.x.y", "_lpt5.x.y"), ("a\\b/c", "a_b/c"), ("", "_"), (" . ", "_"), ("COM10", "COM10")])
 def test_windows_names(spark, name, want):
-    assert _both(spark, names.windows_name, name) == want
+    assert _column(spark, c.windows_name, name) == want
 
 
-@pytest.mark.parametrize(("size", "want"), [(0, "0 B"), (999, "999 B"), (1000, "1.0 kB"), (9949, "9.9 kB"), (12_345, "12 kB"), (1_500_000, "1.5 MB"), (3_000_000_000, "3.0 GB")])
+@pytest.mark.parametrize(
+    ("size", "want"),
+    [(0, "0 B"), (999, "999 B"), (1000, "1.0 KB"), (2250, "2.2 KB"), (2350, "2.4 KB"), (9960, "10.0 KB"), (12_500, "12 KB"), (13_500, "14 KB"), (1_500_000, "1.5 MB"), (3 * 10**9, "3.0 GB"), (7 * 10**12, "7.0 TB"), (2 * 10**15, "2.0 PB"), (4321 * 10**15, "4321 PB")],
+)
 def test_human_bytes(spark, size, want):
-    assert spark.sql(f"SELECT {names.human_bytes(Spark(''), 'x')} AS y FROM (SELECT CAST({size} AS BIGINT) AS x) t").first().y == want
+    assert _column(spark, c.human_bytes, size, "bigint") == want
+
+
+@pytest.mark.parametrize(("seconds", "want"), [(0.2, "1s"), (89.4, "89s"), (89.5, "90s"), (90.0, "2m"), (5399.0, "90m"), (5400.0, "1h 30m"), (7199.0, "1h 60m"), (-1.0, ""), (float("inf"), "")])
+def test_human_duration(spark, seconds, want):
+    assert _column(spark, c.human_duration, seconds, "double") == want
+
+
+def test_typed_paths(spark):
+    cases = {"~": "/h/u", "~/a/../b": "/h/u/b", " /x/./y/ ": "/x/y", "/../../z": "/z", "rel": None}
+    for typed, want in cases.items():
+        got = _column(spark, lambda x: c.typed_path(x, "/h/u"), typed)
+        assert got.path == want and (got.error is None) == (want is not None)
+
+
+def test_search_ranks_names_above_folders(spark):
+    """A small catalog: words in names or folders, accents, pieces, phrases, filters, folders found too, odd input."""
+    files = [("/Work/Silver_Birch/in/run7_Probe.fastq.gz", 3 * 10**9, 1_700_000_000), ("/Work/Silver_Birch/out/peak_calls.csv", 5_000_000, 1_710_000_000), ("/Work/SilverBirch2021/notes.txt", 2_000, 1_600_000_000), ("/Else/Études/leçon.pdf", 90_000, 1_650_000_000)]
+    schema = "id bigint, parent bigint, path string, name string, kind string, project string, sha256 string, size bigint, mtime_ns bigint, created bigint, trashed_at bigint, trash_origin string"
+    root = spark.createDataFrame([(1, None, "/", "", "d", None, None, 0, 0, 0, None, None), (2, None, None, ".trash", "d", None, None, 0, 0, 0, None, None)], schema)
+    n = changes.mkdirs(root, spark.createDataFrame([(p.rsplit("/", 1)[0],) for p, *_ in files], "path string"), 0)
+    n = n.select(root.columns).union(spark.createDataFrame([(10 + i, 3, p, p.rsplit("/", 1)[1], "f", None, None, s, t * 10**9, 0, None, None) for i, (p, s, t) in enumerate(files)], schema))
+    n = changes.set_totals(n).cache()
+    index = search.word_index(n).cache()
+
+    def found(q, limit=100):
+        return [r.path for r in search.search(n, index, q, limit).collect()]
+
+    assert found("birch fastq") == [files[0][0]] and found("peak") == [files[1][0]] and found("2021 notes") == [files[2][0]] and found("etudes lecon") == [files[3][0]]
+    assert found("silver")[0] in ("/Work/Silver_Birch", "/Work/SilverBirch2021") and found("type:csv") == [files[1][0]] and found("type:fastq") == [files[0][0]]
+    assert found("silver >1GB is:file") == [files[0][0]] and found("silver is:file before:2021") == [files[2][0]] and found("is:folder in") == ["/Work/Silver_Birch/in"]
+    assert found('"Silver Birch" out is:folder') == ["/Work/Silver_Birch/out"] and found("no-such") == [] and found("  ") == [] and found('" * AND OR ( ^') == []
+    assert set(found("is:folder >1GB")) == {"/Work", "/Work/Silver_Birch", "/Work/Silver_Birch/in"}
+    assert len(found("silver", 2)) == 2
+
+
+def test_speed_keeps_a_baseline_and_starts_anew(spark):
+    rows = [(1, 0.0, 0), (2, 0.3, 30), (3, 1.0, 100), (4, 6.0, 700), (5, 12.0, 1000), (6, 13.0, 50), (7, 13.2, 60), (8, 14.0, 250)]
+    d = spark.createDataFrame([(1, *r) for r in rows], "job_id long, event_id long, secs double, total long")
+    got = {r.event_id: r.rate for r in transfers.speed(d, 5.0).collect()}
+    assert got == {1: 0, 2: 0, 3: 100, 4: 120, 5: 50, 6: 0, 7: 0, 8: 200}
+
+
+@hypothesis.settings(max_examples=40, deadline=None)
+@hypothesis.given(st.binary(max_size=5000), st.integers(1, 900), st.integers(0, 5200), st.integers(0, 5200))
+def test_seekable_round_trip(data, frame, start, size):
+    stream = seekable.compress(data, frame, 1)
+    assert seekable.read(stream, start, size) == data[start : start + size]
+    assert sum(f[4] for f in seekable.table_of(stream)) == len(data)
+
+
+@pytest.mark.parametrize("spoil", [lambda b: b[:10], lambda b: b[:-1], lambda b: b[:-9] + b"\xff" * 4 + b[-5:], lambda b: b[1:], lambda b: b"x" + b])
+def test_damaged_seek_tables_are_refused(spoil):
+    with pytest.raises(ValueError, match="seek|short"):
+        seekable.table_of(spoil(seekable.compress(b"some bytes" * 100, 300)))
+
+
+def test_tar_round_trip(spark, tmp_path):
+    odd = [("a/" + "long" * 60 + ".txt", b"1" * 5), ("résumé ü/日本.txt", b""), ("plain", b"z" * 20000), ("sp ace/tab\there", b"q")]
+    rows = [(f"pack-{k % 2:08d}.tar", k, p, "f", 1_600_000_000 + k, 0o640, None, bytearray(b)) for k, (p, b) in enumerate(odd)]
+    rows += [("pack-00000000.tar", 90, "dir", "d", 5, 0o755, None, None), ("pack-00000000.tar", 91, "link", "l", 5, 0o777, "plain", None)]
+    d = spark.createDataFrame(rows, "pack string, seq int, path string, kind string, mtime bigint, mode int, target string, content binary")
+    tar.write(d, str(tmp_path))
+    got = {(r.pack, r.path): r for r in tar.read(spark, str(tmp_path), content=True).collect()}
+    assert {(r[0], r[2]) for r in rows} == got.keys()
+    for pack, _, path, kind, mtime, mode, target, content in rows:
+        r = got[pack, path]
+        assert (r.kind, r.mtime, r.mode, r.target) == (kind, mtime, mode, target) and (content is None or bytes(r.content) == bytes(content))
+    assert not [f for f in tmp_path.rglob("*.tmp")]
 
 
 def test_rollup_invariants(spark):
     """A folder's totals are those of all files below it; each content has one carrier."""
     q = registry.queries()
     totals = {r.folder_path: r for r in q["a03_folder_totals"](spark, SF).collect()}
-    info = {r.project: r for r in q["q05_info"](spark, SF).collect()}
-    for project, r in info.items():
-        assert totals[f"Library/{project}"].bytes == r.original
+    measured = {r.project: r for r in q["a10_measure"](spark, SF).collect()}
+    for project, r in measured.items():
+        assert totals[f"Library/{project}"].bytes == r.bytes
         assert totals[f"Library/{project}"].n_files == r.n_files
-    assert totals["Library"].n_files == sum(r.n_files for r in info.values())
+    assert totals["Library"].n_files == sum(r.n_files for r in measured.values())
     assert q["w01_carrier"](spark, SF).where("carries").count() == q["a13_distinct_digests"](spark, SF).count()
