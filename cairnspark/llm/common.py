@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: A word is a run of anything but these six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -70,10 +71,14 @@ def stored(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     fs, at = _hadoop_path(spark, path)
     fs.deleteOnExit(at)
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")  # the shuffle files of this step go once it is written
+    try:
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
-    spark._jvm.java.lang.System.gc()  # lets the driver's cleaner drop the shuffle files of the step that is written now
     return out
 
 
