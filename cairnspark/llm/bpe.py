@@ -23,7 +23,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
-from cairnspark.llm.common import texts
+from cairnspark.llm.common import mapped, texts
 
 START = -1
 MOST_STATES, MOST_PAIRS, MOST_PIECES = 40_000, 1_000_000, 300_000
@@ -301,7 +301,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         for b in batches:
             yield pd.DataFrame({"doc_id": b.doc_id, "ids": [t.encode(x) for x in b.text]})
 
-    return d.mapInPandas(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    return mapped(d, run, "ids array<int>")
 
 
 def decode_ids(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -312,8 +312,7 @@ def decode_ids(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
         for b in batches:
             yield pd.DataFrame({"doc_id": b.doc_id, "text": [t.decode(x) for x in b.ids]})
 
-    kind = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.select("doc_id", "ids").mapInPandas(run, f"doc_id {kind}, text string")
+    return mapped(encoded.select("doc_id", "ids"), run, "text string")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -336,5 +335,4 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             out.insert(0, "doc_id", b.doc_id.values)
             yield out
 
-    kind = d.schema["doc_id"].dataType.simpleString()
-    return d.mapInPandas(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return mapped(d, run, "n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -27,6 +27,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def mapped(d: DataFrame, run, schema: str, key: str = "doc_id") -> DataFrame:
+    """d.mapInPandas with the key as text on the way: pandas would make fractions of whole numbers that have nulls among them."""
+    out = d.withColumn(key, F.col(key).cast("string")).mapInPandas(run, f"{key} string, {schema}")
+    return out.withColumn(key, F.col(key).cast(d.schema[key].dataType))
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

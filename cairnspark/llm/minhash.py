@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairnspark.llm.common import parts_for, stored, texts, words_of
+from cairnspark.llm.common import mapped, parts_for, stored, texts, words_of
 from cairnspark.llm.components import components
 
 PERMUTATIONS, BANDS, SHINGLE = 128, 32, 5
@@ -84,7 +84,7 @@ def signatures(docs: DataFrame) -> DataFrame:
         for b in batches:
             yield pd.DataFrame({"doc_id": b.doc_id, "fingerprint": [signature(shingle(t)).tobytes().hex() for t in b.text]})
 
-    return d.mapInPandas(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, fingerprint string")
+    return mapped(d, run, "fingerprint string")
 
 
 class Classes:
@@ -167,8 +167,7 @@ def _distinct_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 "shingles": [s.astype(np.int64) for s in sets],
             })
 
-    kind = d.schema["doc_id"].dataType.simpleString()
-    s = stored(d.mapInPandas(run, f"doc_id {kind}, fingerprint string, same string, shingles array<long>"), "minhash")
+    s = stored(mapped(d, run, "fingerprint string, same string, shingles array<long>"), "minhash")
     sets = s.groupBy("same").agg(F.min("doc_id").alias("rep"), F.any_value("fingerprint").alias("fingerprint"), F.any_value("shingles").alias("shingles"))
     sets = sets.withColumn("n", F.size("shingles"))
     return s.select("doc_id", "same"), stored(sets, "minhash-sets")
@@ -276,5 +275,4 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
             out.insert(0, "doc_id", b.doc_id.values)
             yield out
 
-    kind = d.schema["doc_id"].dataType.simpleString()
-    return d.mapInPandas(run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return mapped(d, run, "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

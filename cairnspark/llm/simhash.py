@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairnspark.llm.common import parts_for, stored, texts, words_of
+from cairnspark.llm.common import mapped, parts_for, stored, texts, words_of
 from cairnspark.llm.components import components
 
 RADIUS, BLOCKS, SHINGLE, SEED = 3, 4, 3, 42
@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fp = np.array([fingerprint(t) for t in b.text], np.uint64).astype(np.int64)
             yield pd.DataFrame({"doc_id": b.doc_id, "fp": fp})
 
-    return d.mapInPandas(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, fp long")
+    return mapped(d, run, "fp long")
 
 
 class Forest:

@@ -307,7 +307,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     d = texts(docs)
     size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks, parts = max(1, -(-size // BLOCK_BYTES)), max(parts_for(docs.sparkSession), -(-size // PART_BYTES))
-    x = d.withColumn("k", F.xxhash64("doc_id", "text")).withColumn("block", F.pmod("k", F.lit(blocks)).cast("int"))
+    x = d.withColumn("k", F.xxhash64("doc_id", "text")).withColumn("doc_id", F.col("doc_id").cast("string")).withColumn("block", F.pmod("k", F.lit(blocks)).cast("int"))
     asks = x.groupBy("block").applyInPandas(_asks(length), "anchor long, block int, n long")
     # an anchor has at most one row for each block
     again = asks.withColumn("all", F.sum("n").over(Window.partitionBy("anchor"))).where("all > 1").select("block", "anchor")
@@ -325,5 +325,5 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     dealt = rows.mapInPandas(_halved(length), "anchor long, piece binary, n long, block int, k long, start long")
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("anchor"), F.lit(parts)))
     spans = stored(whole.union(dealt.groupBy("part").applyInPandas(_judge(length), "block int, k long, s long, e long")), "spans")
-    kind = d.schema["doc_id"].dataType.simpleString()
-    return x.groupBy("block").cogroup(spans.groupBy("block")).applyInPandas(_cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    out = x.groupBy("block").cogroup(spans.groupBy("block")).applyInPandas(_cut, "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return out.withColumn("doc_id", F.col("doc_id").cast(d.schema["doc_id"].dataType))

@@ -118,7 +118,7 @@ def _encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             cuts.append(i + 1)
         for low, high in zip(cuts, [*cuts[1:], len(b)]):
             if high > low:
-                held.append(b.iloc[low:high].astype({"doc_id": object}))
+                held.append(b.iloc[low:high])
                 weight += int(size[low:high].sum())
             if held and weight >= BLOCK_BYTES:
                 yield flush()
@@ -525,8 +525,9 @@ def score_documents(docs: DataFrame, modulus: int = 7) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_contexts for each document."""
     spark = docs.sparkSession
     d = texts(docs).withColumn("train", ~F.coalesce(held_out("doc_id", modulus), F.lit(False)))
-    kind = d.schema["doc_id"].dataType.simpleString()
-    coded = d.mapInPandas(_encoded, f"block long, doc_ids array<{kind}>, train binary, sizes binary, ids binary, hashes binary, n_bytes long")
+    kind = d.schema["doc_id"].dataType
+    # ids go as text: pandas would make fractions of whole numbers that have nulls among them
+    coded = d.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(_encoded, "block long, doc_ids array<string>, train binary, sizes binary, ids binary, hashes binary, n_bytes long")
     coded = stored(coded, "coded-texts")  # blocks have the names of this one run's partitions
     parts = parts_for(spark, coded.agg(F.sum("n_bytes")).first()[0] or 0, PART_BYTES)
     x = coded.select("block", "train", "sizes", "ids", "hashes")
@@ -589,5 +590,6 @@ def score_documents(docs: DataFrame, modulus: int = 7) -> DataFrame:
             }))
         return pd.concat(out, ignore_index=True) if out else pd.DataFrame([], columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_contexts"])
 
-    schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_contexts long"
-    return coded.drop("n_bytes").groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(score, schema)
+    schema = "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_contexts long"
+    out = coded.drop("n_bytes").groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(score, schema)
+    return out.withColumn("doc_id", F.col("doc_id").cast(kind))

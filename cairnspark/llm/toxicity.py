@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnspark.llm.common import held_out, texts
+from cairnspark.llm.common import held_out, mapped, texts
 
 MOST_LABELLED, MOST_WORDS, LEAST_TEXTS = 6_000, 10_000, 5
 PENALTY, RIDGE, STEPS, THRESHOLD, LEAST_Z = 4.0, 3e-5, 150, 0.3, 4.0
@@ -133,8 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
         for b in batches:
             yield pd.DataFrame({"doc_id": b.doc_id, "toxic": b.toxic, "words": [" ".join(sorted(words_in(t))) for t in b.text]})
 
-    kind = d.schema["doc_id"].dataType.simpleString()
-    got = d.select("doc_id", "toxic", "text").mapInPandas(words, f"doc_id {kind}, toxic int, words string")
+    got = mapped(d.select("doc_id", "toxic", "text"), words, "toxic int, words string")
     got = got.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("words").alias("words"))
     rows = sorted((r.doc_id, r.words, r.toxic) for r in got.collect())
     return train([(w.split(), y) for _, w, y in rows])
@@ -148,7 +147,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             yield pd.DataFrame({"doc_id": b.doc_id, "score": np.array([model.score(t) for t in b.text], float)})
 
-    return d.mapInPandas(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, score double")
+    return mapped(d, run, "score double")
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:

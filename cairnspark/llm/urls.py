@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnspark.llm.common import ascii_lower
+from cairnspark.llm.common import ascii_lower, mapped
 
 SEP = "\x01"
 #: Fixed values: (verdict, host, path) of the base list.
@@ -155,5 +155,4 @@ def judge_urls(urls: DataFrame, rules=BASE_RULES, globs=BLOCK_GLOBS, id_col: str
             yield b
 
     c = canonical(urls, id_col, url_col)
-    kind = c.schema["page_id"].dataType.simpleString()
-    return c.mapInPandas(judge, f"page_id {kind}, host string, path string, rule string, verdict string")
+    return mapped(c, judge, "host string, path string, rule string, verdict string", "page_id")

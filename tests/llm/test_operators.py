@@ -260,20 +260,23 @@ def test_suffix_states_are_distributions():
         assert math.isclose(sum(p) + unknown, 1.0, rel_tol=0.02)
 
 
+def _repeats(rows, length=400):
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) by looking at every window."""
+    texts = [(i, (t or "").encode("utf-8", "surrogatepass")) for i, t in rows]
+    seen = collections.Counter(b[k : k + length] for _, b in texts for k in range(len(b) - length + 1))
+    out = []
+    for i, b in texts:
+        gone = np.zeros(len(b) + 1, bool)
+        for k in range(len(b) - length + 1):
+            if seen[b[k : k + length]] > 1:
+                gone[k : k + length] = True
+        kept = bytes(x for x, g in zip(b, gone) if not g)
+        out.append((i, len(b), int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
 def test_suffix_dedup(docs, rows):
-    length, texts = 400, [t.encode() for _, t in rows]
-    seen = collections.Counter(t[k : k + length] for t in texts for k in range(len(t) - length + 1))
-    want = []
-    for (i, _), t in zip(rows, texts):
-        gone = np.zeros(len(t) + 2, bool)
-        for k in range(len(t) - length + 1):
-            if seen[t[k : k + length]] > 1:
-                gone[k + 1 : k + length + 1] = True
-        edges = np.flatnonzero(np.diff(gone.astype(int)))
-        kept = bytes(np.frombuffer(t, np.uint8)[~gone[1 : len(t) + 1]])
-        want.append((i, len(t), int(gone.sum()), len(edges) // 2, hashlib.sha256(kept).hexdigest()))
-    got = suffix_dedup.remove_repeats(docs).collect()
-    _same([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got], want)
+    _same([tuple(r) for r in suffix_dedup.remove_repeats(docs).collect()], _repeats(rows))
 
 
 def test_anchor_runs_do_not_depend_on_stretches():
@@ -573,3 +576,22 @@ def test_every_signature_passes_its_gate_and_is_found(spark):
     # a detection inside a longer one is suppressed, so a case gives one of its own labels at least
     assert [c for i, c in enumerate(cases) if want[c] and not got[i] & want[c]] == []
     assert all(want[c] for c in cases if "\n" not in c)
+
+
+@pytest.mark.parametrize("most", [1000, 1])
+def test_hot_anchors_are_split_exactly(spark, monkeypatch, most):
+    """One passage among many surroundings, whole, cut and shifted, so that an anchor has many different pieces."""
+    monkeypatch.setattr(suffix_dedup, "MOST_PIECES", most)
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 30_000)
+    rnd = random.Random(most)
+    word = lambda: "".join(rnd.choices("abcde", k=rnd.randrange(2, 9)))
+    passage = " ".join(word() for _ in range(200))
+    made = []
+    for i in range(120):
+        low = rnd.randrange(0, 500)
+        cut = passage[low : low + rnd.choice([150, 300, 399, 400, 420, 700])]
+        made.append((i, " ".join(word() for _ in range(rnd.randrange(0, 150))) + cut + " ".join(word() for _ in range(rnd.randrange(0, 150)))))
+    made += [(200 + i, passage) for i in range(5)]
+    want = _repeats(made)
+    d = spark.createDataFrame(made, "doc_id long, text string")
+    _same([tuple(r) for r in suffix_dedup.remove_repeats(d).collect()], want)
