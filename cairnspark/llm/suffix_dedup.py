@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairnspark.llm.common import give_back, parts_for, stored, texts
+from cairnspark.llm.common import forget, give_back, parts_for, stored, texts
 
 LENGTH, GRAM = 400, 16
 BLOCK_BYTES = 6_000_000
@@ -326,4 +326,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("anchor"), F.lit(parts)))
     spans = stored(whole.union(dealt.groupBy("part").applyInPandas(_judge(length), "block int, k long, s long, e long")), "spans")
     out = x.groupBy("block").cogroup(spans.groupBy("block")).applyInPandas(_cut, "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    return out.withColumn("doc_id", F.col("doc_id").cast(d.schema["doc_id"].dataType))
+    out = stored(out.withColumn("doc_id", F.col("doc_id").cast(d.schema["doc_id"].dataType)), "kept")
+    forget(pieces)
+    forget(spans)
+    return out

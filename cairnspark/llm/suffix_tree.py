@@ -366,8 +366,10 @@ def _longer_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"level": r.kind, "a": columns[0], "b": columns[1], "c": columns[2] if r.kind > 2 else np.zeros(len(n), np.int64), "n": n})
 
 
-def _states(pairs: DataFrame, longer: DataFrame) -> DataFrame:
-    """(level, a, b, size, back) of the retained contexts: divergence tests, level by level. a: a word's hash or a pair's number; a, b: those of a context of three words.
+def _states(pairs: DataFrame, longer: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(level, a, b, size, back) of the retained contexts: divergence tests, level by level; and the tables stored for that.
+
+    a is a word's hash or a pair's number; a, b are the pairs of a context of three words.
 
     `below` is a gram's probability in the state of its context's suffix; whole is its context's count.
     """
@@ -379,7 +381,9 @@ def _states(pairs: DataFrame, longer: DataFrame) -> DataFrame:
         return stored(s.select(F.lit(level).alias("level"), F.col("ca").alias("a"), F.col("cb").alias("b"), F.col("size").cast("double").alias("size"), ((F.col("size") - F.col("told")) / F.col("size")).alias("back")), "states")
 
     none = F.lit(0).cast("long")
+    made = []
     states = every = retained(pairs.select(F.col("context").alias("ca"), none.alias("cb"), "n", "whole", F.col("root").alias("below")), 1)
+    made.append(states)
     # of each gram: its own columns ka, kb, its count, its context as the shorter state of the next level, and `below`
     grams = pairs.select(F.col("a").alias("ka"), none.alias("kb"), "n", F.col("context").alias("sa"), none.alias("sb"), F.col("root").alias("lower"))
     counts = grams.select("ka", "kb", "n")
@@ -398,7 +402,8 @@ def _states(pairs: DataFrame, longer: DataFrame) -> DataFrame:
         every = every.union(states)
         grams = told.select("ka", "kb", "n", F.col("ca").alias("sa"), F.col("cb").alias("sb"), F.col("below").alias("lower"))
         counts = longer.where(F.col("level") == k).select(F.col("a").alias("ka"), F.col("b").alias("kb"), "n")
-    return every
+        made += [told, states]
+    return every, made
 
 
 def _state_answers(asked: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
@@ -532,15 +537,15 @@ def score_documents(docs: DataFrame, modulus: int = 7) -> DataFrame:
     parts = parts_for(spark, coded.agg(F.sum("n_bytes")).first()[0] or 0, PART_BYTES)
     x = coded.select("block", "train", "sizes", "ids", "hashes")
     asked = x.mapInPandas(_requests(parts), "part int, block long, words int, keys binary, counts binary")
-    answers = stored(asked.groupBy("part").applyInPandas(_answers(parts), f"{ANSWER}, n long, v long"), "gram-counts")
-    total = answers.where("block = -1").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
+    counted = stored(asked.groupBy("part").applyInPandas(_answers(parts), f"{ANSWER}, n long, v long"), "gram-counts")
+    total = counted.where("block = -1").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     n, v = int(total.n or 0), int(total.v or 0)
-    answers = answers.where("block >= 0").drop("n", "v")
+    answers = counted.where("block >= 0").drop("n", "v")
     second = stored(x.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_second_round(parts, n, v), _ROUND), "second-round", by="what")
     longer = stored(second.where("what = 2").groupBy("part").applyInPandas(_longer_answers, f"{ANSWER}, n binary"), "longer-grams")
     forget(second, "what=2")
     grams = longer.where("block = -1").mapInPandas(_longer_grams, "level int, a long, b long, c long, n long")
-    states = _states(second.where("what = 1").mapInPandas(_pairs, "a long, context long, n long, whole long, root double"), grams)
+    states, made = _states(second.where("what = 1").mapInPandas(_pairs, "a long, context long, n long, whole long, root double"), grams)
     contexts = states.count()
     dealt = states.withColumn("part", F.expr(_state_part(parts)))
     replies = answers.union(longer.where("block >= 0").drop("n"))
@@ -592,4 +597,7 @@ def score_documents(docs: DataFrame, modulus: int = 7) -> DataFrame:
 
     schema = "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_contexts long"
     out = coded.drop("n_bytes").groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(score, schema)
-    return out.withColumn("doc_id", F.col("doc_id").cast(kind))
+    out = stored(out.withColumn("doc_id", F.col("doc_id").cast(kind)), "scores")
+    for done in (coded, counted, second, longer, *made):
+        forget(done)
+    return out
