@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
+ROW_GROUP = 16 << 20
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: A word is a run of anything but these six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -80,7 +81,8 @@ def stored(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     before = spark.conf.get(_CLEAN, "false")
     spark.conf.set(_CLEAN, "true")  # the shuffle files of this step go once it is written
     try:
-        (df.write.partitionBy(by) if by else df.write).parquet(path)
+        out = df.write.option("parquet.block.size", ROW_GROUP)  # a writer holds a row group
+        (out.partitionBy(by) if by else out).parquet(path)
     finally:
         spark.conf.set(_CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)
