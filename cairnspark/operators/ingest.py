@@ -1,43 +1,8 @@
 """Dedup, resume, conflict and packing plans."""
 
-from cairnspark.functions import names as n
-
 _SRC = "(SELECT f.*, x.size AS d_size, x.sha256 AS d_sha, x.mtime_ns AS d_mtime FROM files f LEFT JOIN dest x ON f.path = x.path) s"
 
 
-def _rotation_spark(d) -> str:
-    """W8: a new pack starts once the position has reached the target; a fold over each project's contents in order."""
-    return """SELECT project, x.carrier_id, x.pack_no FROM (SELECT project, explode(aggregate(items, named_struct('pos', 0L, 'no', 0L, 'out', cast(array() AS array<struct<carrier_id:bigint,pack_no:bigint>>)),
-        (s, i) -> named_struct('pos', IF(s.pos >= 50000, i.size, s.pos + i.size), 'no', IF(s.pos >= 50000, s.no + 1, s.no),
-            'out', concat(s.out, array(named_struct('carrier_id', i.carrier_id, 'pack_no', IF(s.pos >= 50000, s.no + 1, s.no))))), s -> s.out)) AS x
-        FROM (SELECT project, sort_array(collect_list(struct(carrier_id, size))) AS items FROM contents GROUP BY project)) t"""
-
-
-def _rotation_duck(d) -> str:
-    return """SELECT project, items[i].carrier_id AS carrier_id, nos[i] AS pack_no FROM (SELECT project, items, unnest(range(1, len(items) + 1)) AS i, list_transform(list_reduce(list_transform(items,
-        lambda x: [{'pos': CAST(x.size AS BIGINT), 'no': CAST(0 AS BIGINT)}]), lambda a, b: a || [{'pos': CASE WHEN a[-1].pos >= 50000 THEN b[1].pos ELSE a[-1].pos + b[1].pos END, 'no': CASE WHEN a[-1].pos >= 50000 THEN a[-1].no + 1 ELSE a[-1].no END}]), lambda r: r.no) AS nos
-        FROM (SELECT project, list({'carrier_id': carrier_id, 'size': size} ORDER BY carrier_id) AS items FROM contents GROUP BY project) t) u"""
-
-
-def _batches(d, relation: str, scope: str, full: str) -> str:
-    """Greedy batches of a scope's items in order of id. `full` decides on (pos, n) before adding the next item's size;
-    a scope is folded in one row, so it must fit a task."""
-    if d.name == "spark":
-        new = full.format(pos="s.pos", n="s.n", size="i.size")
-        return f"""SELECT {scope}, x.item_id, x.batch_no FROM (SELECT {scope}, explode(aggregate(items,
-            named_struct('pos', 0L, 'n', 0L, 'no', 0L, 'out', cast(array() AS array<struct<item_id:bigint,batch_no:bigint>>)),
-            (s, i) -> IF(s.n > 0 AND ({new}),
-                named_struct('pos', i.size, 'n', 1L, 'no', s.no + 1, 'out', concat(s.out, array(named_struct('item_id', i.item_id, 'batch_no', s.no + 1)))),
-                named_struct('pos', s.pos + i.size, 'n', s.n + 1, 'no', s.no, 'out', concat(s.out, array(named_struct('item_id', i.item_id, 'batch_no', s.no))))), s -> s.out)) AS x
-            FROM (SELECT {scope}, sort_array(collect_list(struct(item_id, size))) AS items FROM ({relation}) r GROUP BY {scope})) t"""
-    new = full.format(pos="a[-1].pos", n="a[-1].n", size="b[1].pos")
-    return f"""SELECT {scope}, items[i].item_id AS item_id, nos[i] AS batch_no FROM (SELECT {scope}, items, unnest(range(1, len(items) + 1)) AS i,
-        list_transform(list_reduce(list_transform(items, lambda x: [{{'pos': CAST(x.size AS BIGINT), 'n': CAST(1 AS BIGINT), 'no': CAST(0 AS BIGINT)}}]),
-        lambda a, b: a || [CASE WHEN {new} THEN {{'pos': b[1].pos, 'n': CAST(1 AS BIGINT), 'no': a[-1].no + 1}}
-            ELSE {{'pos': a[-1].pos + b[1].pos, 'n': a[-1].n + 1, 'no': a[-1].no}} END]), lambda r: r.no) AS nos
-        FROM (SELECT {scope}, list({{'item_id': item_id, 'size': size}} ORDER BY item_id) AS items FROM ({relation}) r GROUP BY {scope}) t) u"""
-
-
 OPERATORS = {
     "f11_size_present": lambda d: "SELECT f.id FROM files f WHERE EXISTS (SELECT 1 FROM dest x WHERE x.size = f.size)",
     "f12_have": lambda d: "SELECT f.id FROM files f WHERE EXISTS (SELECT 1 FROM dest x WHERE x.sha256 = f.sha256)",
@@ -54,17 +19,12 @@ OPERATORS = {
     "w01_carrier": lambda d: "SELECT id, row_number() OVER (PARTITION BY project, sha256 ORDER BY id) = 1 AS carries FROM files",
     "w02_heir": lambda d: "SELECT id, coalesce(lead(id) OVER (PARTITION BY project, sha256 ORDER BY id), -1) AS heir FROM files",
     "w03_first_path": lambda d: "SELECT id, first_value(path) OVER (PARTITION BY project, sha256 ORDER BY id) AS first_path FROM files",
-    "w14_progress": lambda d: "SELECT id, CAST(sum(size) OVER (PARTITION BY project ORDER BY id) AS BIGINT) AS done FROM files",
-    "w15_chunks": lambda d: f"SELECT id, {d.div('CAST(row_number() OVER (PARTITION BY project ORDER BY id) AS BIGINT) - 1', '100')} AS chunk FROM files",
     "j15_existing": lambda d: f"SELECT id, CASE WHEN d_size IS NULL THEN 'pending' WHEN d_size = size THEN 'to_check' ELSE 'pending' END AS route FROM {_SRC}",
     "q08_dedup_plan": lambda d: """SELECT id, CASE WHEN have THEN 'link' WHEN repeats = 1 AND NOT size_there THEN 'send' WHEN rn = 1 THEN 'first_copy' ELSE 'deferred_link' END AS plan FROM (
         SELECT f.id, h.sha256 IS NOT NULL AS have, z.size IS NOT NULL AS size_there, count(*) OVER (PARTITION BY f.project, f.size) AS repeats,
             row_number() OVER (PARTITION BY f.project, f.sha256 ORDER BY f.id) AS rn FROM files f
         LEFT JOIN (SELECT DISTINCT sha256 FROM dest) h ON f.sha256 = h.sha256 LEFT JOIN (SELECT DISTINCT size FROM dest) z ON f.size = z.size) t""",
     "q09_resume": lambda d: f"SELECT id, CASE WHEN d_size IS NULL OR d_size <> size THEN 'pending' WHEN d_sha = sha256 THEN 'identical' ELSE 'resend' END AS class FROM {_SRC}",
-    "w09_solid_blocks": lambda d: _batches(d, "SELECT folder, id AS item_id, size FROM files WHERE size <= 2000", "folder", "{pos} >= 6400"),
-    "w10_retrieval_batches": lambda d: _batches(d, "SELECT folder, id AS item_id, size FROM files", "folder", "{n} >= 20 OR {pos} + {size} > 51200"),
-    "w08_rotation": lambda d: _rotation_spark(d) if d.name == "spark" else _rotation_duck(d),
     "w11_cascade": lambda d: """SELECT id, CASE WHEN bad_before > 0 THEN 'discarded' WHEN bad = 1 THEN 'failed' ELSE 'committed' END AS outcome FROM (
         SELECT e.id, CASE WHEN k.passed THEN 0 ELSE 1 END AS bad, coalesce(sum(CASE WHEN k.passed THEN 0 ELSE 1 END) OVER (PARTITION BY e.pack_id, e.project ORDER BY e.id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bad_before
         FROM pack_entries e JOIN checks k ON e.id = k.id) t""",

@@ -15,5 +15,4 @@ OPERATORS = {
     "x01_folder_first": lambda d: """SELECT kind, name, CAST(row_number() OVER (ORDER BY CASE WHEN kind = 'd' THEN 0 ELSE 1 END, lower(name), name) AS BIGINT) AS place FROM (
         SELECT DISTINCT 'd' AS kind, source AS name FROM files WHERE project = 'en' UNION ALL SELECT 'f' AS kind, name FROM files WHERE folder = '/Library/en/src1') t""",
     "x12_ui_sort": lambda d: "SELECT id, CAST(row_number() OVER (ORDER BY coalesce(size, -1) DESC, lower(name), id) AS BIGINT) AS place FROM files WHERE folder = '/Library/en/src1'",
-    "x15_walk_order": lambda d: f"SELECT path, CAST(row_number() OVER (ORDER BY {d.size('parts')}, path) AS BIGINT) AS place FROM files WHERE project = 'es'",
 }

@@ -19,14 +19,13 @@ def relations(d) -> dict[str, str]:
         "files": f"""SELECT doc_id, id, project, source, folder, name, folder || '/' || name AS path, {d.split("substring(folder || '/' || name, 2)")} AS parts,
             size, sha256, mtime_ns, CAST(CASE WHEN doc_id % 3 = 0 THEN 420 ELSE 493 END AS INT) AS mode, created FROM raw""",
         "contents": "SELECT project, sha256, min(id) AS carrier_id, max(size) AS size, count(*) AS refs FROM files GROUP BY project, sha256",
-        "small": f"""SELECT c.*, {d.div('CAST(row_number() OVER (PARTITION BY project ORDER BY carrier_id) AS BIGINT) - 1', '20')} AS batch FROM contents c WHERE size <= 2000""",
+        "small": f"""SELECT c.*, {d.div('carrier_id', '64')} AS batch FROM contents c WHERE size <= 2000""",
         "content_blobs": """SELECT project, sha256, carrier_id, size, carrier_id AS blob_id, 'f' AS kind, CAST(0 AS BIGINT) AS blob_off FROM contents WHERE size > 2000
             UNION ALL SELECT project, sha256, carrier_id, size, min(carrier_id) OVER (PARTITION BY project, batch) AS blob_id, 's' AS kind,
             CAST(coalesce(sum(size) OVER (PARTITION BY project, batch ORDER BY carrier_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS blob_off FROM small""",
         "sized_blobs": f"SELECT blob_id, project, kind, CAST(sum(size) AS BIGINT) AS raw_len, {d.div('CAST(sum(size) AS BIGINT)', '3')} + 40 AS data_len FROM content_blobs GROUP BY blob_id, project, kind",
-        "placed_blobs": """SELECT b.*, CAST(coalesce(sum(data_len) OVER (PARTITION BY project ORDER BY blob_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS secs FROM sized_blobs b""",
-        "blobs": f"""SELECT blob_id, project, kind, raw_len, data_len, {d.div('secs', '50000')} AS pack_ord, secs % 50000 AS data_off,
-            min(blob_id) OVER (PARTITION BY project, {d.div('secs', '50000')}) AS pack_id FROM placed_blobs""",
+        "placed_blobs": f"""SELECT b.*, CAST(coalesce(sum(data_len) OVER (PARTITION BY project, {d.div('blob_id', '256')} ORDER BY blob_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS secs, {d.div('blob_id', '256')} AS pack_ord FROM sized_blobs b""",
+        "blobs": f"""SELECT blob_id, project, kind, raw_len, data_len, pack_ord, secs AS data_off, min(blob_id) OVER (PARTITION BY project, pack_ord) AS pack_id FROM placed_blobs""",
         "packs": f"""SELECT pack_id, project, pack_ord, CAST(sum(data_len) AS BIGINT) AS bytes,
             CASE pack_ord % 4 WHEN 0 THEN 'sealed' WHEN 1 THEN 'protected' WHEN 2 THEN 'open' ELSE 'damaged' END AS state,
             CASE WHEN pack_id % 3 = 0 THEN NULL ELSE {T0} + pack_id * 7200 END AS checked_at FROM blobs GROUP BY pack_id, project, pack_ord""",
@@ -48,6 +47,8 @@ def relations(d) -> dict[str, str]:
                 FROM files f JOIN folder_rows p ON p.path = f.folder""",
         "dest": """SELECT path, size, CASE WHEN doc_id % 7 = 0 THEN 'changed' ELSE sha256 END AS sha256, CASE WHEN doc_id % 11 = 0 THEN mtime_ns + 1000 ELSE mtime_ns END AS mtime_ns
             FROM files WHERE doc_id % 5 <> 0""",
+        "expected": "SELECT path FROM files WHERE doc_id % 3 <> 0",
+        "dest_folders": "SELECT DISTINCT folder FROM files WHERE doc_id % 2 = 0",
         "trashed": f"SELECT id, path, project, size, sha256, {T0} + doc_id * 3600 AS trashed_at FROM files WHERE doc_id % 17 = 0",
         "checks": f"SELECT l.doc_id + 1000 AS id, l.toxic = 0 AS passed, l.quality = 1 AS repairable FROM {d.table('labels')} l",
         "job_events": f"""SELECT user_id AS job_id, event_id, {d.epoch('ts')} AS secs, value AS bytes,
