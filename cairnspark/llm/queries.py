@@ -17,6 +17,7 @@ def queries() -> dict:
         "op1_suffix_tree": lambda s, d: suffix_tree.score_documents(read(s, d, "documents")),
         "op2_pii": lambda s, d: pii.find_pii(read(s, d, "documents")),
         "op3_minhash": lambda s, d: minhash.fingerprint_edits(read(s, d, "documents")),
+        "minhash_near_classes": lambda s, d: minhash.near_classes(read(s, d, "documents")),
         "op4_decontamination": lambda s, d: decontaminate.retrieve(read(s, d, "documents"), read(s, d, "benchmark")),
         "op5_simhash": lambda s, d: simhash.near_classes(read(s, d, "documents")),
         "op6_toxicity": lambda s, d: toxicity.judge(read(s, d, "documents"), read(s, d, "labels")),
