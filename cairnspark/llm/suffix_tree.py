@@ -549,7 +549,10 @@ def score_documents(docs: DataFrame, modulus: int = 7) -> DataFrame:
     contexts = states.count()
     dealt = states.withColumn("part", F.expr(_state_part(parts)))
     replies = answers.union(longer.where("block >= 0").drop("n"))
-    replies = replies.union(second.where("what = 3").groupBy("part").cogroup(dealt.groupBy("part")).applyInPandas(_state_answers, ANSWER))
+    told = stored(second.where("what = 3").groupBy("part").cogroup(dealt.groupBy("part")).applyInPandas(_state_answers, ANSWER), "state-answers")
+    for done in (second, *made):
+        forget(done)
+    replies = replies.union(told)
 
     def score(pdf: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         give_back()
@@ -598,6 +601,6 @@ def score_documents(docs: DataFrame, modulus: int = 7) -> DataFrame:
     schema = "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_contexts long"
     out = coded.drop("n_bytes").groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(score, schema)
     out = stored(out.withColumn("doc_id", F.col("doc_id").cast(kind)), "scores")
-    for done in (coded, counted, second, longer, *made):
+    for done in (coded, counted, longer, told):
         forget(done)
     return out
