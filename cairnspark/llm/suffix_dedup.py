@@ -2,9 +2,9 @@
 
 Every 400-byte window has one anchor: its 16-byte gram of least hash (of equal ones the last). Equal windows have equal
 anchors, so windows are dealt out by anchor: a run of consecutive windows with one anchor travels as one piece of text,
-and only if the anchor's hash occurs again somewhere. Equal pieces collapse before and after the shuffle and are settled by
-their count; one of each goes on. An anchor with more than `MOST_PIECES` different pieces is dealt out further, by the 192
-bytes before or after it that its windows share. What is left of anchors with different pieces is merged by interleave refinement. `merge_transforms` is the method as such: the order of all suffixes by
+and only if the anchor's hash occurs again somewhere. The pieces of an anchor that occurs more than `MOST_PLACES` times are cut
+in two and dealt out further, by the 192 bytes before or after the anchor that their windows share. Equal pieces collapse in
+a block, and again within a partition; what is left of anchors with different pieces is merged by interleave refinement. `merge_transforms` is the method as such: the order of all suffixes by
 their first h bytes gives, by a stable pass over the merged Burrows-Wheeler transforms of the shards, the order by h + 1; the
 step at which two neighbours part is their common prefix. 400 such steps cost about 12 microseconds a byte, so
 the query refines with a doubling stride (`repeated_windows`), which the tests hold against the single steps.
@@ -25,13 +25,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairnspark.llm.common import forget, give_back, parts_for, stored, texts
+from cairnspark.llm.common import give_back, parts_for, texts
 
 LENGTH, GRAM = 400, 16
-BLOCK_BYTES = 6_000_000
-PART_BYTES = 6_000_000
+BLOCK_BYTES = 4_000_000
+PART_BYTES = 4_000_000
 MERGE_BYTES = 1_000_000
-MOST_PIECES, BESIDE = 1_000, 192
+MOST_PLACES, BESIDE = 2_000, 192
 _STRETCH = 1 << 20  # windows looked at together; bounds the arrays of a very long text
 _PLACE = np.uint64((1 << 28) - 1)
 _OUT = 0xFF  # no byte of UTF-8: stands between pieces
@@ -48,6 +48,15 @@ def anchor_runs(b: np.ndarray, length: int = LENGTH, stretch: int = _STRETCH) ->
     return tuple(map(np.concatenate, zip(*found)))
 
 
+def gram_hashes(b: np.ndarray) -> np.ndarray:
+    """Hash of the GRAM bytes at each place."""
+    eight = np.lib.stride_tricks.sliding_window_view(b, 8).copy().view("<u8").ravel()
+    h = eight[: len(b) - GRAM + 1] * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(32)
+    h = (h + eight[8:]) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return h ^ (h >> np.uint64(29))
+
+
 def _runs_of_stretch(b: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(b)
     h = gram_hashes(b)
@@ -166,42 +175,6 @@ def _name(raw: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
 
 
-def _pieces(length: int):
-    def run(pdf: pd.DataFrame, again: pd.DataFrame) -> pd.DataFrame:
-        give_back()
-        wanted = np.sort(again.anchor.to_numpy(np.int64).astype(np.uint64))
-        held: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
-        if len(wanted) and len(pdf):
-            for k, raw, h, first, last in _runs_of(pdf, length):
-                at = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
-                for i in np.flatnonzero(wanted[at] == h).tolist():
-                    held.setdefault((int(h[i]), raw[first[i] : last[i] + length]), []).append((k, int(first[i])))
-        rows = [(np.uint64(h).astype(np.int64), _name(p), len(p), len(o), np.array(o, np.int64).tobytes(), p) for (h, p), o in held.items()]
-        out = pd.DataFrame(rows, columns=["anchor", "name", "size", "n", "places", "piece"])
-        out["block"] = pdf.block.iloc[0] if len(pdf) else 0
-        return out
-
-    return run
-
-
-def _all_places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Every place of a piece that occurs more than once, whole."""
-    for b in batches:
-        places = [np.frombuffer(o, np.int64).reshape(-1, 2) for o in b.places]
-        of = np.repeat(np.arange(len(b)), [len(p) for p in places])
-        k, start = np.concatenate(places).T if places else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        yield pd.DataFrame({"block": b.block.to_numpy()[of], "k": k, "s": start, "e": start + b["size"].to_numpy(np.int64)[of]})
-
-
-def gram_hashes(b: np.ndarray) -> np.ndarray:
-    """Hash of the GRAM bytes at each place."""
-    eight = np.lib.stride_tricks.sliding_window_view(b, 8).copy().view("<u8").ravel()
-    h = eight[: len(b) - GRAM + 1] * np.uint64(0x9E3779B97F4A7C15)
-    h ^= h >> np.uint64(32)
-    h = (h + eight[8:]) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return h ^ (h >> np.uint64(29))
-
-
 def halves(anchor: int, piece: bytes, length: int = LENGTH, beside: int = BESIDE) -> list[tuple[int, int, bytes]]:
     """(new anchor, where it begins, bytes) of the parts of a piece: windows that begin `beside` or more before the anchor, and the others.
 
@@ -219,35 +192,41 @@ def halves(anchor: int, piece: bytes, length: int = LENGTH, beside: int = BESIDE
     return out
 
 
-def _halved(length: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for hot, anchor, piece, n, block, places in zip(b.hot, b.anchor, b.piece, b.n, b.block, b.places):
-                k, start = np.frombuffer(places, np.int64, 2).tolist()  # of a piece that occurs once, its only place
-                parts = halves(anchor, piece, length) if hot and length > 2 * BESIDE + GRAM - 1 else [(anchor, 0, piece)]
-                rows += [(a, p, n, block, k, start + low) for a, low, p in parts]
-            yield pd.DataFrame(rows, columns=["anchor", "piece", "n", "block", "k", "start"])
+def _pieces(length: int):
+    def run(pdf: pd.DataFrame, again: pd.DataFrame) -> pd.DataFrame:
+        give_back()
+        order = np.argsort(again.anchor.to_numpy(np.int64).astype(np.uint64))
+        wanted, hot = again.anchor.to_numpy(np.int64).astype(np.uint64)[order], again.hot.to_numpy(bool)[order]
+        held: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
+        if len(wanted) and len(pdf):
+            for k, raw, h, first, last in _runs_of(pdf, length):
+                at = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
+                for i in np.flatnonzero(wanted[at] == h).tolist():
+                    anchor, piece, start = int(np.int64(h[i].astype(np.int64))), raw[first[i] : last[i] + length], int(first[i])
+                    parts = halves(anchor, piece, length) if hot[at[i]] and length > 2 * BESIDE + GRAM else [(anchor, 0, piece)]
+                    for new, low, part in parts:
+                        held.setdefault((new, part), []).append((k, start + low))
+        rows = [(a, p, np.array(o, np.int64).tobytes()) for (a, p), o in held.items()]
+        out = pd.DataFrame(rows, columns=["anchor", "piece", "places"])
+        out["block"] = pdf.block.iloc[0] if len(pdf) else 0
+        return out
 
     return run
 
 
 def _judge(length: int):
-    """Repeated windows of the pieces that occur once, among the different pieces of each anchor."""
-
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         give_back()
-        count: dict[tuple[int, bytes], int] = {}
+        count: dict[bytes, int] = {}
         of: dict[int, dict[bytes, None]] = {}
-        for a, p, n in zip(pdf.anchor, pdf.piece, pdf.n):
-            count[a, p] = count.get((a, p), 0) + n
+        for a, p, o in zip(pdf.anchor, pdf.piece, pdf.places):
+            count[p] = count.get(p, 0) + len(o) // 16
             of.setdefault(a, {})[p] = None
         flags: dict[bytes, np.ndarray] = {}
         todo: list[bytes] = []
 
         def settle():
-            for p, f in zip(todo, repeated_windows(todo, length)):
-                flags[p] = flags[p] | f if p in flags else f
+            flags.update(zip(todo, repeated_windows(todo, length)))
             todo.clear()
 
         size = 0
@@ -261,17 +240,16 @@ def _judge(length: int):
         if todo:
             settle()
         rows = []
-        for a, p, n, block, k, start in zip(pdf.anchor, pdf.piece, pdf.n, pdf.block, pdf.k, pdf.start):
-            if n > 1:
-                continue  # settled by its count
-            if count[a, p] > 1:
+        for p, block, o in zip(pdf.piece, pdf.block, pdf.places):
+            if count[p] > 1:
                 spans = [(0, len(p))]
             elif p in flags:
                 f = np.flatnonzero(np.diff(np.concatenate([[0], flags[p].view(np.int8), [0]])))
                 spans = [(int(s), int(e) - 1 + length) for s, e in zip(f[::2], f[1::2])]
             else:
                 continue
-            rows += [(block, k, start + s, start + e) for s, e in spans]
+            for k, start in np.frombuffer(o, np.int64).reshape(-1, 2).tolist():
+                rows += [(block, k, start + s, start + e) for s, e in spans]
         return pd.DataFrame(rows, columns=["block", "k", "s", "e"])
 
     return run
@@ -310,23 +288,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     x = d.withColumn("k", F.xxhash64("doc_id", "text")).withColumn("doc_id", F.col("doc_id").cast("string")).withColumn("block", F.pmod("k", F.lit(blocks)).cast("int"))
     asks = x.groupBy("block").applyInPandas(_asks(length), "anchor long, block int, n long")
     # an anchor has at most one row for each block
-    again = asks.withColumn("all", F.sum("n").over(Window.partitionBy("anchor"))).where("all > 1").select("block", "anchor")
-    found = x.groupBy("block").cogroup(again.groupBy("block")).applyInPandas(_pieces(length), "anchor long, name long, size int, n long, places binary, piece binary, block int")
-    pieces = stored(found, "pieces")
-    place = F.struct("block", "places").alias("at")
-    one = pieces.groupBy("anchor", "name").agg(F.sum("n").alias("n"), F.first("piece").alias("piece"), F.first(place).alias("at"))
-    # all places of the pieces that occur more than once, without their bytes
-    totals = pieces.groupBy("anchor", "name").agg(F.sum("n").alias("all")).where("all > 1")
-    whole = pieces.select("anchor", "name", "size", "places", "block").join(totals, ["anchor", "name"]).select("block", "size", "places")
-    whole = whole.mapInPandas(_all_places, "block int, k long, s long, e long")
-    # of the others, the windows that another piece of the anchor has too
-    hot = pieces.select("anchor", "name").distinct().groupBy("anchor").count().where(F.col("count") > MOST_PIECES).select("anchor", F.lit(True).alias("hot"))
-    rows = one.join(hot, "anchor", "left").select(F.coalesce("hot", F.lit(False)).alias("hot"), "anchor", "piece", "n", F.col("at.block").alias("block"), F.col("at.places").alias("places"))
-    dealt = rows.mapInPandas(_halved(length), "anchor long, piece binary, n long, block int, k long, start long")
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("anchor"), F.lit(parts)))
-    spans = stored(whole.union(dealt.groupBy("part").applyInPandas(_judge(length), "block int, k long, s long, e long")), "spans")
+    again = asks.withColumn("all", F.sum("n").over(Window.partitionBy("anchor"))).where("all > 1").select("block", "anchor", (F.col("all") > MOST_PLACES).alias("hot"))
+    pieces = x.groupBy("block").cogroup(again.groupBy("block")).applyInPandas(_pieces(length), "anchor long, piece binary, places binary, block int")
+    pieces = pieces.withColumn("part", F.pmod(F.xxhash64("anchor"), F.lit(parts)))
+    spans = pieces.groupBy("part").applyInPandas(_judge(length), "block int, k long, s long, e long")
     out = x.groupBy("block").cogroup(spans.groupBy("block")).applyInPandas(_cut, "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    out = stored(out.withColumn("doc_id", F.col("doc_id").cast(d.schema["doc_id"].dataType)), "kept")
-    forget(pieces)
-    forget(spans)
-    return out
+    return out.withColumn("doc_id", F.col("doc_id").cast(d.schema["doc_id"].dataType))

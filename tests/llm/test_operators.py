@@ -581,7 +581,7 @@ def test_every_signature_passes_its_gate_and_is_found(spark):
 @pytest.mark.parametrize("most", [1000, 1])
 def test_hot_anchors_are_split_exactly(spark, monkeypatch, most):
     """One passage among many surroundings, whole, cut and shifted, so that an anchor has many different pieces."""
-    monkeypatch.setattr(suffix_dedup, "MOST_PIECES", most)
+    monkeypatch.setattr(suffix_dedup, "MOST_PLACES", most)
     monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 30_000)
     rnd = random.Random(most)
     word = lambda: "".join(rnd.choices("abcde", k=rnd.randrange(2, 9)))
