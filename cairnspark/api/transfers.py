@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairnspark.api.changes import free_names
 from cairnspark.functions import columns as c
 
 STALE_SECONDS, KEPT_SECONDS, RECENT_SECONDS, LEAST_SPAN, MOST_DROPS = 15, 30 * 86_400, 86_400, 0.5, 3
@@ -358,3 +361,69 @@ def frame_plan(files: DataFrame, frames: DataFrame) -> DataFrame:
     x = files.where("size > 0").join(frames, "blob").where((F.col("d_off") < end) & (F.col("d_off") + F.col("d_len") > F.col("off")))
     p = x.groupBy("id", "off", "size").agg(F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"), (F.col("off") - F.min("d_off")).alias("skip"), F.sum("c_len").alias("sent"))
     return p.select("id", "first_frame", "last_frame", "skip", "sent", (F.col("sent") > 2 * F.col("size") + 65_536).alias("shortcut"))
+
+
+def same_file(a: str, b: str) -> Column:
+    """Whether two structs tell of one unchanged file: size, times, device and inode, an unknown value equal to an unknown one."""
+    return reduce(lambda x, y: x & y, (F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in ("size", "mtime_ns", "ctime_ns", "dev", "ino")))
+
+
+def copy_plan(items: DataFrame, there: DataFrame, policy: str, move: bool = False) -> DataFrame:
+    """(rel, target, action) for a plain copy of items (rel, kind, size, mtime_ns, sha256) into a folder that holds `there` (same columns).
+
+    Junk is left out, links are passed over, folders are merged. A file of the same size and time is there already; a move
+    also compares contents. Another file of the name is skipped or replaced; with keep-both a chosen item whose name is taken
+    goes beside it under the next free name, so nothing in it meets anything.
+    """
+    kept = items.where(~F.exists(F.split("rel", "/"), lambda p: c.excluded(p))).withColumn("_top", F.substring_index("rel", "/", 1))
+    if policy == "keep-both":
+        tops = kept.select("_top").distinct().join(there.select(F.col("rel").alias("_top")), "_top", "left_semi")
+        new = free_names(tops.select(F.col("_top").alias("id"), F.concat(F.lit("/"), "_top").alias("path")), there.where("NOT contains(rel, '/')").select(F.concat(F.lit("/"), "rel").alias("path")))
+        kept = kept.join(new.select(F.col("id").alias("_top"), F.substring("free", 2, 100_000).alias("_new")), "_top", "left")
+    else:
+        kept = kept.withColumn("_new", F.lit(None).cast("string"))
+    moved = F.concat(F.coalesce("_new", "_top"), F.substring("rel", F.length("_top") + 1, F.length("rel")))
+    x = kept.withColumn("target", moved)
+    old = there.select(F.col("rel").alias("target"), F.struct("kind", "size", "mtime_ns", "sha256").alias("_old"))
+    x = x.join(old, "target", "left")
+    same = (F.col("_old.kind") == "f") & (F.col("_old.size") == F.col("size")) & (F.col("_old.mtime_ns") == F.col("mtime_ns"))
+    if move:
+        same = same & (F.col("_old.sha256") == F.col("sha256"))
+    clash = {"skip": "a different file is already there", "replace": "replace", "keep-both": "keep both"}[policy]
+    action = F.when(F.col("kind") == "l", "shortcut (symbolic link)").when(F.col("kind") == "d", F.when(F.col("_old").isNull(), "new folder").otherwise("merge"))
+    action = action.when(F.col("_old").isNull(), "copy").when(same, "already there").otherwise(F.lit(clash))
+    return x.select("rel", "target", action.alias("action"))
+
+
+def emptied_folders(left: DataFrame) -> DataFrame:
+    """Folders of what is left (path, kind) after a move that hold nothing but junk files and folders of that kind, deepest first."""
+    keeps = left.where((F.col("kind") != "d") & ~((F.col("kind") == "f") & c.excluded(c.base_name(F.col("path")))))
+    held = keeps.select(F.explode(F.expr("transform(sequence(1, greatest(size(filter(split(path, '/'), p -> p <> '')) - 1, 1)), i -> concat('/', array_join(slice(filter(split(path, '/'), p -> p <> ''), 1, i), '/')))")).alias("path")).distinct()
+    return left.where("kind = 'd'").select("path").join(held, "path", "left_anti").orderBy(F.desc(F.size(c.parts(F.col("path")))), "path")
+
+
+def idle_packs(packs: DataFrame, now: int, older_than: int) -> DataFrame:
+    """Open packs that nobody writes to (locked) and that were not touched for so many seconds; one whose time is unknown counts as idle."""
+    idle = F.col("touched").isNull() | (F.lit(now) - F.col("touched") >= older_than)
+    return packs.where((F.col("state") == "open") & ~F.col("locked") & idle)
+
+
+def leaving(views: DataFrame) -> DataFrame:
+    """(kind, name, n): what closing the window would stop: own transfers that move, how many are paused, and each server's."""
+    own = F.col("id").startswith("L")
+    moving = views.where(own & active(F.col("state"))).select(F.lit("transfer").alias("kind"), F.col("title").alias("name"), F.lit(1).cast("bigint").alias("n"))
+    paused = views.where(own & (F.col("state") == "paused")).agg(F.count(F.lit(1)).alias("n")).select(F.lit("paused").alias("kind"), F.lit("").alias("name"), "n")
+    servers = views.where(~own & active(F.col("state")) & F.col("server").isNotNull()).groupBy("server").agg(F.count(F.lit(1)).alias("n")).select(F.lit("server").alias("kind"), F.col("server").alias("name"), "n")
+    return moving.union(paused).union(servers)
+
+
+def worker_report(packs: DataFrame, protected: DataFrame, scrubbed: DataFrame) -> DataFrame:
+    """One row after a maintenance cycle: packs by state as protecting and checking left them, and the names of the damaged."""
+    keys = ["pack_id", "project"]
+    new = protected.select(*keys, F.col("state").alias("_p")).join(scrubbed.select(*keys, F.col("state").alias("_s")), keys, "full_outer")
+    x = packs.join(new, keys, "left").withColumn("state", F.coalesce("_s", "_p", "state"))
+    name = F.format_string("%s/pack-%08d", "project", "pack_id")
+    return x.agg(
+        F.count(F.lit(1)).alias("packs_total"), F.count_if(F.col("state") == "protected").alias("packs_protected"), F.count_if(F.col("state").isin("open", "sealed")).alias("packs_pending"),
+        F.array_join(F.sort_array(F.collect_list(F.when(F.col("state") == "damaged", name))), ",").alias("packs_damaged"),
+    )

@@ -110,7 +110,53 @@ def _conflict(s, d):
     return reduce(lambda a, b: a.union(b), [transfers.conflicts(f, n, p, mine).select("id", F.lit(p).alias("policy"), "decision") for p in _POLICIES])
 
 
+_ITEMS = """SELECT source || '/' || name AS rel, 'f' AS kind, size, mtime_ns, sha256, id FROM files WHERE project = 'en' UNION ALL SELECT DISTINCT source, 'd', CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(NULL AS {t}), CAST(0 AS BIGINT) FROM files WHERE project = 'en'
+    UNION ALL SELECT source || '/._' || name, 'f', size, mtime_ns, sha256, id FROM files WHERE project = 'en' AND id % 3 = 0 UNION ALL SELECT 'link' || CAST(id AS {t}), 'l', CAST(0 AS BIGINT), mtime_ns, CAST(NULL AS {t}), id FROM files WHERE project = 'en' AND id % 7 = 0"""
+_THERE = """SELECT f.source || '/' || f.name AS rel, 'f' AS kind, x.size, x.mtime_ns, x.sha256 FROM dest x JOIN files f ON f.path = x.path WHERE f.project = 'en' AND f.source < 'src5' UNION ALL SELECT DISTINCT source, 'd', CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(NULL AS {t}) FROM files
+    WHERE project = 'en' AND source < 'src5' UNION ALL SELECT DISTINCT source || ' (2)', 'd', CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(NULL AS {t}) FROM files WHERE project = 'en' AND source < 'src2'"""
+
+
+def _copied(s, d):
+    items, there = (s.sql(statement(Spark(d), q.format(t="STRING"))) for q in (_ITEMS, _THERE))
+    return reduce(lambda a, b: a.union(b), [transfers.copy_plan(items, there, p, m).select(F.lit(f"{p} {m}").alias("how"), "rel", "target", "action") for p in _POLICIES[:3] for m in (False, True)])
+
+
+def _views(s, d):
+    return _jobs(s, d).select(F.concat(F.expr("CASE WHEN event_id % 3 = 0 THEN 'L' ELSE 'R:' END"), "id").alias("id"), "state", F.concat(F.lit("Title "), "id").alias("title"), F.when(F.col("event_id") % 3 != 0, F.col("server")).alias("server"))
+
+
 QUERIES = {
+    "f19_identity": (
+        lambda s, d: frame(s, d, "files").join(frame(s, d, "dest").select("path", F.col("size").alias("s2"), F.col("mtime_ns").alias("m2")), "path").selectExpr("id", "named_struct('size', size, 'mtime_ns', mtime_ns, 'ctime_ns', id % 3, 'dev', 1, 'ino', IF(id % 4 = 0, NULL, id)) AS a", "named_struct('size', s2, 'mtime_ns', m2, 'ctime_ns', IF(id % 5 = 0, NULL, id % 3), 'dev', 1, 'ino', IF(id % 4 = 0, NULL, id)) AS b").select("id", transfers.same_file("a", "b").alias("same")),
+        duck("SELECT f.id, f.size = x.size AND f.mtime_ns = x.mtime_ns AND f.id % 5 <> 0 AS same FROM files f JOIN dest x USING (path)"),
+    ),
+    "q21_copy_plan": (
+        _copied,
+        duck(f"""SELECT p || ' ' || m AS how, i.rel, CASE WHEN p = 'keep-both' AND n.rel IS NOT NULL THEN n.rel || CASE WHEN n.rel < 'src2' THEN ' (3)' ELSE ' (2)' END || substring(i.rel, length(n.rel) + 1) ELSE i.rel END AS target,
+            CASE WHEN i.kind = 'l' THEN 'shortcut (symbolic link)' WHEN i.kind = 'd' THEN CASE WHEN n.rel IS NULL OR p = 'keep-both' THEN 'new folder' ELSE 'merge' END WHEN t.rel IS NULL OR p = 'keep-both' THEN 'copy'
+            WHEN t.size = i.size AND t.mtime_ns = i.mtime_ns AND (m = 'False' OR t.sha256 = i.sha256) THEN 'already there' WHEN p = 'skip' THEN 'a different file is already there' ELSE 'replace' END AS action
+            FROM ({_ITEMS.format(t='VARCHAR')}) i CROSS JOIN (SELECT unnest(['skip', 'replace', 'keep-both']) AS p) CROSS JOIN (SELECT unnest(['False', 'True']) AS m) LEFT JOIN ({_THERE.format(t='VARCHAR')}) t ON t.rel = i.rel
+            LEFT JOIN (SELECT DISTINCT source AS rel FROM files WHERE project = 'en' AND source < 'src5') n ON n.rel = split_part(i.rel, '/', 1) WHERE i.rel NOT LIKE '%/.!_%' ESCAPE '!'"""),
+    ),
+    "q23_empty_dirs": (
+        lambda s, d: transfers.emptied_folders(frame(s, d, "nodes").where("path IS NOT NULL AND path <> '/'").select(F.expr("CASE WHEN kind = 'f' AND (id % 3 = 0 OR path LIKE '/Library/fr/%') THEN regexp_replace(path, '/([^/]*)$', '/._$1') ELSE path END").alias("path"), "kind")),
+        duck("SELECT d.path FROM nodes d WHERE d.kind = 'd' AND d.path <> '/' AND NOT EXISTS (SELECT 1 FROM nodes f WHERE f.kind = 'f' AND starts_with(f.path, d.path || '/') AND f.id % 3 <> 0 AND f.path NOT LIKE '/Library/fr/%')"),
+    ),
+    "q36_idle_seal": (
+        lambda s, d: transfers.idle_packs(frame(s, d, "packs").withColumn("locked", F.col("pack_id") % 5 == 0).withColumnRenamed("checked_at", "touched"), NOW, NOW - T0 - 1200 * 7200).select("pack_id", "project"),
+        duck("SELECT pack_id, project FROM packs WHERE state = 'open' AND pack_id % 5 <> 0 AND (pack_id % 3 = 0 OR pack_id <= 1200)"),
+    ),
+    "q39_leaving": (
+        lambda s, d: transfers.leaving(_views(s, d)),
+        duck(f"""SELECT 'transfer' AS kind, 'Title ' || id AS name, 1::BIGINT AS n FROM ({_JOB_DUCK}) WHERE event_id % 3 = 0 AND event_id % 8 < 3 UNION ALL SELECT 'paused', '', count(*) FROM ({_JOB_DUCK}) WHERE event_id % 3 = 0 AND state = 'paused'
+            UNION ALL SELECT 'server', 's' || event_id % 4, count(*) FROM ({_JOB_DUCK}) WHERE event_id % 3 > 0 AND event_id % 8 < 3 GROUP BY event_id % 4"""),
+    ),
+    "q19_worker_report": (
+        lambda s, d: (lambda p: transfers.worker_report(p, transfers.protect(p, p.selectExpr("pack_id", "project", "IF(pack_id % 2 = 0, 'ok', 'bad') AS verify", "CAST(NULL AS STRING) AS error")),
+                                                        transfers.scrub(p.where("state <> 'sealed'"), p.selectExpr("pack_id", "project", "true AS sound", "IF(pack_id % 3 = 1, 'unrepairable', 'ok') AS verify", "false AS repaired"), T0 + 9_000_000)))(frame(s, d, "packs")),
+        duck(f"""SELECT count(*) AS packs_total, count(*) FILTER (WHERE now = 'protected') AS packs_protected, count(*) FILTER (WHERE now IN ('open', 'sealed')) AS packs_pending, coalesce(string_agg(project || '/pack-' || lpad(CAST(pack_id AS VARCHAR), 8, '0'), ',' ORDER BY project, pack_id) FILTER (WHERE now = 'damaged'), '') AS packs_damaged
+            FROM (SELECT *, CASE WHEN state = 'open' THEN 'open' WHEN state = 'sealed' THEN CASE WHEN pack_id % 2 = 0 THEN 'protected' ELSE 'sealed' END WHEN checked_at >= {T0 + 9_000_000} THEN state WHEN pack_id % 3 = 1 THEN 'damaged' ELSE 'protected' END AS now FROM packs)"""),
+    ),
     "q25_job_list": (
         lambda s, d: transfers.job_list(_jobs(s, d), F.lit(NOW)).select("id", "state", F.length("message").cast("long").alias("said")),
         duck(f"""SELECT id, CASE WHEN state IN ('queued', 'running', 'waiting') AND NOT locked AND {NOW} - updated > 15 THEN 'interrupted' ELSE state END AS state, CAST(CASE WHEN state IN ('queued', 'running', 'waiting') AND NOT locked AND {NOW} - updated > 15 THEN 112 ELSE 3 END AS BIGINT) AS said

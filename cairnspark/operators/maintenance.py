@@ -9,9 +9,6 @@ OPERATORS = {
     "x06_scrub_order": lambda d: "SELECT pack_id, project, CAST(row_number() OVER (ORDER BY coalesce(checked_at, 0), pack_id, project) AS BIGINT) AS place FROM packs",
     "w04_latest_open": lambda d: "SELECT project, max(pack_id) AS pack_id FROM packs WHERE state = 'open' GROUP BY project",
     "w05_snapshots": lambda d: f"SELECT day FROM (SELECT day, row_number() OVER (ORDER BY day DESC) AS rn FROM (SELECT DISTINCT {d.strftime('created', '%Y-%m-%d')} AS day FROM files) a) b WHERE rn <= 3",
-    "q19_worker_report": lambda d: "SELECT state, count(*) AS n_packs, CAST(sum(bytes) AS BIGINT) AS bytes, count(checked_at) AS n_checked FROM packs GROUP BY state",
-    "q36_idle_seal": lambda d: f"SELECT pack_id, project FROM packs WHERE state = 'open' AND coalesce(checked_at, 0) < {T0 + 6 * 3600}",
     "x14_last_write": lambda d: """SELECT path, sha256 FROM (SELECT path, sha256, row_number() OVER (PARTITION BY path ORDER BY src DESC, id DESC) AS rn FROM (
         SELECT path, sha256, 1 AS src, id FROM files UNION ALL SELECT x.path, x.sha256, 2 AS src, CAST(0 AS BIGINT) AS id FROM dest x) a) b WHERE rn = 1""",
-
 }
