@@ -10,17 +10,6 @@ def pieces(d, x: str) -> str:
     return x
 
 
-def human_bytes(d, x: str) -> str:
-    """Decimal units, one digit after the point below ten."""
-    t = d.text
-    out = f"CASE WHEN {x} < 1000 THEN CAST({x} AS {t}) || ' B' "
-    for unit, scale in (("kB", 1000), ("MB", 10**6), ("GB", 10**9)):
-        tenths, whole = d.div(f"{x} + {scale // 20}", f"{scale // 10}"), d.div(f"{x} + {scale // 2}", f"{scale}")
-        out += f"WHEN {tenths} < 100 THEN CAST({d.div(tenths, '10')} AS {t}) || '.' || CAST({tenths} % 10 AS {t}) || ' {unit}' "
-        out += f"WHEN {whole} < 1000 THEN CAST({whole} AS {t}) || ' {unit}' "
-    return out + f"ELSE CAST({d.div(x, str(10**12))} AS {t}) || ' TB' END"
-
-
 def stem(d, name: str) -> str:
     """Before the last dot, unless that dot leads the name."""
     return f"CASE WHEN {d.rlike(name, '^.+[.][^.]*$')} THEN {d.extract(name, '^(.+)[.][^.]*$', 1)} ELSE {name} END"
@@ -34,13 +23,6 @@ def numbered(d, name: str, n: str) -> str:
     return f"{stem(d, name)} || ' (' || CAST({n} AS {d.text}) || ')' || {suffix(d, name)}"
 
 
-def windows_name(d, name: str) -> str:
-    """Reserved characters become _, trailing dots and spaces go, device names get a leading _."""
-    x = d.sub(d.sub(name, r"[<>:\"/|?*\x00-\x1f]", "_").replace('\\"', '"'), r"[. ]+$", "")
-    devices = "^(CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9])([.].*)?$"
-    return f"CASE WHEN {d.rlike(f'upper({x})', devices)} THEN '_' || {x} ELSE {x} END"
-
-
 def tsv(x: str) -> str:
     for code, letter in ((92, 92), (9, 116), (10, 110), (13, 114)):
         x = f"replace({x}, chr({code}), chr(92) || chr({letter}))"

@@ -28,7 +28,7 @@ class Search:
 
 
 def size_of(text: str) -> int | None:
-    """Bytes of "1.5gb", "10k", "300": decimal units, also when written as kib."""
+    """Bytes of "2.5tb", "12m", "64": decimal units, also when written as kib."""
     m = _SIZE.fullmatch(text)
     try:
         return int(float(m[1]) * UNITS[m[2]]) if m else None

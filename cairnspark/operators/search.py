@@ -4,15 +4,6 @@ from cairnspark.functions import names as n
 from cairnspark.functions import search_language
 
 
-def _index(d) -> str:
-    """(id, field, token): words of each name and of its folders, lower-cased, with their camelCase pieces."""
-    words = d.sub(f"lower(name || ' ' || {n.pieces(d, 'name')})", r"[^a-z0-9]+", " ")
-    folders = d.sub("lower(folder)", r"[^a-z0-9]+", " ")
-    unnest = "explode" if d.name == "spark" else "unnest"
-    return f"""SELECT id, field, token, count(*) AS tf FROM (SELECT id, 'words' AS field, {unnest}({d.split(f'trim({words})', ' ')}) AS token FROM files
-        UNION ALL SELECT id, 'folders' AS field, {unnest}({d.split(f'trim({folders})', ' ')}) AS token FROM files) t GROUP BY id, field, token"""
-
-
 def find(d, text: str) -> str:
     """Ids of the files that a search in the search language finds; one scan, no shuffle. An empty search finds none."""
     words = d.sub(f"lower(name || ' ' || {n.pieces(d, 'name')})", r"[^a-z0-9]+", " ")

@@ -8,7 +8,7 @@ from cairnspark.plans import registry
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize(("text", "want"), [("1.5gb", 1_500_000_000), ("500mb", 500_000_000), ("10k", 10_000), ("7", 7), ("2kib", 2000), ("1.2.3", None), (".", None), ("5x", None), ("", None)])
+@pytest.mark.parametrize(("text", "want"), [("2.5tb", 2_500_000_000_000), ("750kb", 750_000), ("12m", 12_000_000), ("7", 7), ("2kib", 2000), ("1.2.3", None), (".", None), ("5x", None), ("", None)])
 def test_sizes(text, want):
     assert size_of(text) == want
 
@@ -25,8 +25,8 @@ def test_filters():
 
 
 def test_parse():
-    got = parse(' dairy "two  words" is:odd type:csv after:2023 "" "open end')
-    assert got.words == ["dairy", "is:odd"] and got.phrases == ["two  words", "open end"]
+    got = parse(' maple "two  words" is:odd type:csv after:2023 "" "open end')
+    assert got.words == ["maple", "is:odd"] and got.phrases == ["two  words", "open end"]
     assert got.filters == [("ext", "csv"), ("after", 1672531200)]
     assert parse("  ") == parse("")
 
@@ -48,4 +48,4 @@ def test_batches(spark, name, small, closed):
             n, pos, no = 0, 0, no + 1
         at[folder] = n + 1, pos + size, no
         want.append((folder, item, no))
-    assert sorted(map(tuple, registry.queries()[name](spark, SF).select("folder", "item_id", "batch_no").collect())) == sorted(want)
+    assert sorted(map(tuple, registry.queries()[name](spark, SF).select("folder", "id", "batch_no").collect())) == sorted(want)
