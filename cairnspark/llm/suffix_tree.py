@@ -300,7 +300,7 @@ def _second_round(parts: int, n: int, v: int):
                 for p, o in _dealt(_number_part(x.numbers[k], parts), parts):
                     rows.append((2, p, row.block, k, *_columns(x.numbers[k], o), _thin(counts[o])))
             for k, columns, part in _asked(x, c, number, parts):
-                for p, o in _dealt(part, parts):
+                for p, o in _dealt(part, parts) if k < 3 else []:  # of longer contexts the requests for their counts ask as well
                     rows.append((3, p, row.block, k, *_columns(columns, o), b""))
         return pd.DataFrame(rows, columns=["what", "part", "block", "level", "a", "b", "c", "counts"])
 
@@ -543,13 +543,14 @@ def score_documents(docs: DataFrame, modulus: int = 7) -> DataFrame:
     answers = counted.where("block >= 0").drop("n", "v")
     second = stored(x.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_second_round(parts, n, v), _ROUND), "second-round", by="what")
     longer = stored(second.where("what = 2").groupBy("part").applyInPandas(_longer_answers, f"{ANSWER}, n binary"), "longer-grams")
-    forget(second, "what=2")
     grams = longer.where("block = -1").mapInPandas(_longer_grams, "level int, a long, b long, c long, n long")
     states, made = _states(second.where("what = 1").mapInPandas(_pairs, "a long, context long, n long, whole long, root double"), grams)
     contexts = states.count()
     dealt = states.withColumn("part", F.expr(_state_part(parts)))
     replies = answers.union(longer.where("block >= 0").drop("n"))
-    told = stored(second.where("what = 3").groupBy("part").cogroup(dealt.groupBy("part")).applyInPandas(_state_answers, ANSWER), "state-answers")
+    asks = second.where("what = 3").select("part", "block", "level", "a", "b")
+    asks = asks.union(second.where(f"what = 2 AND level < {DEPTH}").select("part", "block", F.col("level") + 1, "a", "b"))
+    told = stored(asks.groupBy("part").cogroup(dealt.groupBy("part")).applyInPandas(_state_answers, ANSWER), "state-answers")
     for done in (second, *made):
         forget(done)
     replies = replies.union(told)
