@@ -96,12 +96,16 @@ def forget(df: DataFrame, part: str = "") -> None:
     fs.delete(at, True)
 
 
+_M_MMAP_THRESHOLD = -3  # fixed value of the C library
+
+
 def give_back() -> None:
-    """Returns a worker's freed memory to the system, so that its groups do not add up."""
+    """Returns a worker's freed memory to the system, and has large arrays returned as soon as they are freed, so that groups do not add up."""
     pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.mallopt(_M_MMAP_THRESHOLD, 1 << 20)
+        libc.malloc_trim(0)
 
 
 def parts_for(spark: SparkSession, size: int = 0, each: int = 1) -> int:

@@ -99,6 +99,7 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """One row for each block of about BLOCK_BYTES of a partition's texts: word numbers, their hashes, and sizes of the texts."""
+    give_back()
     part, made = TaskContext.get().partitionId(), 0
     held: list[pd.DataFrame] = []
     weight = 0
@@ -215,6 +216,7 @@ def _state_part(parts: int) -> str:
 
 def _requests(parts: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        give_back()
         for pdf in batches:
             for row in pdf.itertuples():
                 x = Block(row)
