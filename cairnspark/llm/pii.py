@@ -257,8 +257,8 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every span's characters replaced by [KIND]; of overlapping spans the union goes, named by the first."""
-    c = stored(candidates(docs.select(F.struct(*docs.columns).alias("row"), F.coalesce("text", F.lit("")).alias("text"))), "pii-candidates")
-    d = label_spans(c, fit_span_model(c))
+    c = candidates(docs.select(F.struct(*docs.columns).alias("row"), F.coalesce("text", F.lit("")).alias("text")))
+    d = label_spans(c, fit_span_model(c))  # looking twice costs less than writing all rows in between
     # what is kept is the text from each span's end to the next one's start, put together in runs of spans, each on its own
     # piece of the text: a substring is found by counting characters from the start of what it is cut from
     run = "greatest(16, CAST(ceil(sqrt(size(spans))) AS INT))"

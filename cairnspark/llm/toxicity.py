@@ -17,8 +17,7 @@ different texts of one labelled id the one whose word list sorts first is learne
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -56,12 +55,6 @@ def features(words: set[str]) -> set[str]:
     return words | {w[:4] + "*" for w in words if len(w) > 4}
 
 
-def counterfactual(words: set[str]) -> set[str] | None:
-    """The words with every identity term swapped for the next of its group; None where there is none."""
-    named = words & SWAP.keys()
-    return (words - named) | {SWAP[w] for w in named} if named else None
-
-
 class Model:
     def __init__(self, bias: float, weights: dict[str, float]):
         self.bias, self.weights = bias, weights
@@ -72,37 +65,53 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def train(rows: list[tuple[list[str], int]], penalty: float = PENALTY) -> Model:
-    """rows: distinct words and label. Full-batch Adam on log loss + ridge + penalty * mean squared counterfactual change.
+def train(rows: Iterable[tuple[Iterable[str], int]], penalty: float = PENALTY) -> Model:
+    """rows: words and label. Full-batch Adam on log loss + ridge + penalty * mean squared counterfactual change.
 
-    The change is that of the score before the logistic function, over the texts that name a group.
+    The change is that of the score before the logistic function, over the texts that name a group. Texts are held as numbers of their words.
     """
-    n, ones = len(rows), sum(y for _, y in rows)
+    number: dict[str, int] = {}
+    texts_, labels = [], []
+    for words, y in rows:
+        texts_.append(np.unique(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32)))
+        labels.append(y)
+    n, ones = len(labels), sum(labels)
     if not 0 < ones < n:
         p = (ones + 0.5) / (n + 1)
         return Model(float(np.log(p / (1 - p))), {})
-    seen, with_one = Counter(), Counter()
-    sets = [features(set(words)) for words, _ in rows]
-    for made, (_, y) in zip(sets, rows):
-        seen.update(made)
-        if y:
-            with_one.update(made)
+    for w in SWAP:
+        number.setdefault(w, len(number))
+    whole = list(number)  # words, then their beginnings
+    start = np.array([number.setdefault(w[:4] + "*", len(number)) if len(w) > 4 else -1 for w in whole], np.int32)
+    names, instead = list(number), np.arange(len(number), dtype=np.int32)
+    for w, other in SWAP.items():
+        instead[number[w]] = number[other]
+
+    def featured(words: np.ndarray) -> np.ndarray:
+        more = start[words]
+        return np.unique(np.concatenate([words, more[more >= 0]]))
+
+    sets = [featured(w) for w in texts_]
+    y = np.array(labels, float)
+    size = np.array([len(x) for x in sets])
+    every = np.concatenate(sets) if n else np.zeros(0, int)
+    seen, with_one = np.bincount(every, minlength=len(names)), np.bincount(every, np.repeat(y, size), len(names))
     share = ones / n
-    gap = {w: abs(with_one[w] - c * share) / (c * share * (1 - share)) ** 0.5 for w, c in seen.items() if c >= LEAST_TEXTS}
-    vocabulary = sorted(sorted((w for w in gap if gap[w] >= LEAST_Z), key=lambda w: (-gap[w], w))[:MOST_WORDS])
+    gap = np.where(seen >= LEAST_TEXTS, np.abs(with_one - seen * share) / np.sqrt(np.maximum(seen, 1) * share * (1 - share)), 0.0)
+    best = sorted(np.flatnonzero(gap >= LEAST_Z).tolist(), key=lambda i: (-gap[i], names[i]))[:MOST_WORDS]
+    vocabulary = sorted(names[i] for i in best)
     vocabulary += sorted(features(set(SWAP)) - set(vocabulary))
-    at = {w: i for i, w in enumerate(vocabulary)}
+    at = np.full(len(names), -1, np.int64)
+    at[[number[w] for w in vocabulary]] = np.arange(len(vocabulary))
 
-    def matrix(sets):
-        ids = [[at[w] for w in s if w in at] for s in sets]
-        row = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
-        return row, np.array([i for x in ids for i in x], int)
+    def matrix(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [x[x >= 0] for x in (at[s] for s in sets)]
+        return np.repeat(np.arange(len(ids)), [len(x) for x in ids]), np.concatenate(ids) if ids else np.zeros(0, int)
 
-    y = np.array([label for _, label in rows], float)
     row, col = matrix(sets)
-    swapped = [(made, features(s)) for made, (w, _) in zip(sets, rows) if (s := counterfactual(set(w))) is not None]
-    r1, c1 = matrix([a - b for a, b in swapped])
-    r2, c2 = matrix([b - a for a, b in swapped])
+    swapped = [(made, featured(np.unique(instead[w]))) for made, w in zip(sets, texts_) if (instead[w] != w).any()]
+    r1, c1 = matrix([np.setdiff1d(a, b) for a, b in swapped])
+    r2, c2 = matrix([np.setdiff1d(b, a) for a, b in swapped])
     m = len(swapped)
     w, b = np.zeros(len(vocabulary)), float(np.log(ones / (n - ones)))
     mom, var, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
@@ -136,7 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
     got = mapped(d.select("doc_id", "toxic", "text"), words, "toxic int, words string")
     got = got.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("words").alias("words"))
     rows = sorted((r.doc_id, r.words, r.toxic) for r in got.collect())
-    return train([(w.split(), y) for _, w, y in rows])
+    return train((w.split(), y) for _, w, y in rows)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
