@@ -1,4 +1,4 @@
-"""Tar files as a data source: one partition for each file when read, one tar for each pack when written."""
+"""Tar files as a data source: small packs share a partition when read, each pack is one tar when written."""
 
 from __future__ import annotations
 
@@ -41,9 +41,12 @@ def members(stream: io.BufferedIOBase, content: bool = False, only: set[str] | N
             yield seq, m.name, kind, m.size, int(m.mtime), m.mode, m.linkname or None, m.offset_data, body
 
 
-class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+PARTITION_BYTES = 8 << 20
+
+
+class _Files(InputPartition):
+    def __init__(self, paths: list[str]):
+        self.paths = paths
 
 
 class _Reader(DataSourceReader):
@@ -53,16 +56,25 @@ class _Reader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         paths = [self.where] if os.path.isfile(self.where) else sorted(glob.glob(f"{self.where}/**/*.tar", recursive=True))
-        return [_File(p) for p in paths]
-
-    def read(self, partition: _File) -> Iterator[tuple]:
-        name = os.path.basename(partition.path)
-        try:
-            with open(partition.path, "rb") as f:
-                for m in members(f, self.content, self.only):
-                    yield (name, *m, None)
-        except (tarfile.TarError, OSError) as e:  # an unreadable pack is a row of its own; the others are read
-            yield (name, None, None, None, None, None, None, None, None, None, f"unreadable: {e}")
+        out, room = [], 0
+        for p in paths:  # small packs share a task, a large one has its own
+            size = os.path.getsize(p)
+            if not out or room < size:
+                out.append(_Files([]))
+                room = PARTITION_BYTES
+            out[-1].paths.append(p)
+            room -= size
+        return out
+
+    def read(self, partition: _Files) -> Iterator[tuple]:
+        for path in partition.paths:
+            name = os.path.basename(path)
+            try:
+                with open(path, "rb") as f:
+                    for m in members(f, self.content, self.only):
+                        yield (name, *m, None)
+            except (tarfile.TarError, OSError) as e:  # an unreadable pack is a row of its own; the others are read
+                yield (name, None, None, None, None, None, None, None, None, None, f"unreadable: {e}")
 
 
 class _Sealed(WriterCommitMessage):
