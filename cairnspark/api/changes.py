@@ -264,3 +264,26 @@ def due(last_run: Column, now: Column, hours: int = 20) -> Column:
     return last_run.isNull() | (now - last_run >= hours * 3600)
 
 
+
+
+def trash_plan(wanted: DataFrame, present: DataFrame, home: str, trash_folder: str) -> DataFrame:
+    """(path, outcome) for items of a plain tree to be sent to the trash: if any is refused or missing, none is moved.
+
+    Refused are the tops of disks, the home folder and what holds it, and what is in the trash.
+    """
+    there = present.select("path", F.lit(True).alias("_there"))
+    inside = (F.col("path") == trash_folder) | c.below(F.col("path"), F.lit(trash_folder))
+    why = F.coalesce(c.protected_path(F.col("path"), home), F.when(inside, F.lit("it is in the trash already"))).alias("_why")
+    x = wanted.select("path").distinct().join(there, "path", "left").select("path", why, F.coalesce("_there", F.lit(False)).alias("_there"))
+    gate = x.agg(F.coalesce(F.bool_or(F.col("_why").isNotNull() | ~F.col("_there")), F.lit(False)).alias("_stop"))
+    outcome = F.when(F.col("_why").isNotNull(), F.concat(F.lit("refused: "), F.col("_why"))).when(~F.col("_there"), "missing").when(F.col("_stop"), "not moved").otherwise("moved")
+    return x.crossJoin(F.broadcast(gate)).select("path", outcome.alias("outcome"))  # one row of gate
+
+
+def untrash_plan(notes: DataFrame, present: DataFrame) -> DataFrame:
+    """(id, target, outcome) for trashed items to be put back: nothing is overwritten, and the folder must still be there."""
+    taken = present.select(F.col("path").alias("original"), F.lit(True).alias("_taken"))
+    folders = present.where("kind = 'd'").select(F.col("path").alias("_up"), F.lit(True).alias("_home"))
+    x = notes.withColumn("_up", c.parent(F.col("original"))).join(taken, "original", "left").join(folders, "_up", "left")
+    outcome = F.when(F.col("_taken"), "already exists").when(F.col("_home").isNull() & (F.col("_up") != "/"), "the folder it came from is gone").otherwise("restored")
+    return x.select("id", F.col("original").alias("target"), outcome.alias("outcome"))

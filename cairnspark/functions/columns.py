@@ -256,3 +256,20 @@ def incompressible(sample: pd.Series) -> pd.Series:
 
     squeeze = zstandard.ZstdCompressor(level=1).compress
     return sample.map(lambda b: b is not None and len(b) >= 4096 and len(squeeze(bytes(b))) > 0.97 * len(b))
+
+
+def civil_days(seconds: Column) -> Column:
+    """Days since 1970-01-01 of a time in seconds, before it too."""
+    return F.floor(seconds / 86_400).cast("int")
+
+
+def solid_member(pack: Column, number: Column) -> Column:
+    """The member that a pack keeps its so-manieth block of small files in."""
+    return F.format_string(".archive/solid-%08d-%05d.tar.zst", pack, number)
+
+
+def like_literal(text: Column) -> Column:
+    """A text as itself inside a LIKE pattern whose escape is a backslash."""
+    for special in ("\\", "%", "_"):
+        text = F.replace(text, F.lit(special), F.lit("\\" + special))
+    return text

@@ -98,3 +98,10 @@ def predicate(d, search: Search, fields: list[str]) -> str:
         else:
             terms.append(f"mtime_ns {'>=' if kind == AFTER else '<'} {rest[0] * 1_000_000_000}")
     return " AND ".join(terms) if terms else "false"
+
+
+def match_text(search: Search) -> str | None:
+    """The words and phrases as a full-text index takes them: quoted, words as beginnings; None where none has a letter or digit."""
+    parts = [f'"{w.replace(chr(34), chr(34) * 2)}"*' for w in search.words if any(map(str.isalnum, w))]
+    parts += [f'"{p.replace(chr(34), chr(34) * 2)}"' for p in search.phrases if any(map(str.isalnum, p))]
+    return " ".join(parts) or None

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairnspark.operators import by_change, by_name, by_plan, by_source, by_transfer, by_tree, ingest, maintenance, scalars, search, storage, transfer, tree
+from cairnspark.operators import by_change, by_name, by_plan, by_rest, by_source, by_transfer, by_tree, ingest, maintenance, scalars, search, storage, transfer, tree
 from cairnspark.plans.dialect import Duck, Spark
 from cairnspark.sources.fixtures import statement
 
 #: One shape for both engines.
 MODULES = (scalars, tree, storage, ingest, maintenance, search, transfer)
 #: Functions of DataFrames, and statements written apart from them.
-APART = (by_name, by_tree, by_change, by_transfer, by_plan, by_source)
+APART = (by_name, by_tree, by_change, by_transfer, by_plan, by_source, by_rest)
 
 
 def operators() -> dict:
