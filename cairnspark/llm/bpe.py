@@ -20,10 +20,11 @@ import hashlib
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from cairnspark.llm.common import mapped, texts
+from cairnspark.llm.common import give_back, mapped, texts
 
 START = -1
 MOST_STATES, MOST_PAIRS, MOST_PIECES = 40_000, 1_000_000, 300_000
@@ -319,20 +320,21 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: ids never leave the worker that made them."""
     d = texts(docs)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         t = transducer(path, pattern)
         shown = {rank: str(rank) for rank in t.token}.__getitem__
         for b in batches:
             rows = []
-            for x in b.text:
-                ids = t.encode(x)
-                stream, back = Utf8Stream(), hashlib.sha256()
-                for i in range(0, len(ids), 8192):
-                    back.update(stream.feed(t.decode_bytes(ids[i : i + 8192])).encode())
-                back.update(stream.end().encode())
-                rows.append((len(ids), hashlib.sha256(" ".join(map(shown, ids)).encode()).hexdigest(), back.hexdigest()))
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            out.insert(0, "doc_id", b.doc_id.values)
-            yield out
-
-    return mapped(d, run, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+            for at in range(0, len(b), 64):  # texts become strings a few at a time
+                for x in b.column(1).slice(at, 64).to_pylist():
+                    ids = t.encode(x)
+                    stream, back = Utf8Stream(), hashlib.sha256()
+                    for i in range(0, len(ids), 8192):
+                        back.update(stream.feed(t.decode_bytes(ids[i : i + 8192])).encode())
+                    back.update(stream.end().encode())
+                    rows.append((len(ids), hashlib.sha256(" ".join(map(shown, ids)).encode()).hexdigest(), back.hexdigest()))
+            n, coded, decoded = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")

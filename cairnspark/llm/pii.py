@@ -49,7 +49,7 @@ LOOSE = (
     r"|(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])|(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){1,4}+"
     r"|(?<![A-Za-z0-9_+/-])(?=[A-Za-z_-]{0,128}[0-9])(?=[0-9_-]{0,128}[A-Za-z])[A-Za-z0-9_-]{20,128}+(?![+/=]))"
 )
-LOOSE_GATE = r"text rlike r'[0-9]{3}[-. )]|[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}|[\[(] ?at ?[\])]|[A-Za-z0-9_-]{20}'"
+LOOSE_GATE = r"text rlike r'[0-9]{3}[-. )]|[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}|[\[(] ?at ?[\])]|(?=[A-Za-z_-]{0,19}[0-9])[A-Za-z0-9_-]{20}'"
 #: Gazetteers and cue words.
 TLDS = (
     "com", "org", "net", "edu", "gov", "mil", "int", "info", "biz", "name", "pro", "io", "ai", "app", "dev", "cloud", "online", "shop", "site", "store", "tech", "xyz", "co", "me", "tv", "cc",
