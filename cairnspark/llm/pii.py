@@ -186,7 +186,8 @@ BELIEF = {"v_regex": 0.9, "v_gazetteer": 0.85, "v_context": 0.9}
 
 def fit_span_model(with_cands: DataFrame, rounds: int = 50, steps: int = 400) -> SpanModel:
     """EM and logistic fit over pattern counts. The rows sent to the driver are bounded by the number of patterns (567)."""
-    c = with_cands.select(F.explode("cands").alias("x")).groupBy("x.kind", "x.len_class", *(f"x.{v}" for v in LABELERS)).count()
+    # the outer form, as the plain one would look for candidates once more, to leave out rows that have none
+    c = with_cands.select(F.explode_outer("cands").alias("x")).where("x IS NOT NULL").groupBy("x.kind", "x.len_class", *(f"x.{v}" for v in LABELERS)).count()
     return fit_patterns(sorted((r.asDict() for r in c.collect()), key=str), rounds, steps)
 
 
