@@ -263,6 +263,13 @@ def civil_days(seconds: Column) -> Column:
     return F.floor(seconds / 86_400).cast("int")
 
 
+def day_text(day: Column) -> Column:
+    """A date as year-month-day: years from 0 have four digits or more without a sign, those before 0 a minus and no zeros in front."""
+    year = F.year(day)
+    told = F.when((year >= 0) & (year < 1000), F.lpad(year.cast("string"), 4, "0")).otherwise(year.cast("string"))
+    return F.concat(told, F.lit("-"), F.lpad(F.month(day).cast("string"), 2, "0"), F.lit("-"), F.lpad(F.day(day).cast("string"), 2, "0"))
+
+
 def solid_member(pack: Column, number: Column) -> Column:
     """The member that a pack keeps its so-manieth block of small files in."""
     return F.format_string(".archive/solid-%08d-%05d.tar.zst", pack, number)

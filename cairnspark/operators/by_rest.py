@@ -64,7 +64,7 @@ QUERIES = {
         "SELECT text, CAST(coalesce(epoch(moment), -1) AS BIGINT) AS secs FROM (VALUES ('1999', TIMESTAMP '1999-01-01'), ('2024-02', TIMESTAMP '2024-02-01'), ('2024-02-30', TIMESTAMP '2024-03-01'), ('1800', NULL), ('2024-13', NULL), ('x', NULL)) t(text, moment)",
     ),
     "c07_civil_days": (
-        lambda s, d: frame(s, d, "files").select("id", c.civil_days(F.expr("mtime_ns div 1000000000 - id * 2000000")).alias("days")).withColumn("day", F.date_from_unix_date("days").cast("string")),
+        lambda s, d: frame(s, d, "files").select("id", c.civil_days(F.expr("mtime_ns div 1000000000 - id * 2000000")).alias("days")).withColumn("day", c.day_text(F.date_from_unix_date("days"))),
         duck("SELECT id, CAST(date_diff('day', DATE '1970-01-01', moment) AS INTEGER) AS days, strftime(moment, '%Y-%m-%d') AS day FROM (SELECT id, CAST(make_timestamp((mtime_ns // 1000000000 - id * 2000000) * 1000000) AS DATE) AS moment FROM files)"),
     ),
     "c23_solid_member": (

@@ -79,6 +79,12 @@ def test_human_duration(spark, seconds, want):
     assert _column(spark, c.human_duration, seconds, "double") == want
 
 
+@pytest.mark.parametrize(("days", "want"), [(-719_542, "-1-12-18"), (-719_528, "0000-01-01"), (-719_529, "-1-12-31"), (-1_084_771, "-1001-12-31"), (-719_162, "0001-01-01"), (-354_286, "0999-12-31"), (0, "1970-01-01"), (2_932_896, "9999-12-31"), (2_932_897, "10000-01-01"), (-40_000_000, "-107547-09-20"), (None, None)])
+def test_day_text(spark, days, want):
+    assert _column(spark, lambda x: c.day_text(F.date_from_unix_date(x)), days, "int") == want
+    assert duckdb.sql(f"SELECT strftime(DATE '1970-01-01' + CAST({'NULL' if days is None else days} AS INTEGER), '%Y-%m-%d')").fetchall()[0][0] == want
+
+
 def test_typed_paths(spark):
     cases = {"~": "/h/u", "~/a/../b": "/h/u/b", " /x/./y/ ": "/x/y", "/../../z": "/z", "rel": None}
     for typed, want in cases.items():
