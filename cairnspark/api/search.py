@@ -70,20 +70,23 @@ def filters(q: Search) -> Column:
     return out
 
 
-def search(nodes: DataFrame, index: DataFrame, query: str, limit: int = 50) -> DataFrame:
+def search(nodes: DataFrame, index: DataFrame, query: str, limit: int | None = 50) -> DataFrame:
     """Nodes that have every word, phrase and filter of the query, best first, with their rank (`score`, least is best).
 
+    A limit is at most MOST, as the server has it; None gives all that is found.
+
     Words may stand in the name or in any folder above it, each a beginning; a name counts ten times a folder (bm25).
     Equal scores: folders first, then by name. Without words, what passes the filters. An empty query finds nothing.
     """
-    q, most = parse(query), min(limit, MOST)
+    q = parse(query)
+    best = lambda found: found if limit is None else found.limit(min(limit, MOST))
     terms = _terms(q)
     live = nodes.where("path IS NOT NULL AND path <> '/'")
     if not (q.words or q.phrases or q.filters) or (not terms and not q.filters):
         return live.where("false").withColumn("score", F.lit(0.0))
     order = [F.col("kind") != "d", no_case(F.col("name")), "path"]
     if not terms:
-        return live.where(filters(q)).withColumn("score", F.lit(0.0)).orderBy(*order).limit(most)
+        return best(live.where(filters(q)).withColumn("score", F.lit(0.0)).orderBy(*order))
     x = index.withColumn("len", F.size("words") + F.size("folders"))
     for k, (term, prefix) in enumerate(terms):
         x = x.withColumn(f"w{k}", _times("words", term, prefix)).withColumn(f"f{k}", _times("folders", term, prefix))
@@ -99,7 +102,7 @@ def search(nodes: DataFrame, index: DataFrame, query: str, limit: int = 50) -> D
         tf = F.col(f"w{k}") * WEIGHTS[0] + F.col(f"f{k}") * WEIGHTS[1]
         score = score - F.greatest(idf, F.lit(1e-6)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("mean")))
     found = live.join(hits.select("id", score.alias("score")), "id").where(filters(q))
-    return found.orderBy(F.round("score", 9), *order).limit(most)
+    return best(found.orderBy(F.round("score", 9), *order))
 
 
 def scan(files: DataFrame, query: str, limit: int = MOST, show_hidden: bool = False) -> DataFrame:

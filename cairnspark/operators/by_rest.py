@@ -84,11 +84,11 @@ QUERIES = {
         duck("SELECT id, false AS truncated FROM files WHERE name LIKE '%run%' AND ends_with(name, '.gz') AND size > 400 AND mtime_ns < epoch_ns(TIMESTAMP '2024-01-20')"),
     ),
     "f07_folder_sizes": (
-        lambda s, d: (lambda n: search.search(n, search.word_index(n), "is:folder size:>3000", 1000).select("path"))(frame(s, d, "nodes")),
+        lambda s, d: (lambda n: search.search(n, search.word_index(n), "is:folder size:>3000", None).select("path"))(frame(s, d, "nodes")),
         duck("SELECT path FROM nodes WHERE kind = 'd' AND path <> '/' AND size > 3000"),
     ),
     "j02_search_entries": (
-        lambda s, d: (lambda n: browse.entries(search.search(n, search.word_index(n), "src1", 1000), frame(s, d, "projects")).select("id", "path", "is_project", "in_project"))(frame(s, d, "nodes")),
+        lambda s, d: (lambda n: browse.entries(search.search(n, search.word_index(n), "src1", None), frame(s, d, "projects")).select("id", "path", "is_project", "in_project"))(frame(s, d, "nodes")),
         duck("SELECT id, path, false AS is_project, true AS in_project FROM nodes WHERE path LIKE '/Library/%/src1%'"),
     ),
     "j07_locations": (

@@ -113,6 +113,23 @@ def test_search_ranks_names_above_folders(spark):
     assert len(found("silver", 2)) == 2
 
 
+def test_search_without_a_limit_gives_all(spark):
+    """More hits than the server's limit, by a word and by a filter alone; the queries that state all hits use no limit."""
+    n = spark.range(10, 1_310).selectExpr("id", "3L AS parent", "'/a/x' || id AS path", "'x' || id AS name", "'f' AS kind", "'a' AS project", "id AS size", "0L AS mtime_ns", "CAST(NULL AS BIGINT) AS trashed_at").cache()
+    index = search.word_index(n)
+    assert search.search(n, index, "x", None).count() == search.search(n, index, "size:>1", None).count() == 1_300
+    assert search.search(n, index, "x", 5_000).count() == search.search(n, index, "size:>1", 5_000).count() == 1_000
+
+
+def test_src1_has_every_entry(spark, tmp_path):
+    """j02_search_entries over more files than the limit: the SQL has none."""
+    spark.range(1_200).selectExpr("id AS doc_id", "'t' || id AS text", "'en' AS lang", "'src1' AS source", "3L AS n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got = registry.queries()["j02_search_entries"](spark, str(tmp_path)).toPandas()
+    assert len(got) > 1_000 and _rows(got) == _rows(c.sql(registry.oracle_sql()["j02_search_entries"]).df())
+
+
 def test_speed_keeps_a_baseline_and_starts_anew(spark):
     rows = [(1, 0.0, 0), (2, 0.3, 30), (3, 1.0, 100), (4, 6.0, 700), (5, 12.0, 1000), (6, 13.0, 50), (7, 13.2, 60), (8, 14.0, 250)]
     d = spark.createDataFrame([(1, *r) for r in rows], "job_id long, event_id long, secs double, total long")
