@@ -11,12 +11,17 @@ import tarfile
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from cairnspark.sources.shared import BATCH_BYTES, small_batches
+
 SCHEMA = "pack string, seq int, path string, kind string, size bigint, mtime bigint, mode int, target string, data_off bigint, content binary, error string"
+#: The same for batches that the reader makes.
+ARROW = pa.schema([(n, {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}[k]) for n, k in (x.split() for x in SCHEMA.split(", "))])
 #: Members that a sealed pack holds beside its files, and how pack files are named.
 MANIFEST, DUPLICATES = ".archive/MANIFEST.json", ".archive/DUPLICATES.tsv"
 PACK_NAME = re.compile(r"pack-([0-9]+)\.tar$")
@@ -35,13 +40,18 @@ def pack_files(where: str) -> list[tuple[int, str]]:
 def members(stream: io.BufferedIOBase, content: bool = False, only: set[str] | None = None) -> Iterator[tuple]:
     """(seq, path, kind, size, mtime, mode, target, data_off, content) of each member; damaged headers raise tarfile.TarError."""
     with tarfile.open(fileobj=stream, mode="r:") as t:
-        for seq, m in enumerate(t):
+        for seq, m in enumerate(iter(t.next, None)):
+            t.members.clear()  # else the headers of all members stay
             kind = "d" if m.isdir() else "l" if m.issym() else "f"
             body = t.extractfile(m).read() if content and m.isfile() and (only is None or m.name in only) else None
             yield seq, m.name, kind, m.size, int(m.mtime), m.mode, m.linkname or None, m.offset_data, body
 
 
-PARTITION_BYTES = 8 << 20
+PARTITION_BYTES, ROW_BYTES = 8 << 20, 2000
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows), ARROW.types)], schema=ARROW)
 
 
 class _Files(InputPartition):
@@ -66,7 +76,19 @@ class _Reader(DataSourceReader):
             room -= size
         return out
 
-    def read(self, partition: _Files) -> Iterator[tuple]:
+    def read(self, partition: _Files) -> Iterator[pa.RecordBatch]:
+        """Batches of bounded bytes: else Spark gathers thousands of members with their contents before it sends any."""
+        rows, room = [], BATCH_BYTES
+        for r in self._rows(partition):
+            rows.append(r)
+            room -= len(r[9] or b"") + ROW_BYTES
+            if room <= 0:
+                yield _batch(rows)
+                rows, room = [], BATCH_BYTES
+        if rows:
+            yield _batch(rows)
+
+    def _rows(self, partition: _Files) -> Iterator[tuple]:
         for path in partition.paths:
             name = os.path.basename(path)
             try:
@@ -113,6 +135,7 @@ class _Writer(DataSourceWriter):
                 body = bytes(r["content"] or b"")
                 m.size = len(body)
                 tar.addfile(m, io.BytesIO(body))
+            tar.members.clear()
         if tar:
             tar.close()
         return _Sealed(done)
@@ -154,7 +177,8 @@ def read(spark: SparkSession, where: str, content: bool = False, only: list[str]
 def write(rows: DataFrame, where: str) -> None:
     """Packs (pack, seq, path, kind, mtime, mode, target, content) as tars in a folder: a pack goes to one task, streamed in order."""
     rows.sparkSession.dataSource.register(TarSource)
-    rows.repartition("pack").sortWithinPartitions("pack", "seq").write.format("tarpack").mode("append").option("path", where).save()
+    with small_batches(rows.sparkSession):
+        rows.repartition("pack").sortWithinPartitions("pack", "seq").write.format("tarpack").mode("append").option("path", where).save()
 
 
 def append(path: str, rows: list[tuple[str, bytes]]) -> None:

@@ -1,18 +1,21 @@
 """Catalog queries against the other engine on the smallest tables, and literal expectations."""
 
+import hashlib
+
 import duckdb
 import hypothesis
 import pandas as pd
 import pytest
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from cairnspark.api import changes, search, transfers
 from cairnspark.functions import columns as c
 from cairnspark.functions import names
 from cairnspark.plans import registry
 from cairnspark.plans.dialect import Duck, Spark
-from cairnspark.sources import seekable, tar
+from cairnspark.sources import seekable, shared, tar
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("events", "documents", "pages", "labels")
@@ -165,6 +168,33 @@ def test_tar_round_trip(spark, tmp_path):
     assert not [f for f in tmp_path.rglob("*.tmp")]
 
 
+@F.pandas_udf(IntegerType())
+def _batch_rows(x: pd.Series) -> pd.Series:
+    return pd.Series([len(x)] * len(x))
+
+
+def _many(spark, n: int = 2000, size: int = 10_000):
+    """Contents of 20 MB in one partition."""
+    return spark.range(n).coalesce(1).select("id", F.unhex(F.repeat(F.md5(F.col("id").cast("string")), size // 16)).alias("data"))
+
+
+def test_packs_travel_in_small_batches(spark, tmp_path):
+    """Written and read: rows of a large partition come a few at a time, and the session's own bound is back afterwards."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "64m")
+    rows = _many(spark).select(F.lit("pack-00000001.tar").alias("pack"), F.col("id").cast("int").alias("seq"), F.format_string("%05d", "id").alias("path"), F.lit("f").alias("kind"), F.lit(1).cast("bigint").alias("mtime"), _batch_rows("data").alias("mode"), F.lit(None).cast("string").alias("target"), F.col("data").alias("content"))
+    tar.write(rows, str(tmp_path))
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "64m"
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", before)
+    reader = tar._Reader({"path": str(tmp_path), "content": "true"})
+    (part,) = reader.partitions()
+    batches = list(reader.read(part))
+    assert len(batches) > 4 and max(b.nbytes for b in batches) < 2 * shared.BATCH_BYTES and sum(b.num_rows for b in batches) == 2000
+    got = tar.read(spark, str(tmp_path), content=True).select("seq", "mode", F.sha2("content", 256).alias("h")).collect()
+    assert max(r.mode for r in got) < 1000
+    assert {(r.seq, r.h) for r in got} == {(k, hashlib.sha256(hashlib.md5(str(k).encode()).digest() * 625).hexdigest()) for k in range(2000)}
+
+
 def test_rollup_invariants(spark):
     """A folder's totals are those of all files below it; each content has one carrier."""
     q = registry.queries()
