@@ -195,6 +195,21 @@ def test_packs_travel_in_small_batches(spark, tmp_path):
     assert {(r.seq, r.h) for r in got} == {(k, hashlib.sha256(hashlib.md5(str(k).encode()).digest() * 625).hexdigest()) for k in range(2000)}
 
 
+def test_streams_travel_in_small_batches(spark):
+    """s04_seek_table's way: contents to streams to tables, in a session whose own bound is large."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    for use in (lambda x: seekable.compressed(x, 1000, 1), seekable.seek_table, lambda x: seekable.read_range(x, F.lit(0), F.lit(1))):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "64m")
+        use(F.col("x"))
+        assert _many(spark).select(_batch_rows("data").alias("n")).agg(F.max("n")).first()[0] < 1000
+    got = seekable.frames(_many(spark, 300).select("id", seekable.compressed(F.col("data"), 1000, 1).alias("stream")))
+    assert got.count() == 3000 and got.agg(F.sum("d_len")).first()[0] == 3_000_000
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "2m")
+    seekable.compressed(F.col("x"))
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "2m"
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", before)
+
+
 def test_rollup_invariants(spark):
     """A folder's totals are those of all files below it; each content has one carrier."""
     q = registry.queries()
