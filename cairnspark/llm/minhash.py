@@ -23,10 +23,11 @@ from pyspark.sql import functions as F
 
 from cairnspark.llm.common import mapped, parts_for, stored, texts, words_of
 from cairnspark.llm.components import components
+from cairnspark.sources.shared import small_batches
 
 PERMUTATIONS, BANDS, SHINGLE = 128, 32, 5
 SIMILAR, MARGIN = 0.8, 0.25
-MOST_IN_TREE, MOST_SHINGLES, SHARD_ROWS = 4096, 2_000_000, 100_000
+MOST_IN_TREE, MOST_SHINGLES, SHARD_ROWS = 4096, 2_000_000, 25_000
 RANGE_BYTES = 64_000_000
 _RANDOM = np.random.default_rng(20_011)
 _A = (_RANDOM.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -167,7 +168,8 @@ def _distinct_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 "shingles": [s.astype(np.int64) for s in sets],
             })
 
-    s = stored(mapped(d, run, "fingerprint string, same string, shingles array<long>"), "minhash")
+    with small_batches(docs.sparkSession):
+        s = stored(mapped(d, run, "fingerprint string, same string, shingles array<long>"), "minhash")
     sets = s.groupBy("same").agg(F.min("doc_id").alias("rep"), F.any_value("fingerprint").alias("fingerprint"), F.any_value("shingles").alias("shingles"))
     sets = sets.withColumn("n", F.size("shingles"))
     return s.select("doc_id", "same"), stored(sets, "minhash-sets")
@@ -178,16 +180,20 @@ def _links(sets: DataFrame, similar: float, most: int) -> DataFrame:
     spark, width = sets.sparkSession, PERMUTATIONS // BANDS * 4
     band = F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(fingerprint, i * {width} + 1, {width})))")
     bands = sets.select("same", F.explode(band).alias("band"))
-    shared = bands.groupBy("band").count().where("count > 1").select("band", F.ceil(F.col("count") / most).cast("int").alias("slices"))
-    met = _sliced(bands.join(shared, "band"), "band").join(sets.select("same", "fingerprint"), "same")
-    shards = parts_for(spark, BANDS * sets.count(), SHARD_ROWS)
+    shared = bands.groupBy("band").count().where("count > 1").select("band", "count", F.ceil(F.col("count") / most).cast("int").alias("slices"))
+    shared = stored(shared, "minhash-bands")
+    # a worker holds a shard: they are as many as what is dealt out asks for, copies for other slices included
+    rows = shared.agg(F.sum(F.col("count") * F.col("slices"))).first()[0] or 0
+    met = _sliced(bands.join(shared.drop("count"), "band"), "band").join(sets.select("same", "fingerprint"), "same")
+    shards = parts_for(spark, rows, SHARD_ROWS)
     schema = "a string, b string, jaccard double"
     likely = met.withColumn("shard", F.pmod("g", F.lit(shards))).groupBy("shard").applyInPandas(_linked(similar, False), schema)
     found = stored(components(likely.select("a", "b")).join(sets.select(F.col("same").alias("node"), "n"), "node"), "minhash-candidates")
     of = found.groupBy("root").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("n"))
-    of = of.select("root", F.ceil(F.greatest(F.col("sets") / most, F.col("n") / MOST_SHINGLES)).cast("int").alias("slices"))
+    of = of.select("root", "n", F.ceil(F.greatest(F.col("sets") / most, F.col("n") / MOST_SHINGLES)).cast("int").alias("slices"))
+    weight = of.agg(F.sum(F.col("n") * F.col("slices"))).first()[0] or 0
+    of = of.drop("n")
     full = _sliced(found.select(F.col("node").alias("same"), "root").join(of, "root"), "root").join(sets.select("same", "fingerprint", "shingles"), "same")
-    weight = found.agg(F.sum("n")).first()[0] or 0
     full = full.withColumn("shard", F.pmod("g", F.lit(parts_for(spark, weight, MOST_SHINGLES))))
     links = full.groupBy("shard").applyInPandas(_linked(similar, True), schema)
     return links.groupBy("a", "b").agg(F.max("jaccard").alias("jaccard"))

@@ -161,6 +161,56 @@ def test_near_classes_lose_no_link(spark, most):
     assert links and all(len(ends[a] & ends[b]) >= 0.8 * len(ends[a] | ends[b]) for a, b in links)
 
 
+def test_near_classes_deal_large_classes_to_more_shards(spark, tmp_path, monkeypatch):
+    """A class that is dealt to many slices sends its sets many times; what a worker gets at a time stays bounded all the same."""
+    words = [f"w{k}" for k in range(60)]
+    made = [(i, " ".join(words[:i] + [f"x{i}"] + words[i + 1 :])) for i in range(60)]
+    d = spark.createDataFrame(made, "doc_id long, text string")
+    want = sorted((r.doc_id, r.class_id) for r in minhash.near_classes(d).collect())
+    linked = minhash._linked
+
+    def spied(similar, verify):
+        run = linked(similar, verify)
+
+        def one(pdf):
+            if verify:
+                (tmp_path / f"{pdf.shard.iloc[0]}").write_text(str(sum(map(len, pdf.shingles))))
+            return run(pdf)
+
+        return one
+
+    monkeypatch.setattr(minhash, "_linked", spied)
+    monkeypatch.setattr(minhash, "MOST_SHINGLES", 200)
+    assert sorted((r.doc_id, r.class_id) for r in minhash.near_classes(d).collect()) == want
+    sizes = [int(p.read_text()) for p in tmp_path.iterdir()]
+    assert len(sizes) > 20 and max(sizes) < 10 * 200
+
+
+def test_near_classes_read_texts_in_small_batches(spark, tmp_path, monkeypatch):
+    """Texts of one large partition come a few at a time."""
+    d = spark.range(2000).coalesce(1).selectExpr("id AS doc_id", "repeat(concat('a', id, ' '), 1500) AS text")
+    kept = minhash.mapped
+
+    def spied(d, run, schema):
+        def one(batches):
+            def told(b):
+                (tmp_path / f"{b.doc_id.iloc[0]}").write_text(str(len(b)))
+                return b
+
+            return run(map(told, batches))
+
+        return kept(d, one, schema)
+
+    monkeypatch.setattr(minhash, "mapped", spied)
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "64m")
+    rows, _ = minhash._distinct_sets(d)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "64m"
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", before)
+    sizes = [int(p.read_text()) for p in tmp_path.iterdir()]
+    assert sum(sizes) == rows.count() == 2000 and max(sizes) < 1500
+
+
 def test_simhash(docs, rows):
     fps = np.array([simhash.fingerprint(t) for _, t in rows], np.uint64)
     label = np.arange(len(rows))
