@@ -329,6 +329,19 @@ def test_suffix_dedup(docs, rows):
     _same([tuple(r) for r in suffix_dedup.remove_repeats(docs).collect()], _repeats(rows))
 
 
+def test_cut_repeats_gives_bytes_and_spans(docs, rows):
+    """Spans lie apart and in order, and what they leave is `kept`; its digests are those of a look at every window."""
+    got = suffix_dedup.cut_repeats(docs).collect()
+    of = collections.defaultdict(set)
+    for i, t in rows:
+        of[i].add(t.encode("utf-8", "surrogatepass"))
+    for r in got:
+        edges = [x for s in r.spans for x in (s.start, s.end)]
+        assert edges == sorted(set(edges))
+        assert bytes(r.kept) in {b"".join(b[a:z] for a, z in zip([0, *edges[1::2]], [*edges[::2], len(b)])) for b in of[r.doc_id]}
+    _same([(r.doc_id, r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in got], _repeats(rows))
+
+
 def test_anchor_runs_do_not_depend_on_stretches():
     b = np.frombuffer(bytes(random.Random(5).choice(b"abc") for _ in range(3000)) + b"a" * 900, np.uint8)
 
