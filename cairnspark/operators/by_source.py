@@ -27,8 +27,10 @@ def _packed(s, d):
     """The catalog's carriers as tars, one a pack, each text a member of its own, then sealed; the folder they lie in."""
     where = shared.work_dir(s, "packs")
     e = frame(s, d, "pack_entries").withColumn("pack", F.format_string("%s/pack-%08d.tar", "project", "pack_id"))
+    # mtime_ns anew, from seconds: the relation's own is a bigint, and from doc_id 2,088,696 on it overflows
+    e = e.withColumn("mtime", F.lit(T0) + (F.col("id") - 1000) * 3600).withColumn("mtime_ns", F.col("mtime").cast("decimal(19,0)") * F.lit(1_000_000_000))
     e = e.withColumn("member", F.when(F.col("is_carrier"), F.concat(F.substring("path", 2, 10_000), F.lit(".zst"))))
-    files = e.where("is_carrier").join(_texts(s, d), "id").select("pack", F.col("id").alias("seq"), F.col("member").alias("path"), F.lit("f").alias("kind"), F.expr("mtime_ns div 1000000000").alias("mtime"), F.lit(420).alias("mode"),
+    files = e.where("is_carrier").join(_texts(s, d), "id").select("pack", F.col("id").alias("seq"), F.col("member").alias("path"), F.lit("f").alias("kind"), "mtime", F.lit(420).alias("mode"),
                                                                   F.lit(None).cast("string").alias("target"), seekable.compressed(F.col("data"), 1000, 3).alias("content"))
     first = e.where("is_carrier").select("project", "sha256", F.col("path").alias("stored_path"))
     told = e.join(first, ["project", "sha256"]).select(

@@ -25,8 +25,9 @@ ARROW = pa.schema([(n, {"string": pa.string(), "int": pa.int32(), "bigint": pa.i
 #: Members that a sealed pack holds beside its files, and how pack files are named.
 MANIFEST, DUPLICATES = ".archive/MANIFEST.json", ".archive/DUPLICATES.tsv"
 PACK_NAME = re.compile(r"pack-([0-9]+)\.tar$")
+#: Times are decimals here: nanoseconds from the year 2262 on are over a bigint.
 MANIFEST_SCHEMA = (
-    "format int, pack bigint, sealed_at bigint, project struct<id:string,path:string>, entries array<struct<path:string,kind:string,sha256:string,size:bigint,mtime_ns:bigint,"
+    "format int, pack bigint, sealed_at bigint, project struct<id:string,path:string>, entries array<struct<path:string,kind:string,sha256:string,size:bigint,mtime_ns:decimal(38,0),"
     "mode:int,member:string,offset:bigint,target:string,same_as:string>>"
 )
 
@@ -215,8 +216,9 @@ def manifests(spark: SparkSession, where: str) -> DataFrame:
 
 
 def entries(manifest: DataFrame) -> DataFrame:
-    """One row for each manifest entry, in order."""
-    return manifest.select("pack", "pack_id", "project", F.posexplode("entries").alias("entry", "e")).select("pack", "pack_id", "project", "entry", "e.*")
+    """One row for each manifest entry, in order; mtime_ns as a bigint, so where it is asked for, a time over that is an error, not null."""
+    e = manifest.select("pack", "pack_id", "project", F.posexplode("entries").alias("entry", "e")).select("pack", "pack_id", "project", "entry", "e.*")
+    return e.withColumn("mtime_ns", F.col("mtime_ns").cast("bigint"))
 
 
 def seal(entries_: DataFrame, now: int) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql.types import IntegerType
 from cairnspark.api import changes, search, transfers
 from cairnspark.functions import columns as c
 from cairnspark.functions import names
+from cairnspark.operators import by_source
 from cairnspark.plans import registry
 from cairnspark.plans.dialect import Duck, Spark
 from cairnspark.sources import seekable, shared, tar
@@ -210,6 +211,38 @@ def test_streams_travel_in_small_batches(spark):
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", before)
 
 
+@pytest.fixture(scope="module")
+def late(tmp_path_factory):
+    """Documents whose ids are as large as in tables of some GB; the nanoseconds of their times are over a bigint."""
+    where = tmp_path_factory.mktemp("late")
+    duckdb.sql(f"copy (select * replace (doc_id + 3000000 as doc_id) from '{SF}/documents.parquet' where doc_id < 80) to '{where}/documents.parquet'")
+    return str(where)
+
+
+@pytest.mark.parametrize("name", ["k06_verified", "s14_pack_files", "s03_damaged_packs"])
+def test_packs_of_late_files(spark, late, name):
+    got = registry.queries()[name](spark, late).toPandas()
+    with duckdb.connect() as con:
+        con.execute(f"create view documents as select * from '{late}/documents.parquet'")
+        want = con.sql(registry.oracle_sql()[name]).df()
+    assert len(want) and _rows(got) == _rows(want)
+
+
+def test_times_of_late_files_are_kept(spark, late):
+    """Exact in the tar's headers, its manifest and its list of copies; asked for as a bigint they are an error."""
+    where = by_source._packed(spark, late)
+    secs = {f"run{k}_": 1704067200 + k * 3600 for k in range(3_000_000, 3_000_080)}
+    told = tar.manifests(spark, where).select(F.explode("entries").alias("e")).select("e.*").collect()
+    held = tar.read(spark, where).where("path NOT LIKE '.archive/%'").collect()
+    of = lambda path: secs[path[path.rindex("/") + 1 :].split("_")[0] + "_"]
+    assert len(told) == 80 and all(int(r.mtime_ns) == of(r.path) * 1_000_000_000 for r in told)
+    assert held and all(r.mtime == of(r.path) for r in held)
+    entries = tar.entries(tar.manifests(spark, where))
+    assert entries.count() == 80
+    with pytest.raises(Exception, match="CAST_OVERFLOW"):
+        entries.select("mtime_ns").collect()
+
+
 def test_rollup_invariants(spark):
     """A folder's totals are those of all files below it; each content has one carrier."""
     q = registry.queries()
